@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from lineweave.llm.best_fit_packing import op4_best_fit_packing
+from lineweave.llm.bit_packing import op10_bit_packing
 from lineweave.llm.quality_rules import op5_quality_rules
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_quality_rules": op5_quality_rules,
+        "op10_bit_packing": op10_bit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,15 +60,18 @@ def test_policies_and_ablation(spark):
 
 
 def test_labels_agree(spark):
-    """Documents that people called good and harmless stay; abuse goes."""
+    """Documents that people called good and harmless stay; abuse in the language of the list goes."""
     d = "/root/testdata/sf0.1"
-    kept = Q.apply_policy(Q.ledger(spark.read.parquet(f"{d}/documents.parquet"))).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("n_words >= 50")
-    rows = {(r.quality, r.toxic, r.kept): r.n for r in kept.filter(~F.col("base_failed")).groupBy("quality", "toxic", "kept").agg(F.count("*").alias("n")).collect()}
-    good = rows.get((1, 0, True), 0) / sum(n for (q, t, _), n in rows.items() if (q, t) == (1, 0))
-    toxic = rows.get((1, 1, False), 0) / sum(n for (q, t, _), n in rows.items() if (q, t) == (1, 1))
-    poor = rows.get((0, 0, False), 0) / sum(n for (q, t, _), n in rows.items() if (q, t) == (0, 0))
-    print(rows)
-    assert good > 0.999 and toxic > 0.9 and poor > 0.5
+    kept = Q.apply_policy(Q.ledger(spark.read.parquet(f"{d}/documents.parquet")))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    rows = kept.filter(~F.col("base_failed")).join(docs, "doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("lang", "quality", "toxic", "kept").collect()
+
+    def share(of, verdict):
+        return sum(r.kept == verdict for r in of) / len(of)
+
+    assert share([r for r in rows if r.quality and not r.toxic], True) > 0.999
+    assert share([r for r in rows if r.toxic and r.lang == "en"], False) > 0.9
+    assert share([r for r in rows if not r.quality and not r.toxic], False) > 0.5
 
 
 def test_empty_table(spark):
