@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from lineweave.llm.best_fit_packing import op4_best_fit_packing
 from lineweave.llm.bit_packing import op10_bit_packing
+from lineweave.llm.chat_format import op8_chat_format
+from lineweave.llm.language_id import op2_language_id
 from lineweave.llm.quality_rules import op5_quality_rules
+from lineweave.llm.url_templates import op6_sql, op6_url_templates
+from lineweave.llm.warc_zip import OP7_SQL, op7_warc_zip
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_url_templates": op6_url_templates,
+        "op7_warc_zip": op7_warc_zip,
+        "op8_chat_format": op8_chat_format,
         "op10_bit_packing": op10_bit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_templates": op6_sql(), "op7_warc_zip": OP7_SQL}
