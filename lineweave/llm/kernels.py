@@ -17,6 +17,9 @@ _POWERS = np.ones(1, U64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of letters and digits: ASCII ones, and all of longer characters.
+IS_TERM = np.zeros(256, bool)
+IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -41,20 +44,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text the number of words before it (length + 1)."""
-    inside = np.empty(len(raw) + 2, bool)
+def runs(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of flagged bytes inside a text, and for each text the number
+    of runs before it (length + 1)."""
+    n = len(flag)
+    inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(IS_SPACE[raw], out=inside[1:-1])
+    inside[1:-1] = flag
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
-    cut = off[(off > 0) & (off < len(raw))]
-    starts[cut] = inside[1:-1][cut]
-    ends[cut - 1] = inside[1:-1][cut - 1]
+    cut = off[(off > 0) & (off < n)]
+    starts[cut] = flag[cut]
+    ends[cut - 1] = flag[cut - 1]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return a, b, np.searchsorted(a, off)
 
 
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text, as of ``runs``."""
+    return runs(~IS_SPACE[raw], off)
+
+
+def terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits of each text, without regard to the case of A-Z, and
+    the number of runs before each text."""
+    low = LOWER[raw]
+    a, b, first = runs(IS_TERM[low], off)
+    return segment_hash(low, a, b), first
+
+
 def segment_hash(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hash of raw[a[i]:b[i]], the same for equal bytes; segments ascend and don't overlap."""
     if not len(a):

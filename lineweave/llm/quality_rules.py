@@ -98,13 +98,8 @@ def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray) -> dict[str,
     out["n_repeat_words"] = K.counts(first, covered[: len(h)])
 
     # punctuation around a word doesn't matter for the list of flagged words
-    lower = K.LOWER[raw]
-    letter = (lower >= 0x61) & (lower <= 0x7A) | (lower >= 0x80)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
-    la, lb = edge[::2], edge[1::2]
-    hit = np.isin(K.segment_hash(lower, la, lb), flagged)
-    at = np.searchsorted(la, off)
-    out["n_flagged"] = K.counts(at, hit)
+    term, at = K.terms(raw, off)
+    out["n_flagged"] = K.counts(at, np.isin(term, flagged))
 
     starts = np.zeros(len(raw) + 1, bool)
     starts[off[:-1]] = True

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lineweave.llm.best_fit_packing import op4_best_fit_packing
 from lineweave.llm.bit_packing import op10_bit_packing
 from lineweave.llm.chat_format import op8_chat_format
+from lineweave.llm.decontamination import op9_decontamination
 from lineweave.llm.language_id import op2_language_id
 from lineweave.llm.quality_rules import op5_quality_rules
 from lineweave.llm.url_templates import op6_sql, op6_url_templates
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_url_templates": op6_url_templates,
         "op7_warc_zip": op7_warc_zip,
         "op8_chat_format": op8_chat_format,
+        "op9_decontamination": op9_decontamination,
         "op10_bit_packing": op10_bit_packing,
     }
 
