@@ -7,6 +7,7 @@ from lineweave.llm.bit_packing import op10_bit_packing
 from lineweave.llm.chat_format import op8_chat_format
 from lineweave.llm.decontamination import op9_decontamination
 from lineweave.llm.language_id import op2_language_id
+from lineweave.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from lineweave.llm.quality_rules import op5_quality_rules
 from lineweave.llm.url_templates import op6_sql, op6_url_templates
 from lineweave.llm.warc_zip import OP7_SQL, op7_warc_zip
@@ -15,6 +16,7 @@ from lineweave.llm.warc_zip import OP7_SQL, op7_warc_zip
 def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_url_templates": op6_url_templates,
@@ -26,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_templates": op6_sql(), "op7_warc_zip": OP7_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op6_url_templates": op6_sql(), "op7_warc_zip": OP7_SQL}
