@@ -80,6 +80,7 @@ def templates(nodes: DataFrame, tree: TemplateTree) -> DataFrame:
         seen = nodes.where(step.isNotNull()).groupBy("host", "template").agg((F.count_distinct(step) >= tree.min_values).alias("many"), (F.count_distinct(step) * tree.max_repeat >= F.sum("n")).alias("rare"))
         variable = seen.where("many AND rare").select("host", "template", F.lit("*").alias("star"))
         nodes = nodes.join(variable, ["host", "template"], "left").withColumn("template", F.when(step.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("star", step)))).drop("star")
+        nodes = written(nodes, "level")  # each level reads the one before it twice
     return nodes.withColumn("template", F.when(F.size("seg") > tree.depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("seg")
 
 
@@ -96,6 +97,7 @@ def merged(nodes: DataFrame, tree: TemplateTree) -> DataFrame:
         apart = F.abs((F.col("b") + 2 * F.col("pool")) / (F.col("l") + 2) - F.col("pool"))
         alike = (F.col("branches") > 1) & (F.col("l") > 0) & (apart <= tree.z * F.sqrt(F.col("pool") * (1 - F.col("pool")) / (F.col("l") + 2)))
         nodes = nodes.join(each.select("host", "template", F.when(alike, F.col("star")).otherwise(F.col("template")).alias("next")), ["host", "template"]).withColumn("template", F.col("next")).drop("next")
+        nodes = written(nodes, "level")
     return nodes
 
 
