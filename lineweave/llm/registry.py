@@ -9,12 +9,14 @@ from lineweave.llm.decontamination import op9_decontamination
 from lineweave.llm.language_id import op2_language_id
 from lineweave.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from lineweave.llm.quality_rules import op5_quality_rules
+from lineweave.llm.suffix_dedup import op1_suffix_dedup
 from lineweave.llm.url_templates import op6_sql, op6_url_templates
 from lineweave.llm.warc_zip import OP7_SQL, op7_warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_language_id": op2_language_id,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_best_fit_packing": op4_best_fit_packing,
