@@ -1,11 +1,67 @@
-"""The training-corpus pipeline: each stage calls one operator of lineweave.llm."""
+"""The training-corpus pipeline.  Each stage calls one operator of lineweave.llm on all that the stage
+before it kept; stages but the last return the columns of documents."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lineweave.llm.best_fit_packing import cut_pieces, pack
+from lineweave.llm.common import written
+from lineweave.llm.decontamination import drop_contaminated, indexes
+from lineweave.llm.ngram_jaccard import Join, group_documents
+from lineweave.llm.quality_rules import keep_documents
+from lineweave.llm.suffix_dedup import remove_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    return keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard 0.8), the smallest doc_id stays."""
+    groups = group_documents(docs, Join(k=5, percent=80))
+    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has go; so does a document of which
+    nothing is left."""
+    rest = remove_repeats(docs, 50)
+    return rest.where(F.coalesce(F.col("text") != "", F.lit(True)))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which a test item has leaked go."""
+    return drop_contaminated(docs, indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, packed into sequences."""
+    import public_tokenizers
+
+    return pack(written(cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False), "pieces"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", packing),
+]
+
+#: SQL has neither the tokenizer nor bytes of texts; tests/llm/test_pipeline.py has the plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage_{i}")
     return docs

@@ -128,7 +128,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words
     flagged = tuple(w.encode() for w in flagged_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.array([K.segment_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in flagged], np.uint64)
+        known = flagged_hashes(flagged)
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
@@ -136,10 +136,18 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=["doc_id", *MEASURES])
 
     measured = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return measured.withColumn("fail_bits", fail_bits(rules))
+
+
+def flagged_hashes(words: tuple[bytes, ...]) -> np.ndarray:
+    return np.array([K.segment_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words], np.uint64)
+
+
+def fail_bits(rules: tuple[Rule, ...]) -> Column:
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return bits
 
 
 def failed(policy: Policy, rules: tuple[Rule, ...] | None = None) -> Column:
@@ -172,6 +180,28 @@ def ablate(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tupl
     )
 
 
+def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The documents, with all their columns, that the policy and the base rules keep; judged where
+    they lie, without an exchange."""
+    rules = default_rules()
+    flagged = tuple(w.encode() for w in FLAGGED_WORDS)
+    names = [f"of_caller_{i}" for i in range(len(docs.columns))]
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = flagged_hashes(flagged)
+        for batch in batches:
+            for a, b in slices(batch, names[text]):
+                part = batch.slice(a, b - a)
+                found = measure(*utf8(part.column(text)), known)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
+
+    renamed = docs.toDF(*names)
+    schema = ", ".join(f"{n} {t}" for n, t in renamed.dtypes) + "".join(f", {m} long" for m in MEASURES)
+    measured = renamed.mapInArrow(run, schema).withColumn("fail_bits", fail_bits(rules))
+    return apply_policy(measured, policy).where("kept").select(*names).toDF(*docs.columns)
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     book = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return apply_policy(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_flagged", "fail_bits")
