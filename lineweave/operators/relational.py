@@ -34,11 +34,14 @@ def exists_map(keys: DataFrame, key: str, facts: DataFrame, fact_key: str, name:
     return keys.join(known, key, "left").withColumn(name, F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def count_at_most(df: DataFrame, by: str, name: str) -> DataFrame:
-    """How many rows have at most this row's value: cumulated over distinct values, joined back."""
-    per = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    run = per.withColumn(name, F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
-    return df.join(run, by)
+def count_at_most(df: DataFrame, by: str, name: str, bucket: Column) -> DataFrame:
+    """How many rows have at most this row's value.  bucket ascends with it and has a bounded number of
+    values (days, say): one window runs over buckets, the other inside each."""
+    df = df.withColumn("_b", bucket)
+    per = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = per.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.count(F.lit(1)).over(Window.partitionBy("_b").orderBy(by))  # equal values are peers
+    return df.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +85,7 @@ def newest_with_exclusion(spark, d):
 def queue_position(spark, d):
     """How many queued rows are as old as this one or older, this one included."""
     queued = orders(spark, d).where("o_orderstatus = 'P'").select("o_orderkey", "at")
-    return count_at_most(queued, "at", "position").select("o_orderkey", "position")
+    return count_at_most(queued, "at", "position", F.floor(F.col("at") / (30 * DAY))).select("o_orderkey", "position")
 
 
 def oldest_queued(spark, d):

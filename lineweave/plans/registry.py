@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.operators import intervals, relational
+from lineweave.functions import text
+from lineweave.operators import intervals, relational, stats
 
-MODULES = (relational, intervals)
+MODULES = (relational, intervals, stats, text)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
