@@ -49,7 +49,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, max_tokens: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = encoder(tokenizer, cut)
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", 2 << 20):
                 part = batch.slice(a, b - a)
                 ids, off = ours.encode([t or "" for t in part.column("text").to_pylist()])
                 n = len(part)

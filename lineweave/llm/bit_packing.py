@@ -137,7 +137,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int, cut: st
         ours = encoder(tokenizer, cut)
         out = fs = None
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", 2 << 20):
                 part = batch.slice(a, b - a)
                 ids, off = ours.encode([t or "" for t in part.column("text").to_pylist()])
                 n = len(part)

@@ -206,14 +206,14 @@ def _narrow(flat: np.ndarray, off: np.ndarray, width: np.ndarray, rows: np.ndarr
 
 def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
     """Pairs a, b (and apart, the differing bits) that the bound lets pass: of each row the closest
-    earlier one, or, across, all whose labels differ."""
+    earlier and the closest later one, or, across, all whose labels differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["h", "low", "high"]):
             h, low, high, block, node, n = (table.column(c).to_numpy() for c in ("h", "low", "high", "block", "node", "n"))
             label = table.column("label").to_numpy() if across else node
             apart = _apart(table.column("bits"), n)
-            best, which = np.full(len(h), np.iinfo(np.int64).max), np.zeros(len(h), np.int64)
+            best, which = np.full((2, len(h)), np.iinfo(np.int64).max), np.zeros((2, len(h)), np.int64)
             pairs = []
             rows = np.arange(1, len(h))
             for shift in range(1, len(h)):
@@ -234,11 +234,14 @@ def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
                     if sum(map(len, pairs)) > 100_000:
                         pairs = [np.unique(np.concatenate(pairs), axis=0)]
                 else:
-                    better = x < best[now]
-                    best[now[better]], which[now[better]] = x[better], now[better] - shift
+                    for side, own, other in ((0, now, now - shift), (1, now - shift, now)):
+                        better = x < best[side, own]
+                        best[side, own[better]], which[side, own[better]] = x[better], other[better]
             if not across:
-                now = np.flatnonzero(best < np.iinfo(np.int64).max)
-                pairs = [np.stack([np.minimum(node[now], node[which[now]]), np.maximum(node[now], node[which[now]]), best[now]], axis=1)]
+                for side in (0, 1):
+                    now = np.flatnonzero(best[side] < np.iinfo(np.int64).max)
+                    other = node[which[side, now]]
+                    pairs.append(np.stack([np.minimum(node[now], other), np.maximum(node[now], other), best[side, now]], axis=1))
             if pairs:
                 found = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], names=["a", "b", "apart"])
@@ -247,10 +250,10 @@ def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, apart long").distinct()
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """The pairs that link, by their whole sorted sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = written(nodes.select("node", "digest").join(ends, "node"), "needed")
+def whole_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+    """node and shingles (its sorted set) of the nodes in ends.  Texts are dealt by doc_id at every
+    size: the nodes that take part grow with the documents, and aren't for broadcasting."""
+    needed = nodes.select("node", "digest").join(ends, "node").withColumnRenamed("node", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +265,12 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -> D
                 at = pa.array(np.flatnonzero(same))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(at), pa.array(own, pa.binary()).take(at)], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "digest", "text")
-    whole = texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "digest", "text")
+    return texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def linked(pairs: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
+    """The pairs that link, by intersection of their whole sorted sets."""
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +293,15 @@ def group_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     unique = profile.where("digest IS NOT NULL").withColumnRenamed("doc_id", "node").join(first.where("node IS NOT NULL"), ["digest", "node"]).dropDuplicates(["digest", "node"])
     nodes = written(unique, "nodes")
     tiled = written(tiles(written(shared_prefixes(nodes, join), "shared"), nodes), "tiles")
-    closest = compare(tiled, join, across=False)
+    closest = written(compare(tiled, join, across=False), "closest")
+    ends = closest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = written(whole_sets(ends, nodes, docs, join), "sets")
     one = closest.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = written(linked(written(one, "pairs"), nodes, docs, join), "links")
+    links = written(linked(one, whole, join), "links")
     label = connected(links, "a", "b")
     labelled = tiled.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    more = written(compare(labelled, join, across=True).select("a", "b"), "pairs")
-    links = links.unionByName(linked(more, nodes, docs, join))
+    more = compare(labelled, join, across=True).select("a", "b")
+    links = links.unionByName(linked(more, whole, join))
     label = written(connected(links, "a", "b"), "components")
     of = first.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return profile.select("doc_id", "n", "digest").join(of, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

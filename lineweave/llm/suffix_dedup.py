@@ -7,8 +7,9 @@ bytes before them, are enough; there is one for about 18 bytes.
 
 1. Anchors whose hash just one document has are dropped.  Tasks send each hash once, and hear back.
 2. The other anchors become contexts: the suffix from the anchor and the prefix that ends there,
-   both as far as a window can reach.  Equal contexts of a slice travel once, with their smallest doc_id.
-3. Sampled splitters of the leading bytes deal contexts to buckets.  All suffixes with the same K
+   both as far as a window can reach.  Of equal contexts in a task, all but the smallest document's
+   are settled on the spot, so a passage that very many documents share travels once for each task.
+3. Sampled splitters of the leading bytes deal contexts to buckets.  All suffixes with the same
    leading bytes are in one bucket, so what has to be compared never lies across a boundary.
 4. A bucket sorts suffixes and reversed prefixes by multikey quicksort on 8-byte keys.  Runs in the
    two arrays of longest common prefixes say which contexts share a whole window, for each place of
@@ -36,9 +37,12 @@ from lineweave.llm.common import slices, utf8
 K_BYTES = 16
 #: Documents whose anchors the splitters are taken from.
 SAMPLE_DOCS = 2000
-#: Bytes of text in one pass of the kernels.
-STEP = 1 << 20
+#: Bytes of text in one slice, and of those that are hashed at once.
+STEP, CACHED = 1 << 20, 1 << 16
 MAX = np.iinfo(np.int64).max
+#: Contexts that a task holds at once, and the key of rows without a doc_id.
+HELD = 150_000
+NO_ID = -(1 << 63)
 
 
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:
@@ -56,39 +60,44 @@ def rolling(raw: np.ndarray, k: int) -> np.ndarray:
             break
         power = power[: len(power) - length] * K.U64(pow(int(K.BASE), length, 1 << 64)) + power[length:]
         length, bit = 2 * length, bit * 2
-    return K.mix(h[:n].copy())
+    h = h[:n] ^ (h[:n] >> K.U64(29))
+    h *= K.U64(0x94D049BB133111EB)
+    h ^= h >> K.U64(32)
+    return h
+
+
+def _slide(x: np.ndarray, span: int, op: np.ufunc) -> np.ndarray:
+    """op over each run of span values, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        x = op(x[:-width], x[width:])
+        width *= 2
+    return op(x[: len(x) - span + width], x[span - width :]) if width < span else x
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place in raw, text and hash of the anchors: of each window of size bytes in a text, all K-byte
-    strings with the least hash."""
-    h = rolling(raw, K_BYTES)
+    strings with the least hash.  Texts are looked at a few at a time, which stay in the cache."""
     span = size - K_BYTES + 1  # strings in a window
-    if len(h) < span:
+    found, first, n = [], 0, len(off) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(off, off[first] + CACHED, side="right")) - 1)
+        base, end = int(off[first]), int(off[last])
+        h = rolling(raw[base:end], K_BYTES)
+        if len(h) >= span:
+            least = _slide(h, span, np.minimum)
+            for e in (off[first + 1 : last] - base).tolist():  # windows across the end of a text don't count
+                least[max(0, e - size + 1) : e] = 0
+            most = np.zeros(len(least) + 2 * (span - 1), K.U64)
+            most[span - 1 : span - 1 + len(least)] = least
+            at = np.flatnonzero(_slide(most, span, np.maximum) == h)
+            at = at[h[at] != 0]
+            found.append((at + base, h[at]))
+        first = last
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, K.U64)
-    least, width = h, 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        rest = span - width
-        least = np.minimum(least[:-rest], least[rest:])
-    # windows across the end of a text don't count
-    inside = np.ones(len(least) + 1, bool)
-    for e in off[1:-1].tolist():
-        inside[max(0, e - size + 1) : e] = False
-    inside = inside[: len(least)]
-    picked = np.zeros(len(h), bool)
-    # of one window to the next, the least changes seldom: each run of equal values has its strings in reach
-    start = np.flatnonzero(inside & np.concatenate(([True], (least[1:] != least[:-1]) | ~inside[:-1])))
-    stop = np.flatnonzero(inside & np.concatenate(((least[1:] != least[:-1]) | ~inside[1:], [True])))
-    reach = stop + span - start
-    for a in range(0, len(start), 1 << 15):
-        s, r, v = start[a : a + (1 << 15)], reach[a : a + (1 << 15)], least[start[a : a + (1 << 15)]]
-        at = np.repeat(s - (np.cumsum(r) - r), r) + np.arange(int(r.sum()))
-        picked[at[h[at] == np.repeat(v, r)]] = True
-    at = np.flatnonzero(picked)
-    return at, np.searchsorted(off, at, side="right") - 1, h[at]
+    at, h = (np.concatenate(x) for x in zip(*found))
+    return at, np.searchsorted(off, at, side="right") - 1, h
 
 
 def multikey_sort(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,29 +124,41 @@ def multikey_sort(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def smaller_documents(left: np.ndarray, suffix: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    """For contexts (reversed bytes before the anchor, bytes from it, how many of both are real, smallest
-    doc_id): the smallest doc_id of all that share the window with the anchor at each place."""
-    reach = size - K_BYTES
+def repeated_windows(left: np.ndarray, suffix: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """For contexts (reversed bytes before the anchor, bytes from it, how many of both are real,
+    doc_id): bit i is set if the window with the anchor at place i is in a smaller document's context."""
     by_left, common_left = multikey_sort(left)
     by_suffix, common_suffix = multikey_sort(suffix)
-    out = np.full((len(doc), reach + 1), MAX)
-    one, two = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-    for o in range(reach + 1):
-        real = (n_left >= o) & (n_right >= size - o)
-        one[by_left] = np.cumsum(common_left < o) if o else 0
-        two[by_suffix] = np.cumsum(common_suffix < size - o)
-        at = np.flatnonzero(real)
-        key = two[at] * (len(doc) + 1) + one[at]
-        order = np.argsort(key, kind="stable")
-        if not len(order):
+    n = len(doc)
+    place_left = np.empty(n, np.int64)
+    place_left[by_left] = np.arange(n)
+    place_left = place_left[by_suffix]  # from here on, in the order of suffixes: groups by suffix are runs
+    doc, n_left, n_right = doc[by_suffix], n_left[by_suffix], n_right[by_suffix]
+    mask = np.zeros(n, np.int64)
+    for o in range(size - K_BYTES + 1):
+        at = np.flatnonzero((n_left >= o) & (n_right >= size - o))
+        if not len(at):
             continue
-        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        least = np.minimum.reduceat(doc[at[order]], first)
-        out[at[order], o] = np.repeat(least, np.diff(np.append(first, len(order))))
+        key = np.cumsum(common_suffix < size - o)[at] * (n + 1)
+        if o:
+            key += np.cumsum(common_left < o)[place_left[at]]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        own = doc[at[order]]
+        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(order))))
+        mask[at[order]] |= (least < own).astype(np.int64) << o
+    out = np.empty(n, np.int64)
+    out[by_suffix] = mask
     return out
 
 
+def real_windows(n_left: np.ndarray, n_right: np.ndarray, size: int) -> np.ndarray:
+    """Bit i is set if the window with the anchor at place i lies in the text."""
+    o = np.arange(size - K_BYTES + 1)
+    return (((n_left[:, None] >= o) & (n_right[:, None] >= size - o)).astype(np.int64) << o).sum(axis=1)
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for a, b in slices(batch, "text", STEP):
         yield batch.slice(a, b - a)
@@ -157,8 +178,18 @@ def _contexts(raw: np.ndarray, off: np.ndarray, at: np.ndarray, text: np.ndarray
     return out
 
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+def _squeeze(*columns: np.ndarray) -> bytes:
+    return pa.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _expand(raw: bytes, n: int, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """Columns of n rows, each of (type, values in a row)."""
+    total = sum(np.dtype(t).itemsize * k for t, k in kinds) * n
+    data, at, out = pa.decompress(raw, total, codec="zstd", asbytes=True), 0, []
+    for t, k in kinds:
+        out.append(np.frombuffer(data, t, n * k, at).reshape(n, k) if k > 1 else np.frombuffer(data, t, n, at))
+        at += np.dtype(t).itemsize * k * n
+    return out
 
 
 def _context_hash(rows: np.ndarray) -> np.ndarray:
@@ -166,15 +197,26 @@ def _context_hash(rows: np.ndarray) -> np.ndarray:
     return K.segment_hash(rows.reshape(-1), np.arange(n) * w, np.arange(1, n + 1) * w) if n else np.zeros(0, K.U64)
 
 
+def _six_bytes(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def _shared_anchors(texts: DataFrame, size: int, parts: int) -> DataFrame:
-    """doc_id, hashes (array): the anchors of a document that another document has too."""
+    """key (a doc_id), hashes (array): the anchors of a document that another document has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _steps(batch):
+                part = part.filter(part.column("doc_id").is_valid())
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 _, text, h = anchors(*utf8(part.column("text")), size)
-                doc = ids[text]
+                h, doc = h >> K.U64(16), ids[text]
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
@@ -188,14 +230,19 @@ def _shared_anchors(texts: DataFrame, size: int, parts: int) -> DataFrame:
                 b = bucket[order]
                 cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
                 ends = np.append(cut[1:], len(b))
-                blobs = [[v[order[x:y]].tobytes() for x, y in zip(cut.tolist(), ends.tolist())] for v in (h, doc.astype(np.int64), kind)]
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "h", "doc", "kind"])
+                base = int(doc.min(initial=MAX)) if len(doc) else 0
+                wide = len(doc) and int(doc.max()) - base >= 1 << 32
+                columns = (_six_bytes(h), (doc - (0 if wide else base)).astype("<i8" if wide else "<u4"), kind)
+                blobs = [[v[order[x:y]].tobytes() for x, y in zip(cut.tolist(), ends.tolist())] for v in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), pa.array([0 if wide else base] * len(cut), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "base", "h", "doc", "kind"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                h, doc, kind = np.frombuffer(row["h"], K.U64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["kind"], np.uint8)
+                kind = np.frombuffer(row["kind"], np.uint8)
+                h = _from_six(row["h"])
+                doc = np.frombuffer(row["doc"], "<i8" if len(row["doc"]) == 8 * len(kind) else "<u4").astype(np.int64) + row["base"]
                 known = kind > 0
                 if known.any():
                     yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(h[known].view(np.int64))], names=["doc_id", "h"])
@@ -213,43 +260,79 @@ def _shared_anchors(texts: DataFrame, size: int, parts: int) -> DataFrame:
                 for x in range(0, int(tell.sum()), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(doc[tell][x : x + (1 << 16)]), pa.array(h[tell][x : x + (1 << 16)].view(np.int64))], names=["doc_id", "h"])
 
-    sent = texts.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(send, "bucket long, h binary, doc binary, kind binary")
+    sent = texts.select("key", "doc_id", "text", "tag").mapInArrow(send, "bucket long, base long, h binary, doc binary, kind binary")
     told = sent.repartition(parts, "bucket").mapInArrow(answer, "doc_id long, h long")
-    return told.groupBy("doc_id").agg(F.collect_list("h").alias("hashes"))
+    return told.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("h").alias("hashes"))
 
 
-def _occurrences(shared: DataFrame, size: int, splitters: np.ndarray | None) -> DataFrame:
-    """With splitters: the contexts of each slice once (bucket, context, its smallest and largest doc_id); without: a row for
-    each anchor (id of the context, doc_id, tag, place)."""
+def _places(shared: DataFrame, size: int, splitters: np.ndarray, parts: int) -> DataFrame:
+    """Marked windows by (doc_id, tag, place of the anchor, mask of its places in the window)."""
+    reach = size - K_BYTES
+    width = size + reach + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+        ends = np.append(cut[1:], len(order))
+        blobs = [_squeeze(*(c[order[x:y]] for c in columns)) for x, y in zip(cut.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cut]], pa.int64()), pa.array([kind] * len(cut), pa.int32()), pa.array((ends - cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "n", "rows"])
+
+    def settle(rows, doc, tag, place) -> Iterator[pa.RecordBatch]:
+        h = _context_hash(rows)
+        order = np.lexsort((doc, h))
+        first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        least = np.empty(len(doc), np.int64)
+        least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
+        here = np.flatnonzero(doc > least)  # a smaller document of this task has the whole context
+        if len(here):
+            mask = real_windows(rows[here, -2].astype(np.int64), rows[here, -1].astype(np.int64), size)
+            yield from packed((K.mix(doc[here].astype(K.U64)) % K.U64(parts)).astype(np.int64), 1, doc[here], tag[here], place[here], mask)
+        ask = order[doc[order] == least[order]]
+        lead = np.ascontiguousarray(rows[ask, :8]).view(">u8")[:, 0].astype(K.U64)
+        ask = ask[np.argsort(lead, kind="stable")]  # alike suffixes side by side, which compresses
+        lead = np.ascontiguousarray(rows[ask, :8]).view(">u8")[:, 0].astype(K.U64)
+        yield from packed(np.searchsorted(splitters, lead, side="right").astype(np.int64), 0, rows[ask], doc[ask], tag[ask], place[ask])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in _steps(batch):
                 raw, off = utf8(part.column("text"))
                 at, text, h = anchors(raw, off, size)
-                if not len(at):
-                    continue
-                wanted, woff = part.column("hashes").flatten().to_numpy().view(K.U64), part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
-                own = np.repeat(np.arange(len(part)), woff)
-                keep = np.isin(h ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
+                wanted, many = part.column("hashes").flatten().to_numpy().view(K.U64), part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(part)), many)
+                keep = np.isin((h >> K.U64(16)) ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
                 at, text = at[keep], text[keep]
-                if not len(at):
-                    continue
-                rows = _contexts(raw, off, at, text, size)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
-                h = _context_hash(rows)
-                if splitters is None:
-                    tag = part.column("tag").to_numpy()[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(tag), pa.array((at - off[text]).astype(np.int32))], names=["context_id", "doc_id", "tag", "place"])
+                if len(at):
+                    held.append((_contexts(raw, off, at, text, size), part.column("doc_id").to_numpy(zero_copy_only=False)[text], part.column("tag").to_numpy()[text], at - off[text]))
+                    n += len(at)
+                if n >= HELD:
+                    yield from settle(*(np.concatenate(x) for x in zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield from settle(*(np.concatenate(x) for x in zip(*held)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "tag", "place", "mask"]
+        asked = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _expand(row["rows"], row["n"], ("i8", 1), ("i8", 1), ("i8", 1), ("i8", 1))], names=names)
                 else:
-                    order = np.lexsort((ids, h))
-                    cut = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-                    first, last = order[cut], order[np.append(cut[1:], len(order)) - 1]
-                    lead = np.ascontiguousarray(rows[first, :8]).view(">u8")[:, 0].astype(K.U64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splitters, lead, side="right")), _fixed(rows[first]), pa.array(ids[first]), pa.array(ids[last])], names=["bucket", "context", "doc_id", "last"])
+                    asked.append(_expand(row["rows"], row["n"], ("u1", width), ("i8", 1), ("i8", 1), ("i8", 1)))
+        if not asked:
+            return
+        rows, doc, tag, place = (np.concatenate(x) for x in zip(*asked))
+        del asked
+        mask = repeated_windows(rows[:, size : size + reach], rows[:, :size], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), doc, size)
+        hit = np.flatnonzero(mask)
+        for x in range(0, len(hit), 1 << 16):
+            some = hit[x : x + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (doc, tag, place, mask)], names=names)
 
-    schema = "context_id long, doc_id long, tag long, place int" if splitters is None else "bucket long, context binary, doc_id long, last long"
-    return shared.mapInArrow(run, schema)
+    sent = shared.mapInArrow(send, "bucket long, kind int, n int, rows binary")
+    return sent.repartition(parts, "bucket").mapInArrow(compare, "doc_id long, tag long, place long, mask long")
 
 
 def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
@@ -270,41 +353,6 @@ def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
     return np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
 
 
-def _matches(contexts: DataFrame, size: int, parts: int) -> DataFrame:
-    """context_id, and of contexts that others share a window with: docs (array of doc_ids) and for
-    each the places (bits of masks) for which it is the smallest."""
-    reach = size - K_BYTES
-    width = size + reach + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, width), b.column("doc_id").to_numpy(), b.column("last").to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        rows, doc, last = (np.concatenate(x) for x in zip(*held))
-        del held
-        h = _context_hash(rows)
-        order = np.lexsort((doc, h))
-        cut = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-        first, last = order[cut], np.maximum.reduceat(last[order], cut)
-        rows, doc, h = rows[first], doc[first], h[first]
-        least = smaller_documents(rows[:, size : size + reach], rows[:, :size], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), doc, size)
-        # a context is of use if one of its documents is larger than the smallest of a window
-        of_use = np.flatnonzero(((least < MAX) & (least < last[:, None])).any(axis=1))
-        for x in range(0, len(of_use), 1 << 14):
-            some = of_use[x : x + (1 << 14)]
-            value = least[some]
-            row, place = np.nonzero(value < MAX)
-            key = value[row, place]
-            order = np.lexsort((key, row))
-            row, place, key = row[order], place[order], key[order]
-            cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
-            mask = np.bitwise_or.reduceat(np.int64(1) << place.astype(np.int64), cut)
-            off = np.searchsorted(row[cut], np.arange(len(some) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(key[cut])), pa.ListArray.from_arrays(pa.array(off), pa.array(mask))], names=["context_id", "docs", "masks"])
-
-    return contexts.repartition(parts, "bucket").drop("bucket").mapInArrow(run, "context_id long, docs array<long>, masks array<long>")
-
-
 def repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """The rows of docs with text and places (array of struct(place, mask)): the window of size bytes
     that starts at byte place - i repeats a smaller document's, for each bit i of mask."""
@@ -312,37 +360,33 @@ def repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         raise ValueError(f"size is {size}; anchors of {K_BYTES} bytes serve {2 * K_BYTES} to {K_BYTES + 62}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange of the texts, which every step below reads again
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_it")).where("rows_of_it > 1")
-    texts = docs.repartition(parts, "doc_id").join(twice, "doc_id", "left")
+    # one exchange of the texts, which every step below reads again; its key is never null, so that
+    # no filter on it makes the exchanges differ
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    twice = docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows_of_it")).where("rows_of_it > 1")
+    texts = docs.withColumn("key", key).repartition(parts, "key").join(twice, "key", "left")
     texts = texts.withColumn("tag", F.when(F.col("rows_of_it").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("rows_of_it")
-    shared = texts.select("doc_id", "text", "tag").join(_shared_anchors(texts, size, parts), "doc_id")
-    contexts = _occurrences(shared, size, _splitters(docs, size, 8 * parts))
-    found = _matches(contexts, size, parts)
-    here = _occurrences(shared, size, None)
-    hits = here.join(found, "context_id").select("doc_id", "tag", "place", F.aggregate(F.zip_with("docs", "masks", lambda d, m: F.when(d < F.col("doc_id"), m).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(m)).alias("mask")).where("mask != 0")
-    places = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "mask")).alias("places"))
-    return texts.join(places, ["doc_id", "tag"], "left").drop("tag")
+    shared = texts.select("key", "doc_id", "text", "tag").join(_shared_anchors(texts, size, parts), "key")
+    places = _places(shared, size, _splitters(docs, size, 2 * parts), parts).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("tag", "place", "mask")).alias("places"))
+    own = F.transform(F.filter("places", lambda p: p["tag"] == F.col("tag")), lambda p: F.struct(p["place"].alias("place"), p["mask"].alias("mask")))
+    return texts.join(places, "key", "left").withColumn("places", own).drop("tag", "key")
 
 
 def covered(n: int, place: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
     """Which of n bytes lie in a marked window."""
-    step = np.zeros(n + 1, np.int64)
-    for i in range(size - K_BYTES + 1):
-        at = place[(mask >> i) & 1 == 1] - i
-        np.add.at(step, at, 1)
-        np.add.at(step, at + size, -1)
-    return np.cumsum(step[:-1]) > 0
+    i = np.arange(size - K_BYTES + 1)
+    at = (place[:, None] - i)[(mask[:, None] >> i) & 1 == 1]
+    return np.cumsum(np.bincount(at, minlength=n + 1)[:n] - np.bincount(at + size, minlength=n + 1)[:n]) > 0
 
 
-def _cut(batch: pa.RecordBatch, size: int) -> Iterator[tuple[bytes, np.ndarray | None]]:
-    places = batch.column("places")
+def _cut(text: pa.Array, places: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The bytes of each text, and which of them go (None: none)."""
     inner = places.flatten()
     place, mask = (np.asarray(inner.field(i)).astype(np.int64) for i in (0, 1))
     n = np.asarray(places.value_lengths().fill_null(0))
     end = np.cumsum(n)
-    raw, off = utf8(batch.column("text"))
-    for i in range(len(batch)):
+    raw, off = utf8(text)
+    for i in range(len(text)):
         own = raw[off[i] : off[i + 1]]
         yield own, covered(len(own), place[end[i] - n[i] : end[i]], mask[end[i] - n[i] : end[i]], size) if n[i] else None
 
@@ -354,7 +398,7 @@ def measure_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         for batch in batches:
             for part in _steps(batch):
                 out = []
-                for own, gone in _cut(part, size):
+                for own, gone in _cut(part.column("text"), part.column("places"), size):
                     kept = own if gone is None else own[~gone]
                     spans = 0 if gone is None else int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))))
                     out.append((len(own), len(own) - len(kept), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
@@ -370,17 +414,20 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch):
-                old = part.column("text").to_pylist()
-                text = [old[i] if gone is None else own[~gone].tobytes().decode("utf-8", "ignore") for i, (own, gone) in enumerate(_cut(part, size))]
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))] + ["places"])
+            for a, b in slices(batch, f"c{names.index('text')}", STEP):
+                part = batch.slice(a, b - a)
+                texts = part.column(names.index("text"))
+                old = texts.to_pylist()
+                text = [old[i] if gone is None else own[~gone].tobytes().decode("utf-8", "ignore") for i, (own, gone) in enumerate(_cut(texts, part.column(len(names)), size))]
                 new = {"text": pa.array(text, pa.string())}
                 if "n_chars" in names:
-                    new["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(part.column("n_chars").type)
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names=names)
+                    new["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(part.column(names.index("n_chars")).type)
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
 
-    if "places" in [n.lower() for n in names] or "tag" in [n.lower() for n in names] or "rows_of_it" in [n.lower() for n in names]:
-        raise ValueError("a column has a name that this operator uses: places, tag or rows_of_it")
-    return repeats(docs, size).select(*names, "places").mapInArrow(run, docs.schema)
+    # the operator's own columns get out of the way of the caller's
+    renamed = docs.toDF(*(n if n in ("doc_id", "text") else f"of_caller_{i}" for i, n in enumerate(names)))
+    return repeats(renamed, size).select(*renamed.columns, "places").toDF(*(f"c{i}" for i in range(len(names))), "places").mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.functions import text
-from lineweave.operators import intervals, relational, stats
+from lineweave.operators import arrays, intervals, relational, sequential, stats
+from lineweave.sources import subtitles
 
-MODULES = (relational, intervals, stats, text)
+MODULES = (relational, intervals, stats, text, arrays, sequential, subtitles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from lineweave.llm import suffix_dedup as S
 
-SCHEMA = "doc_id long, text string, context string, bucket string"
+SCHEMA = "doc_id long, text string, tag string, places string"
 
 
 def brute(docs, size=50):
@@ -47,6 +47,7 @@ def test_every_window_has_its_anchors():
     raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     at, text, h = S.anchors(raw, off, 50)
     all_h = S.rolling(raw, S.K_BYTES)
+    S.CACHED = 1 << 16
     want = set()
     for t in range(len(texts)):
         for i in range(off[t], off[t + 1] - 49):
@@ -86,8 +87,9 @@ def planted(seed):
     return list(zip(ids, docs))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_planted_passages(spark, seed):
+@pytest.mark.parametrize(("seed", "held"), [(1, 150_000), (2, 50)])
+def test_planted_passages(spark, seed, held, monkeypatch):
+    monkeypatch.setattr(S, "HELD", held)
     docs = planted(seed)
     want = brute(docs)
     assert sum(r[2] for r in want) > 1000
