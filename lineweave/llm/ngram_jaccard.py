@@ -167,12 +167,21 @@ def shared_prefixes(nodes: DataFrame, join: Join) -> DataFrame:
     return rows.mapInArrow(run, "h long, node long, n long")
 
 
+def undecided(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of shared, with label, whose tile holds more than one component.  Other tiles have no
+    pair left to compare, so their bitmaps needn't travel again."""
+    rows = shared.join(label, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    return rows.join(mixed, "h", "left_semi")
+
+
 def tiles(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Tile rows with bitmaps: h, low, high (blocks; 0, 0 in a whole tile), block, node, n, bits."""
+    """Tile rows with bitmaps: h, low, high (blocks; 0, 0 in a whole tile), block, node, n, bits, and
+    label if shared has it."""
     large = shared.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE_ROWS).select("h", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
     rows = shared.join(nodes.select("node", "bits"), "node").join(large, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits")
+    return rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits", *(["label"] if "label" in shared.columns else []))
 
 
 def _apart(bits: pa.ChunkedArray, n: np.ndarray):
@@ -252,21 +261,27 @@ def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
 
 def whole_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """node and shingles (its sorted set) of the nodes in ends.  Texts are dealt by doc_id at every
-    size: the nodes that take part grow with the documents, and aren't for broadcasting."""
+    size: the nodes that take part grow with the documents, and aren't for broadcasting.  A node can
+    come twice where Spark splits a skewed join, which gives the same link twice."""
     needed = nodes.select("node", "digest").join(ends, "node").withColumnRenamed("node", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # repeated rows of a document follow each other
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 flat, off = shingle_sets(*utf8(part.column("text")), join.k)
-                own = [flat[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
-                same = [hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(own, part.column("digest").to_pylist())]
-                at = pa.array(np.flatnonzero(same))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(at), pa.array(own, pa.binary()).take(at)], names=["node", "shingles"])
+                nodes_, own, at = part.column("node").to_pylist(), [], []
+                for i, (x, y, d) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), part.column("digest").to_pylist())):
+                    raw = flat[x:y].tobytes()
+                    if (nodes_[i], d) != last and hashlib.blake2b(raw, digest_size=16).digest() == d:
+                        last = nodes_[i], d
+                        own.append(raw)
+                        at.append(nodes_[i])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own, pa.binary())], names=["node", "shingles"])
 
     texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "digest", "text")
-    return texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(sets, "node long, shingles binary")
 
 
 def linked(pairs: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
@@ -292,15 +307,14 @@ def group_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     first = profile.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     unique = profile.where("digest IS NOT NULL").withColumnRenamed("doc_id", "node").join(first.where("node IS NOT NULL"), ["digest", "node"]).dropDuplicates(["digest", "node"])
     nodes = written(unique, "nodes")
-    tiled = written(tiles(written(shared_prefixes(nodes, join), "shared"), nodes), "tiles")
-    closest = written(compare(tiled, join, across=False), "closest")
+    shared = written(shared_prefixes(nodes, join), "shared")
+    closest = written(compare(tiles(shared, nodes), join, across=False), "closest")
     ends = closest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     whole = written(whole_sets(ends, nodes, docs, join), "sets")
     one = closest.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
     links = written(linked(one, whole, join), "links")
     label = connected(links, "a", "b")
-    labelled = tiled.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    more = compare(labelled, join, across=True).select("a", "b")
+    more = compare(tiles(written(undecided(shared, label), "undecided"), nodes), join, across=True).select("a", "b")
     links = links.unionByName(linked(more, whole, join))
     label = written(connected(links, "a", "b"), "components")
     of = first.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
