@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lineweave.functions import text
 from lineweave.operators import arrays, intervals, relational, sequential, stats
 from lineweave.sources import subtitles
+from lineweave.streaming import jobs
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, subtitles)
+MODULES = (relational, intervals, stats, text, arrays, sequential, subtitles, jobs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; where that is
+    unset (a laptop, tests), below the context's checkpoint folder or one made for it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineweave-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/lineweave-{uuid.uuid4().hex}"
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
