@@ -136,6 +136,56 @@ def onset_envelope(spark, d):
     return frames(spark, d).select("vec_id", F.aggregate(rise, F.lit(0).cast("long"), lambda a, v: a + v * v).alias("energy"))
 
 
+def respace_repeats(lines: DataFrame, least: int = 3, factor: float = 1.5) -> DataFrame:
+    """Starts of runs of lines with one text, spread evenly where the widest step is over factor medians."""
+    w = by_start()
+    t = lines.withColumn("turn", F.when(F.lag("text").over(w) == F.col("text"), 0).otherwise(1))
+    t = t.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    in_run = Window.partitionBy("song", "run").orderBy("s", "line")
+    t = t.withColumns({"i": F.row_number().over(in_run) - 1, "step": F.col("s") - F.lag("s").over(in_run)})
+    each = t.groupBy("song", "run").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.max("step").alias("most"), F.percentile("step", 0.5).alias("middle")).where((F.col("n") >= least) & (F.col("most") > factor * F.col("middle")))
+    return t.join(each, ["song", "run"]).select("song", "line", (F.col("a") + F.floor((F.col("b") - F.col("a")) * F.col("i") / (F.col("n") - 1))).alias("new_s"))
+
+
+def merge_rolling(captions: DataFrame) -> DataFrame:
+    """Captions (song, k, text) of which each goes on where the one before stopped become one, the last."""
+    w = Window.partitionBy("song").orderBy("k")
+    c = captions.withColumn("turn", F.when(F.startswith("text", F.lag("text").over(w)), 0).otherwise(1))
+    c = c.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return c.groupBy("song", "run").agg(F.max_by("text", "k").alias("text"))
+
+
+def scaffold(lines: DataFrame, anchors: DataFrame, tolerance: int) -> DataFrame:
+    """Starts held against anchors (song, line, anchor): a line near its anchor keeps its start, one far
+    from it takes the anchor, one without is put evenly between the known lines around it (at the edges
+    it keeps its start), and no line starts before one before it."""
+    w = by_start()
+    until, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    t = lines.select("song", "line", "s").join(anchors, ["song", "line"], "left").withColumn("i", F.row_number().over(w))
+    known = F.when(F.abs(F.col("s") - F.col("anchor")) <= tolerance, F.col("s")).otherwise(F.col("anchor"))
+    t = t.withColumn("k", F.when(F.col("anchor").isNotNull(), F.struct(known.alias("at"), "i")))
+    t = t.withColumns({"p": F.last("k", ignorenulls=True).over(until), "n": F.first("k", ignorenulls=True).over(since)})
+    between = F.col("p.at") + F.floor((F.col("n.at") - F.col("p.at")) * (F.col("i") - F.col("p.i")) / (F.col("n.i") - F.col("p.i")))
+    t = t.withColumn("at", F.coalesce("k.at", between, "s"))
+    return t.select("song", "line", F.max("at").over(until).alias("new_s"))
+
+
+def rolling_captions(spark, d):
+    """The first five words of each turn as captions that grow by a word, and what is left of them."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    t = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("song"), F.slice(w, 1, 5).alias("w")).where("size(w) > 0")
+    grown = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), " "))
+    return merge_rolling(t.select("song", F.posexplode(grown).alias("k", "text")))
+
+
+def scaffold_query(spark, d):
+    """Clicks against the views that they overlap first."""
+    t = timed_lines(spark, d)
+    c = t.where("text = 'click'")
+    first = overlaps(c, t.where("text = 'view'")).groupBy("song", F.col("a").alias("line")).agg(F.min("b_s").alias("anchor"))
+    return scaffold(c, first, 2 * HOUR)
+
+
 T = TIMED_SQL
 W = "PARTITION BY song ORDER BY s, line"
 QUERIES = {
@@ -155,4 +205,7 @@ QUERIES = {
     "stitched": (stitched, f"SELECT vec_id, count(*) AS n, sum(v)::BIGINT AS total FROM {P} GROUP BY 1"),
     "downsampled": (downsampled, f"SELECT vec_id, i // 4 AS i, v FROM {P} WHERE i % 4 = 0"),
     "onset_envelope": (onset_envelope, f"SELECT a.vec_id, sum(power(greatest(b.v - a.v, 0), 2))::BIGINT AS energy FROM {P} a JOIN {P} b ON a.vec_id = b.vec_id AND b.i = a.i + 1 GROUP BY 1"),
+    "respace_repeats": (lambda spark, d: respace_repeats(timed_lines(spark, d)), f"WITH t AS (SELECT *, CASE WHEN lag(text) OVER ({W}) = text THEN 0 ELSE 1 END AS f FROM {T}), r AS (SELECT *, sum(f) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM t), g AS (SELECT *, row_number() OVER x - 1 AS i, s - lag(s) OVER x AS step FROM r WINDOW x AS (PARTITION BY song, run ORDER BY s, line)), a AS (SELECT song, run, count(*) AS n, min(s) AS a, max(s) AS b FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND max(step) > 1.5::DOUBLE * quantile_cont(step, 0.5)) SELECT g.song, line, a + floor(((b - a) * i)::DOUBLE / (n - 1))::BIGINT AS new_s FROM g JOIN a ON a.song = g.song AND a.run = g.run"),
+    "rolling_captions": (rolling_captions, r"SELECT song, 1 AS run, array_to_string(w[1:5], ' ') AS text FROM (SELECT conv_id AS song, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn = 0) WHERE len(w) > 0"),
+    "scaffold": (scaffold_query, f"WITH c AS (SELECT * FROM {T} WHERE text = 'click'), a AS (SELECT c.song, c.line, min(v.s) AS anchor FROM c JOIN {T} v ON v.text = 'view' AND v.song = c.song AND c.s < v.e AND v.s < c.e GROUP BY 1, 2), k AS (SELECT c.song, c.line, c.s, row_number() OVER (PARTITION BY c.song ORDER BY c.s, c.line) AS i, CASE WHEN anchor IS NULL THEN NULL WHEN abs(s - anchor) <= {2 * HOUR} THEN s ELSE anchor END AS tv FROM c LEFT JOIN a ON a.song = c.song AND a.line = c.line), x AS (SELECT *, last_value(tv IGNORE NULLS) OVER u AS pa, last_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER u AS pi, first_value(tv IGNORE NULLS) OVER f AS na, first_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni FROM k WINDOW u AS (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY song ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT song, line, max(coalesce(tv, pa + floor(((na - pa) * (i - pi))::DOUBLE / (ni - pi))::BIGINT, s)) OVER (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING) AS new_s FROM x"),
 }
