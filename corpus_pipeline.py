@@ -10,13 +10,13 @@ from lineweave.llm.best_fit_packing import cut_pieces, pack
 from lineweave.llm.common import written
 from lineweave.llm.decontamination import drop_contaminated, indexes
 from lineweave.llm.ngram_jaccard import Join, group_documents
-from lineweave.llm.quality_rules import keep_documents
+from lineweave.llm.quality_rules import keep_documents, learn_stems
 from lineweave.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go."""
-    return keep_documents(docs)
+    """Documents that the current policy rejects go; abuse is learned from the labels."""
+    return keep_documents(docs, stems=learn_stems(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ for each rule that failed.  A policy is a versioned choice of rules: ``apply_pol
 AND on stored bits, and ``ablate`` tells from the same bits what each rule alone decides, without
 reading a text again.
 
+Abuse in languages without a list is learned: ``learn_stems`` counts, over all documents that people
+have labelled, how words begin in toxic and in clean ones, and gives ``ledger`` a bounded list.
+
 Cases: a null text has no words, so its measurements are 0 and it fails ``few_words``.  Rows are
 never merged: repeated doc_ids give a row each.  Null doc_ids stay null.  Extra columns of the
 input are ignored; the ledger has the columns of LEDGER only.
@@ -12,6 +15,8 @@ input are ignored; the ledger has the columns of LEDGER only.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +31,13 @@ from lineweave.llm.common import slices, utf8
 #: Insults; a text with two of them and over one in a thousand words is abuse.  A parameter of ``ledger``.
 FLAGGED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_flagged")
+#: Words as of ``kernels.terms``, in lower-case bytes, and how many bytes a stem has.
+TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
+STEM_BYTES = range(4, 17)
+#: Bits of the filter that keeps texts without a label out of the exchange; the join decides.
+FILTER_BITS = 1 << 23
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_flagged", "n_stems")
 LEDGER = ("doc_id", *MEASURES, "fail_bits")
 
 
@@ -50,6 +61,7 @@ def default_rules() -> tuple[Rule, ...]:
         Rule("long_words", c["word_chars"] > 15 * c["n_words"]),
         Rule("shouting", 2 * c["n_upper"] > c["word_chars"]),
         Rule("abuse", (c["n_flagged"] >= 2) & (1000 * c["n_flagged"] > c["n_words"])),
+        Rule("learned_abuse", (c["n_stems"] >= 2) & (100 * c["n_stems"] >= c["n_words"])),
     )
 
 
@@ -66,13 +78,31 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
-POLICIES = (BASE, Policy("v1", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words")), Policy("v2", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "shouting", "abuse")))
+V1 = Policy("v1", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words"))
+V2 = Policy("v2", (*V1.rules, "shouting", "abuse"))
+POLICIES = (BASE, V1, V2, Policy("v3", (*V2.rules, "learned_abuse")))
 CURRENT = POLICIES[-1]
 
 
-def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray) -> dict[str, np.ndarray]:
+def stem_hits(raw: np.ndarray, off: np.ndarray, stems: tuple[bytes, ...]) -> np.ndarray:
+    """How many words of each text begin with one of the stems, none of which begins with another."""
+    if not stems:
+        return np.zeros(len(off) - 1, np.int64)
+    low = K.LOWER[raw]
+    a, b, first = K.runs(K.IS_TERM[low], off)
+    hit = np.zeros(len(a), bool)
+    near = np.flatnonzero(b - a >= STEM_BYTES[0])
+    lead = sum(low[a[near] + j].astype(np.uint32) << np.uint32(8 * j) for j in range(4))
+    near = near[np.isin(lead, np.array([int.from_bytes(s[:4], "little") for s in stems], np.uint32))]
+    for n in {len(s) for s in stems}:
+        at = near[b[near] - a[near] >= n]
+        hit[at] |= np.isin(K.segment_hash(low, a[at], a[at] + n), flagged_hashes(tuple(s for s in stems if len(s) == n)))
+    return K.counts(first, hit)
+
+
+def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray, stems: tuple[bytes, ...] = ()) -> dict[str, np.ndarray]:
     """The measurements of each text of a batch.  Windows and lines are compared by 64-bit hashes
-    within one slice; flagged: hashes of the flagged words."""
+    within one slice; flagged: hashes of the flagged words; stems: as of ``learn_stems``."""
     a, b, first = K.words(raw, off)
     n_words = np.diff(first)
     out = {"n_words": n_words}
@@ -100,6 +130,7 @@ def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray) -> dict[str,
     # punctuation around a word doesn't matter for the list of flagged words
     term, at = K.terms(raw, off)
     out["n_flagged"] = K.counts(at, np.isin(term, flagged))
+    out["n_stems"] = stem_hits(raw, off, stems)
 
     starts = np.zeros(len(raw) + 1, bool)
     starts[off[:-1]] = True
@@ -122,17 +153,18 @@ def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray) -> dict[str,
     return out
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words: tuple[str, ...] = FLAGGED_WORDS) -> DataFrame:
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words: tuple[str, ...] = FLAGGED_WORDS, stems: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the measurements (long), and fail_bits (long): bit i is set where rule i failed."""
     rules = default_rules() if rules is None else rules
     flagged = tuple(w.encode() for w in flagged_words)
+    begins = tuple(s.encode() for s in stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = flagged_hashes(flagged)
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
-                found = measure(*utf8(part.column("text")), known)
+                found = measure(*utf8(part.column("text")), known, begins)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=["doc_id", *MEASURES])
 
     measured = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
@@ -180,11 +212,100 @@ def ablate(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tupl
     )
 
 
-def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+def with_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """lang, text and toxic of the documents that labels (doc_id, toxic) names.  A filter of at most
+    FILTER_BITS bits keeps most other texts where they are; the join by doc_id decides."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    word, mask = F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask")
+    seen = labels.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    near = docs.select("doc_id", "lang", "text", word, mask).join(F.broadcast(seen), "word").where(F.col("bits").bitwiseAND(F.col("mask")) != 0)
+    return near.select("doc_id", "lang", "text").join(labels.hint("merge"), "doc_id").select("lang", "text", "toxic")
+
+
+def begins_of(word: bytes) -> list[bytes]:
+    """What a word begins with: whole characters, of STEM_BYTES bytes."""
+    return [word[:n] for n in STEM_BYTES if n <= len(word) and not (n < len(word) and 0x80 <= word[n] < 0xC0)]
+
+
+def count_stems(texts: DataFrame, wanted: dict[str, set[bytes]] | None = None, limit: int = 200_000) -> DataFrame:
+    """lang, stem, docs (texts with it; only where nothing is wanted) and n (words that begin so), over
+    all texts; the empty stem counts texts and words.  wanted: the only stems of each language to count."""
+    schema = "lang string, stem string, docs long, n long"
+
+    def rows(lang: list, stem: list, docs: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([s.decode() for s in stem], pa.string()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], names=["lang", "stem", "docs", "n"])
+
+    def flush(count: dict[str, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for lang, (docs, n) in count.items():
+            if wanted is not None:  # n has whole words
+                known, words, n = wanted.get(lang, set()), n, Counter({b"": n.pop(b"", 0)})
+                for w, c in words.items():
+                    for s in begins_of(w):
+                        if s in known:
+                            n[s] += c
+            if n:
+                yield rows([lang] * len(n), list(n), [docs[s] for s in n], list(n.values()))
+        count.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, tuple[Counter, Counter]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                docs, n = count.setdefault(lang or "", (Counter(), Counter()))
+                words = TERM.findall((text or "").encode().lower())
+                docs[b""] += 1
+                n[b""] += len(words)
+                if wanted is None:
+                    here: Counter = Counter()
+                    for w, c in Counter(words).items():
+                        for s in begins_of(w):
+                            here[s] += c
+                    docs.update(here.keys())
+                    n.update(here)
+                else:
+                    n.update(words)
+                if sum(len(x[1]) for x in count.values()) > limit:
+                    yield from flush(count)
+        yield from flush(count)
+
+    return texts.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "stem").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, share: float = 0.2, odds: int = 10, least: int = 5) -> tuple[str, ...]:
+    """Stems that mark toxic texts of a language: this share of its labelled toxic texts, and least of
+    them, have a word that begins so, and such words are over odds times as frequent as in its labelled
+    clean texts.  All labelled rows count.  As each text has few stems, so has a language: at most a
+    text's number of stems by 1 / share, whatever the number of documents."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = with_label(docs, marks.where("toxic = 1"))
+    whole = texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("all_docs"))
+    common = count_stems(texts).join(F.broadcast(whole), "lang").where((F.col("docs") >= least) & (F.col("docs") >= share * F.col("all_docs")))  # whole: a row a language
+    toxic = {(r.lang, r.stem.encode()): (r.docs, r.n) for r in common.collect()}
+    wanted: dict[str, set[bytes]] = {}
+    for lang, s in toxic:
+        if s:
+            wanted.setdefault(lang, set()).add(s)
+    if not wanted:
+        return ()
+    clean = {(r.lang, r.stem.encode()): r.n for r in count_stems(with_label(docs, marks.where("toxic = 0")), wanted).collect()}
+    out: set[bytes] = set()
+    for lang, some in wanted.items():
+        ok = {s for s in some if toxic[lang, s][1] * clean.get((lang, b""), 0) > odds * toxic[lang, b""][1] * max(1, clean.get((lang, s), 0))}
+        # the longest that says the same: 'pathetic', not 'path'
+        longer = Counter()
+        for s in ok:
+            for p in begins_of(s)[:-1]:
+                longer[p] = max(longer[p], toxic[lang, s][1])
+        out |= {s for s in ok if 10 * longer[s] < 9 * toxic[lang, s][1]}
+    return tuple(sorted(s.decode() for s in out if not any(p in out for p in begins_of(s)[:-1])))
+
+
+def keep_documents(docs: DataFrame, policy: Policy = CURRENT, stems: tuple[str, ...] = ()) -> DataFrame:
     """The documents, with all their columns, that the policy and the base rules keep; judged where
     they lie, without an exchange."""
     rules = default_rules()
     flagged = tuple(w.encode() for w in FLAGGED_WORDS)
+    begins = tuple(s.encode() for s in stems)
     names = [f"of_caller_{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
 
@@ -193,7 +314,7 @@ def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch, names[text]):
                 part = batch.slice(a, b - a)
-                found = measure(*utf8(part.column(text)), known)
+                found = measure(*utf8(part.column(text)), known, begins)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
 
     renamed = docs.toDF(*names)
@@ -203,5 +324,6 @@ def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    book = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return apply_policy(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_flagged", "fail_bits")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    book = ledger(docs, stems=learn_stems(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return apply_policy(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_flagged", "fail_bits", "n_stems")

@@ -76,3 +76,28 @@ def test_labels_agree(spark):
 
 def test_empty_table(spark):
     assert Q.apply_policy(Q.ledger(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_stems_of_words():
+    raw, off = Q.utf8(Q.pa.array(["Bome bomente abome bom", None, "r\u00e9eux, R\u00e9eu r\u00e9"]))
+    assert Q.stem_hits(raw, off, ("bome".encode(), "r\u00e9eu".encode())).tolist() == [2, 0, 2]
+    assert Q.stem_hits(raw, off, ()).tolist() == [0, 0, 0]
+    assert Q.begins_of("r\u00e9eu\u00e9".encode()) == ["r\u00e9e".encode(), "r\u00e9eu".encode(), "r\u00e9eu\u00e9".encode()]
+
+
+def test_abuse_is_caught_in_every_language(spark):
+    """As test_labels_agree, of op5 itself: what people called toxic goes in each language, not only in English."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    rows = Q.op5_quality_rules(spark, d).where("NOT base_failed").join(docs, "doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("lang", "quality", "toxic", "kept").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r for r in rows if r.toxic and r.lang == lang]
+        good = [r for r in rows if r.quality and not r.toxic and r.lang == lang]
+        assert sum(not r.kept for r in toxic) > 0.9 * len(toxic) > 0, lang
+        assert sum(r.kept for r in good) > 0.98 * len(good) > 0, lang
+
+
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    assert Q.learn_stems(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == ()
+    assert Q.learn_stems(docs, spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 1, 1)], "doc_id long, quality int, toxic int")) == ()
