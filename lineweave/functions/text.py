@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +143,7 @@ def q_fuzzy_rank(spark, d):
 
 def q_containment_anchor(spark, d):
     """Document lines that hold a test item's first line: both meet at the first 12 letters of the item,
-    which stand at the start of one of the line's words."""
+    which stand at the start of one of the line's words.  All lines, both ways: ``containment_lines``."""
     first = lyric_lines(table(spark, d, "benchmark"), "item_id").where("line = 1").select(F.col("song").alias("item_id"), match_key(F.col("text")).alias("short")).where("length(short) >= 12")
     words = F.filter(F.transform(F.split("text", r"\s+"), match_key), lambda x: x != "")
     lines = lyric_lines(docs(spark, d)).select("song", "line", words.alias("w"))
@@ -148,6 +152,86 @@ def q_containment_anchor(spark, d):
     return hit.select("song", "line", "item_id").distinct()
 
 
+#: Places of the filter that keeps fragments which no item has out of the exchange; the join decides.
+PLACES = 1_048_573
+
+
+def byte_fragments(df: DataFrame, key: str, inner: np.ndarray | None = None, first: np.ndarray | None = None) -> DataFrame:
+    """All columns, and size and fragment (as a number): the distinct runs of 4 and of 8 bytes of each key
+    (whole: false), and its first 8 bytes, or 4 of a shorter key (whole: true).  inner, first: filters
+    by place, (size, PLACES) each, of what to give of the two kinds."""
+
+    names = [*df.columns, "size", "fragment", "whole"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                texts = [(t or "").encode() for t in part.column(key).to_pylist()]
+                ends = np.cumsum([len(t) for t in texts])
+                raw = np.frombuffer(b"".join(texts), np.uint8)
+                of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                start = (ends - [len(t) for t in texts])[of] if len(raw) else of
+                out = []
+                for k, size in enumerate((4, 8)):
+                    n = len(raw) - size + 1
+                    if n <= 0:
+                        continue
+                    value = np.zeros(n, np.uint64)
+                    for j in range(size):
+                        value |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+                    value = value.view(np.int64)
+                    place = np.mod(value, PLACES)
+                    inside = of[:n] == of[size - 1 :]
+                    long = ends[of[:n]] - start[:n] >= 8
+                    head = inside & (start[:n] == np.arange(n)) & (long == (size == 8))
+                    for whole, mask, known in ((False, inside, inner), (True, head, first)):
+                        at = np.flatnonzero(mask if known is None else mask & known[k][place])
+                        order = at[np.lexsort((value[at], of[at]))]
+                        same = (of[order][1:] == of[order][:-1]) & (value[order][1:] == value[order][:-1])
+                        order = order[np.append(True, ~same)] if len(order) else order
+                        out.append((of[order], value[order], size, whole))
+                for row, fragment, size, whole in out:
+                    if len(row):
+                        got = part.take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([*got.columns, pa.array([size] * len(row), pa.int32()), pa.array(fragment, pa.int64()), pa.array([whole] * len(row))], names=names)
+
+    return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", size int, fragment long, whole boolean")
+
+
+def places(fragments: DataFrame) -> np.ndarray:
+    """Which places fragments take, by size: at most 2 * PLACES numbers for the driver."""
+    out = np.zeros((2, PLACES), bool)
+    for r in fragments.select("size", F.pmod("fragment", F.lit(PLACES)).alias("place")).distinct().collect():
+        out[r.size // 8, r.place] = True
+    return out
+
+
+def contained_lines(lines: DataFrame, items: DataFrame, least: int = 4, tenths: int = 3) -> DataFrame:
+    """Pairs of lines (song, line, text) and item lines (the same) whose anchor keys have at least so many
+    characters and of which the item's stands in the line's, or the line's, of at least so many tenths
+    of its length, in the item's.  An item's key meets a line at its rarest 8 bytes (4 of a shorter
+    key), wherever they stand; a line's key meets an item at its own first."""
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, anchor_key(F.col("text"))).where(F.length(name) >= least)
+
+    marks = keys(items, "short").select(F.col("song").alias("item_id"), F.col("line").alias("item_line"), "short")
+    every = byte_fragments(marks.select("short").distinct(), "short").where("NOT whole").drop("whole")
+    own = every.where("size = CASE WHEN octet_length(short) >= 8 THEN 8 ELSE 4 END")
+    rare = own.join(own.groupBy("size", "fragment").agg(F.count(F.lit(1)).alias("df")), ["size", "fragment"])
+    rare = rare.groupBy("short").agg(F.min(F.struct("df", "size", "fragment")).alias("m")).select("short", "m.size", "m.fragment", F.lit(False).alias("whole"))
+    meet = rare.unionByName(every.withColumn("whole", F.lit(True)))
+    found = byte_fragments(keys(lines, "long").select("song", "line", "long"), "long", places(rare), places(every))
+    n, m = F.length("long"), F.length("short")
+    hit = found.join(meet, ["size", "fragment", "whole"]).where(F.contains("long", "short") | F.contains("short", "long") & (10 * n >= tenths * m))
+    return hit.select("song", "line", "short").distinct().join(marks, "short").select("song", "line", "item_id", "item_line")
+
+
+def q_containment_lines(spark, d):
+    """Document lines and lines of test items of which one holds the other."""
+    return contained_lines(lyric_lines(docs(spark, d)), lyric_lines(table(spark, d, "benchmark"), "item_id"))
+
+
 def q_char_multiset_f1(spark, d):
     """For each conversation, characters that its first user and first assistant turn share."""
     t = chats(spark, d).where("role <> 'system'")
@@ -241,6 +325,7 @@ def _n(cls: str) -> str:
 S = {k: v for k, v in SCRIPTS.items()}
 L = LYRICS_SQL
 KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+ANCHOR = KEY.format(r"regexp_replace(text, '\([^)]*\)', '', 'g')")
 MOST = "greatest(" + ", ".join(_n(v) for v in S.values()) + ")"
 CLASS = "CASE " + " ".join(f"WHEN {MOST} > 0 AND {_n(v)} = {MOST} THEN '{k}'" for k, v in S.items()) + " ELSE 'none' END"
 DE, FR, ES = (_n(x) for x in ("äöüßÄÖÜ", "èêçàÈÊÇÀ", "ñóíÑÓÍ"))
@@ -266,6 +351,7 @@ QUERIES = {
     "fragment_df": (q_fragment_df, f"SELECT fragment, count(*) AS df FROM {_fragments(4)} GROUP BY 1 HAVING count(*) >= 2"),
     "fuzzy_rank": (q_fuzzy_rank, f"WITH f AS {_fragments(8)}, r AS (SELECT fragment FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4), g AS (SELECT f.* FROM f JOIN r USING (fragment)) SELECT a.item_id, b.item_id AS other, count(*) AS shared, row_number() OVER (PARTITION BY a.item_id ORDER BY count(*) DESC, b.item_id) AS place FROM g a JOIN g b ON a.fragment = b.fragment AND a.item_id <> b.item_id GROUP BY 1, 2 QUALIFY place <= 3"),
     "containment_anchor": (q_containment_anchor, f"WITH b AS (SELECT item_id, {KEY.format('f')} AS short FROM (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS f FROM benchmark)), l AS (SELECT song, line, {KEY.format('text')} AS long FROM {L}) SELECT song, line, item_id FROM l JOIN b ON contains(long, short) WHERE length(short) >= 12"),
+    "containment_lines": (q_containment_lines, f"WITH b AS (SELECT song AS item_id, line AS item_line, {ANCHOR} AS short FROM {LYRICS_SQL.replace('doc_id', 'item_id').replace('documents', 'benchmark')}), l AS (SELECT song, line, {ANCHOR} AS long FROM {L}) SELECT song, line, item_id, item_line FROM l JOIN b ON contains(long, short) OR contains(short, long) AND 10 * length(long) >= 3 * length(short) WHERE length(long) >= 4 AND length(short) >= 4"),
     "char_multiset_f1": (q_char_multiset_f1, "WITH t AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations WHERE role <> 'system' GROUP BY 1, 2), c AS (SELECT conv_id, role, ch, count(*) AS n FROM (SELECT conv_id, role, unnest(string_split(text, '')) AS ch FROM t) GROUP BY ALL), s AS (SELECT a.conv_id, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.ch = b.ch AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1) SELECT s.conv_id, shared, round(2 * shared::DOUBLE / (length(x.text) + length(y.text)), 9) AS f1 FROM s JOIN t x ON x.conv_id = s.conv_id AND x.role = 'user' JOIN t y ON y.conv_id = s.conv_id AND y.role = 'assistant'"),
     "caption_islands": (q_caption_islands, "WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY 1, 2, 3"),
     "gloss_cycle": (q_gloss_cycle, "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system') SELECT conv_id, count(*) FILTER (role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) * 10 >= count(*) * 9 AS cycles FROM t GROUP BY 1 HAVING count(*) >= 2"),
