@@ -132,7 +132,8 @@ def q_fragment_df(spark, d):
 
 
 def q_fuzzy_rank(spark, d):
-    """For each test item the three other items with the most rare fragments in common."""
+    """For each test item the three other items with the most rare fragments (of two to four items) in
+    common.  With equal and nearly equal groups: ``fuzzy_rank_all``."""
     f = fragments(table(spark, d, "benchmark"), "text", 8).select("item_id", "fragment")
     rare = f.groupBy("fragment").agg(F.count(F.lit(1)).alias("df")).where("df BETWEEN 2 AND 4")
     f = f.join(rare, "fragment")
@@ -152,6 +153,40 @@ def q_containment_anchor(spark, d):
     return hit.select("song", "line", "item_id").distinct()
 
 
+def best_others(items: DataFrame, n: int = 8, cap: int = 4, least: float = 0.6, top: int = 3) -> DataFrame:
+    """For each item (item_id, text) the best others: by score (1 for equal keys; where one key holds the
+    other, the ratio of their lengths, if least or more; else 0), then by how many rare fragments of
+    the item they share.  Keys count once, with the least ids of their items.  A fragment is rare if at
+    most cap keys have it, or as many as have the item's rarest shared one: no item loses all.  No key
+    is left out of equal and containing pairs: a key meets those that hold it at its rarest fragment."""
+    keyed = items.select("item_id", match_key(F.col("text")).alias("k")).where("k <> ''")
+    keys = keyed.groupBy("k").agg(F.slice(F.array_sort(F.collect_set("item_id")), 1, top + 1).alias("ids"))
+    size, at = F.length("k"), F.sequence(F.lit(1), F.greatest(F.length("k") - (n - 1), F.lit(1)))
+    f = keys.select("k", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("k", i, F.lit(n))))).alias("fragment"))
+    f = f.join(f.groupBy("fragment").agg(F.count(F.lit(1)).alias("df")), "fragment")
+    rarest = f.where("df >= 2").groupBy("k").agg(F.min("df").alias("own"))
+    mine = f.where("df >= 2").join(rarest, "k").where(F.col("df") <= F.greatest(F.lit(cap), "own"))
+    shared = mine.select("k", "fragment").join(f.select(F.col("k").alias("o"), "fragment"), "fragment").where("k <> o").groupBy("k", "o").agg(F.count(F.lit(1)).alias("shared"))
+    # keys of under n letters may stand in others of which they are no fragment: these are short too
+    inner = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(n - 1), size - i + 1)), lambda j: F.substr("k", i, j))))
+    small = keys.where(size < n / least).select(F.col("k").alias("o"), F.explode(F.array_distinct(inner)).alias("fragment"))
+    meet = f.where(size >= n).groupBy("k").agg(F.min_by("fragment", F.struct("df", "fragment")).alias("fragment"))
+    held = meet.join(f.select(F.col("k").alias("o"), "fragment"), "fragment").unionByName(keys.where(size < n).select("k", F.col("k").alias("fragment")).join(small, "fragment"))
+    held = held.where(F.expr("k <> o") & contains_with_ratio(F.col("o"), F.col("k"), least, 1)).select("k", "o", (F.length("k") / F.length("o")).alias("score")).distinct()
+    held = held.unionByName(held.select(F.col("o").alias("k"), F.col("k").alias("o"), "score"))
+    pairs = shared.join(held, ["k", "o"], "full").join(keys.select(F.col("k").alias("o"), "ids"), "o").select("k", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("shared", F.lit(0)).alias("shared"), "ids")
+    some = pairs.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), F.desc("shared"), F.col("ids")[0]))).where(F.col("place") <= top).drop("place")
+    some = some.unionByName(keys.select("k", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("shared"), "ids"))
+    each = keyed.join(some.select("k", "score", "shared", F.explode("ids").alias("other")), "k").where("item_id <> other")
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("shared"), "other")
+    return each.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top).select("item_id", "other", F.round("score", 9).alias("score"), "shared", "place")
+
+
+def q_fuzzy_rank_all(spark, d):
+    """For each test item the three best others, with equal, containing and often shared texts."""
+    return best_others(table(spark, d, "benchmark"))
+
+
 #: Places of the filter that keeps fragments which no item has out of the exchange; the join decides.
 PLACES = 1_048_573
 
@@ -340,6 +375,14 @@ for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
     CELL = f"replace({CELL}, '{_e}', '{_c}')"
 CELL = rf"trim(regexp_replace({CELL}, '\s+', ' ', 'g'))"
 
+BEST = f"""WITH i AS (SELECT item_id, {KEY.format('text')} AS k FROM benchmark), k AS (SELECT DISTINCT k FROM i WHERE k <> ''),
+f AS (SELECT DISTINCT k, substr(k, j, 8) AS fragment FROM (SELECT k, unnest(range(1, greatest(length(k) - 7, 1) + 1)) AS j FROM k)),
+c AS (SELECT *, count(*) OVER (PARTITION BY fragment) AS df FROM f), m AS (SELECT *, min(df) OVER (PARTITION BY k) AS own FROM c WHERE df >= 2),
+s AS (SELECT a.k, b.k AS o, count(*) AS shared FROM m a JOIN f b ON a.fragment = b.fragment AND a.k <> b.k AND a.df <= greatest(4, a.own) GROUP BY 1, 2),
+p AS (SELECT a.item_id, b.item_id AS other, coalesce(shared, 0) AS shared, CASE WHEN a.k = b.k THEN 1::DOUBLE WHEN (contains(a.k, b.k) OR contains(b.k, a.k)) AND least(length(a.k), length(b.k)) >= 0.6::DOUBLE * greatest(length(a.k), length(b.k)) THEN least(length(a.k), length(b.k))::DOUBLE / greatest(length(a.k), length(b.k)) ELSE 0 END AS score
+FROM i a JOIN i b ON a.item_id <> b.item_id AND a.k <> '' AND b.k <> '' LEFT JOIN s ON s.k = a.k AND s.o = b.k)
+SELECT item_id, other, round(score, 9) AS score, shared, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, shared DESC, other) AS place FROM p WHERE score > 0 OR shared > 0 QUALIFY place <= 3"""
+
 QUERIES = {
     "lyric_lines": (q_lyric_lines, f"SELECT song, line, text FROM {L}"),
     "lyrics_hash": (q_lyrics_hash, "SELECT doc_id, left(sha256(trim(text, ' ' || chr(9) || chr(13) || chr(10))), 16) AS lyrics_hash FROM documents"),
@@ -350,6 +393,7 @@ QUERIES = {
     "title_candidates": (q_title_candidates, r"WITH t AS (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' (' || p_brand || ')' ELSE ' - ' || p_type END || ' feat. ' || p_brand AS t FROM part) SELECT DISTINCT p_partkey, c AS candidate FROM (SELECT p_partkey, unnest([trim(t), trim(regexp_replace(t, '[\(\[][^\)\]]*[\)\]]', '', 'g')), trim(CASE WHEN contains(t, ' - ') THEN left(t, instr(t, ' - ') - 1) ELSE t END), trim(regexp_replace(t, '(?i)\s+(feat|ft)\.?\s.*$', ''))]) AS c FROM t) WHERE c <> ''"),
     "fragment_df": (q_fragment_df, f"SELECT fragment, count(*) AS df FROM {_fragments(4)} GROUP BY 1 HAVING count(*) >= 2"),
     "fuzzy_rank": (q_fuzzy_rank, f"WITH f AS {_fragments(8)}, r AS (SELECT fragment FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4), g AS (SELECT f.* FROM f JOIN r USING (fragment)) SELECT a.item_id, b.item_id AS other, count(*) AS shared, row_number() OVER (PARTITION BY a.item_id ORDER BY count(*) DESC, b.item_id) AS place FROM g a JOIN g b ON a.fragment = b.fragment AND a.item_id <> b.item_id GROUP BY 1, 2 QUALIFY place <= 3"),
+    "fuzzy_rank_all": (q_fuzzy_rank_all, BEST),
     "containment_anchor": (q_containment_anchor, f"WITH b AS (SELECT item_id, {KEY.format('f')} AS short FROM (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS f FROM benchmark)), l AS (SELECT song, line, {KEY.format('text')} AS long FROM {L}) SELECT song, line, item_id FROM l JOIN b ON contains(long, short) WHERE length(short) >= 12"),
     "containment_lines": (q_containment_lines, f"WITH b AS (SELECT song AS item_id, line AS item_line, {ANCHOR} AS short FROM {LYRICS_SQL.replace('doc_id', 'item_id').replace('documents', 'benchmark')}), l AS (SELECT song, line, {ANCHOR} AS long FROM {L}) SELECT song, line, item_id, item_line FROM l JOIN b ON contains(long, short) OR contains(short, long) AND 10 * length(long) >= 3 * length(short) WHERE length(long) >= 4 AND length(short) >= 4"),
     "char_multiset_f1": (q_char_multiset_f1, "WITH t AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations WHERE role <> 'system' GROUP BY 1, 2), c AS (SELECT conv_id, role, ch, count(*) AS n FROM (SELECT conv_id, role, unnest(string_split(text, '')) AS ch FROM t) GROUP BY ALL), s AS (SELECT a.conv_id, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.ch = b.ch AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1) SELECT s.conv_id, shared, round(2 * shared::DOUBLE / (length(x.text) + length(y.text)), 9) AS f1 FROM s JOIN t x ON x.conv_id = s.conv_id AND x.role = 'user' JOIN t y ON y.conv_id = s.conv_id AND y.role = 'assistant'"),

@@ -28,3 +28,19 @@ def test_containment_meets_everywhere_and_both_ways(spark):
     assert {(8, 0, 9, 2), (8, 0, 9, 4)} <= want and (8, 1, 9, 3) not in want
     none = spark.createDataFrame([], schema)
     assert T.contained_lines(none, none).collect() == []
+
+
+def test_equal_and_near_items_find_each_other(spark):
+    import duckdb
+
+    base = "it is the same long line of words again and again"
+    rows = [(i, base) for i in range(1, 7)] + [(10 + i, base[:-3] + c) for i, c in enumerate("qwxyz")] + [(20, base + " more"), (21, "abc"), (22, "Abc!"), (23, "abcd"), (24, ""), (25, None), (26, "alone in here")]
+    got = sorted(tuple(r) for r in T.best_others(spark.createDataFrame(rows, "item_id long, text string")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(T.QUERIES["fuzzy_rank_all"][1]).fetchall())
+    # the old rule gives the six equal ones, which share no fragment of four items or fewer, no partner
+    assert [r[1] for r in got if r[0] == 6] == [1, 2, 3]
+    assert [(r[1], r[2]) for r in got if r[0] == 21] == [(22, 1.0), (23, 0.75)]
+    assert {r[0] for r in got} == {r[0] for r in rows} - {24, 25, 26}
