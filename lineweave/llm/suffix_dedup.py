@@ -9,13 +9,19 @@ bytes before them, are enough; there is one for about 18 bytes.
 2. The other anchors become contexts: the suffix from the anchor and the prefix that ends there,
    both as far as a window can reach.  Of equal contexts in a task, all but the smallest document's
    are settled on the spot, so a passage that very many documents share travels once for each task.
-3. Sampled splitters of the leading bytes deal contexts to buckets.  All suffixes with the same
-   leading bytes are in one bucket, so what has to be compared never lies across a boundary.
+3. Sampled splitters of the leading bytes part contexts into ranges, and each range, where it is
+   large, into buckets by the anchor's hash.  All suffixes with the same anchor are in one bucket, so
+   what has to be compared never lies across a boundary.  A task holds one bucket at a time, and the
+   number of buckets follows from the bytes of all texts.  An anchor that would fill a bucket by
+   itself goes window by window instead, dealt by two 64-bit hashes of the window.
 4. A bucket sorts suffixes and reversed prefixes by multikey quicksort on 8-byte keys.  Runs in the
    two arrays of longest common prefixes say which contexts share a whole window, for each place of
    the anchor in it; the smallest doc_id of each such group is what its documents are held against.
 5. Marked windows come together by document, and the bytes they cover are removed.
 
+Equal contexts in a task are told by a 64-bit hash of their 86 bytes; all else is compared by bytes,
+but for the windows of hot anchors.
+
 Cases: a null text is empty.  A document with a null doc_id keeps all and marks nothing.  Rows with
 equal doc_ids never mark each other.  Texts under ``size`` bytes keep all.  An empty table gives no
 rows.  Extra columns are ignored, or kept by ``remove_repeats``.
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +44,12 @@ from lineweave.llm.common import slices, utf8
 K_BYTES = 16
 #: Documents whose anchors the splitters are taken from.
 SAMPLE_DOCS = 2000
-#: Bytes of text in one slice, and of those that are hashed at once.
-STEP, CACHED = 1 << 20, 1 << 16
-MAX = np.iinfo(np.int64).max
-#: Contexts that a task holds at once, and the key of rows without a doc_id.
-HELD = 150_000
-NO_ID = -(1 << 63)
+#: Bytes of text in one slice, of those that are hashed at once, and of those asked about together.
+STEP, CACHED, ASKED = 1 << 20, 1 << 16, 3 << 20
+#: Contexts that a task holds at once, and those of hot anchors of which it has all windows at once.
+HELD, HOT_STEP = 100_000, 4000
+#: Bytes of text for each bucket, sampled anchors for each range, and the times that a hot anchor is sampled at least.
+BUCKET_BYTES, SAMPLED, HOT_LEAST = 2 << 20, 64, 64
 
 
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:
@@ -159,8 +166,8 @@ def real_windows(n_left: np.ndarray, n_right: np.ndarray, size: int) -> np.ndarr
     return (((n_left[:, None] >= o) & (n_right[:, None] >= size - o)).astype(np.int64) << o).sum(axis=1)
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for a, b in slices(batch, "text", STEP):
+def _steps(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    for a, b in slices(batch, "text", limit):
         yield batch.slice(a, b - a)
 
 
@@ -192,119 +199,186 @@ def _expand(raw: bytes, n: int, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def _context_hash(rows: np.ndarray) -> np.ndarray:
-    n, w = rows.shape
-    return K.segment_hash(rows.reshape(-1), np.arange(n) * w, np.arange(1, n + 1) * w) if n else np.zeros(0, K.U64)
+def _hashed(rows: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each row of a byte matrix, by 8-byte columns."""
+    n, width = rows.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    out = np.full(n, K.U64(seed) + K.BASE)
+    for column in padded.view("<u8").T:
+        out = K.mix(out * K.BASE + column)
+    return out
 
 
 def _six_bytes(h: np.ndarray) -> np.ndarray:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
     return out.view("<u8")[:, 0]
 
 
-def _shared_anchors(texts: DataFrame, size: int, parts: int) -> DataFrame:
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new group begins in columns that are sorted together."""
+    n = len(sorted_keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    fresh = np.zeros(n, bool)
+    fresh[0] = True
+    for k in sorted_keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _dealt(bucket: np.ndarray, kind: int, base: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns cut up by bucket: a row of SENT for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cut = _starts(bucket[order])
+    ends = np.append(cut[1:], len(order))
+    blobs = [_squeeze(*(c[order[x:y]] for c in columns)) for x, y in zip(cut.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order[cut]].astype(np.int64)), pa.array([kind] * len(cut), pa.int32()), pa.array([base] * len(cut), pa.int64()), pa.array((ends - cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "base", "n", "rows"])
+
+
+#: What tasks send each other: of a bucket, n rows of the given kind, compressed.
+SENT = "bucket long, kind int, base long, n int, rows binary"
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of SENT of one bucket after the other."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _gather(sent: DataFrame, parts: int) -> DataFrame:
+    """Buckets whole in a task, one after the other, so that a task holds one at a time."""
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def _told(*columns: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for x in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], names=names)
+
+
+def _shared_anchors(texts: DataFrame, size: int, parts: int, buckets: int) -> DataFrame:
     """key (a doc_id), hashes (array): the anchors of a document that another document has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch):
+            for part in _steps(batch, ASKED):
                 part = part.filter(part.column("doc_id").is_valid())
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 _, text, h = anchors(*utf8(part.column("text")), size)
                 h, doc = h >> K.U64(16), ids[text]
                 order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
-                h, doc = h[fresh], doc[fresh]
-                first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else fresh
-                many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1 if len(h) else fresh
+                fresh = _starts(h[order], doc[order])
+                h, doc = h[order][fresh], doc[order][fresh]
+                if not len(h):
+                    continue
+                first = np.zeros(len(h), bool)
+                first[_starts(h)] = True
+                many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
                 # one for each hash is asked about; what two documents here share needs no answer
-                bucket = np.where(first, h % K.U64(parts), K.mix(doc.astype(K.U64)) % K.U64(parts)).astype(np.int64)
+                bucket = np.where(first, h % K.U64(buckets), K.mix(doc.astype(K.U64)) % K.U64(buckets)).astype(np.int64)
                 kind = np.where(first, np.where(many, 1, 0), 2).astype(np.uint8)
-                order = np.argsort(bucket, kind="stable")
-                b = bucket[order]
-                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
-                ends = np.append(cut[1:], len(b))
-                base = int(doc.min(initial=MAX)) if len(doc) else 0
-                wide = len(doc) and int(doc.max()) - base >= 1 << 32
-                columns = (_six_bytes(h), (doc - (0 if wide else base)).astype("<i8" if wide else "<u4"), kind)
-                blobs = [[v[order[x:y]].tobytes() for x, y in zip(cut.tolist(), ends.tolist())] for v in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), pa.array([0 if wide else base] * len(cut), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "base", "h", "doc", "kind"])
+                base = int(doc.min())
+                wide = int(doc.max()) - base >= 1 << 32
+                yield _dealt(bucket, int(wide), 0 if wide else base, _six_bytes(h), doc if wide else (doc - base).astype("<u4"), kind)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: list[tuple] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                kind = np.frombuffer(row["kind"], np.uint8)
-                h = _from_six(row["h"])
-                doc = np.frombuffer(row["doc"], "<i8" if len(row["doc"]) == 8 * len(kind) else "<u4").astype(np.int64) + row["base"]
-                known = kind > 0
-                if known.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(h[known].view(np.int64))], names=["doc_id", "h"])
-                ask = kind < 2
-                asked.append((h[ask], doc[ask], kind[ask]))
-        if asked:
+        for rows in _by_bucket(batches):
+            asked = []
+            for row in rows:
+                six, doc, kind = _expand(row["rows"], row["n"], ("u1", 6), ("i8" if row["kind"] else "u4", 1), ("u1", 1))
+                asked.append((_from_six(six), doc.astype(np.int64) + row["base"], kind))
             h, doc, kind = (np.concatenate(x) for x in zip(*asked))
-            order = np.argsort(h, kind="stable")
-            h, doc, kind = h[order], doc[order], kind[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            ask = kind < 2
+            order = np.flatnonzero(ask)[np.argsort(h[ask], kind="stable")]
+            first = _starts(h[order])
+            tell = kind > 0
             if len(first):
-                group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-                shared = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(kind, first) > 0)
-                tell = shared[group] & (kind == 0)
-                for x in range(0, int(tell.sum()), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[tell][x : x + (1 << 16)]), pa.array(h[tell][x : x + (1 << 16)].view(np.int64))], names=["doc_id", "h"])
-
-    sent = texts.select("key", "doc_id", "text", "tag").mapInArrow(send, "bucket long, base long, h binary, doc binary, kind binary")
-    told = sent.repartition(parts, "bucket").mapInArrow(answer, "doc_id long, h long")
+                group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+                own = doc[order]
+                shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | (np.maximum.reduceat(kind[order], first) > 0)
+                tell[order] |= shared[group]
+            yield from _told(doc[tell], h[tell].view(np.int64), names=["doc_id", "h"])
+
+    sent = texts.select("doc_id", "text").mapInArrow(send, SENT)
+    told = _gather(sent, parts).mapInArrow(answer, "doc_id long, h long")
     return told.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("h").alias("hashes"))
 
 
-def _places(shared: DataFrame, size: int, splitters: np.ndarray, parts: int) -> DataFrame:
+def _places(shared: DataFrame, size: int, deal: Deal, parts: int) -> DataFrame:
     """Marked windows by (doc_id, tag, place of the anchor, mask of its places in the window)."""
     reach = size - K_BYTES
     width = size + reach + 2
-
-    def packed(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
-        ends = np.append(cut[1:], len(order))
-        blobs = [_squeeze(*(c[order[x:y]] for c in columns)) for x, y in zip(cut.tolist(), ends.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cut]], pa.int64()), pa.array([kind] * len(cut), pa.int32()), pa.array((ends - cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "n", "rows"])
-
-    def settle(rows, doc, tag, place) -> Iterator[pa.RecordBatch]:
-        h = _context_hash(rows)
-        order = np.lexsort((doc, h))
-        first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    names = ["doc_id", "tag", "place", "mask"]
+
+    def mine(doc: np.ndarray) -> np.ndarray:
+        return K.mix(doc.astype(K.U64)) % K.U64(deal.buckets)
+
+    def windows(rows, doc, tag, place) -> Iterator[pa.RecordBatch]:
+        """Contexts of hot anchors, as hashes of each window: dealt by these, no anchor is in one task."""
+        at, offset = np.nonzero((rows[:, -2, None] >= np.arange(reach + 1)) & (rows[:, -1, None] >= size - np.arange(reach + 1)))
+        whole = np.concatenate((rows[:, size : size + reach][:, ::-1], rows[:, :size]), axis=1)  # bytes in their order
+        own = np.lib.stride_tricks.sliding_window_view(whole, size, axis=1)[at, reach - offset]
+        one, two = _hashed(own), _hashed(own, 1)
+        order = np.lexsort((doc[at], two, one))
+        at, offset, one, two = at[order], offset[order], one[order], two[order]
+        first = _starts(one, two)
+        least = np.repeat(doc[at[first]], np.diff(np.append(first, len(at))))
+        settled = doc[at] > least
+        yield from marks(doc[at[settled]], tag[at[settled]], place[at[settled]], np.int64(1) << offset[settled])
+        ask = ~settled
+        at = at[ask]
+        yield _dealt((one[ask] % K.U64(deal.buckets)).astype(np.int64), 2, 0, one[ask], two[ask], doc[at], tag[at], place[at], offset[ask].astype(np.uint8))
+
+    def marks(doc, tag, place, mask) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            yield _dealt(mine(doc).astype(np.int64), 1, 0, doc, tag, place, mask)
+
+    def settle(rows, h, doc, tag, place) -> Iterator[pa.RecordBatch]:
+        same = _hashed(rows)
+        order = np.lexsort((doc, same))
+        first = _starts(same[order])
         least = np.empty(len(doc), np.int64)
         least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
         here = np.flatnonzero(doc > least)  # a smaller document of this task has the whole context
-        if len(here):
-            mask = real_windows(rows[here, -2].astype(np.int64), rows[here, -1].astype(np.int64), size)
-            yield from packed((K.mix(doc[here].astype(K.U64)) % K.U64(parts)).astype(np.int64), 1, doc[here], tag[here], place[here], mask)
-        ask = order[doc[order] == least[order]]
-        lead = np.ascontiguousarray(rows[ask, :8]).view(">u8")[:, 0].astype(K.U64)
-        ask = ask[np.argsort(lead, kind="stable")]  # alike suffixes side by side, which compresses
-        lead = np.ascontiguousarray(rows[ask, :8]).view(">u8")[:, 0].astype(K.U64)
-        yield from packed(np.searchsorted(splitters, lead, side="right").astype(np.int64), 0, rows[ask], doc[ask], tag[ask], place[ask])
+        yield from marks(doc[here], tag[here], place[here], real_windows(rows[here, -2].astype(np.int64), rows[here, -1].astype(np.int64), size))
+        ask = np.flatnonzero(doc == least)
+        hot = np.isin(h[ask], deal.hot)
+        for x in np.array_split(ask[hot], -(-int(hot.sum()) // HOT_STEP)) if hot.any() else []:
+            yield from windows(rows[x], doc[x], tag[x], place[x])
+        ask = ask[~hot]
+        lead = np.ascontiguousarray(rows[ask, :K_BYTES]).view(f"S{K_BYTES}")[:, 0]
+        order = np.argsort(lead, kind="stable")  # alike suffixes side by side, which compresses
+        ask, lead = ask[order], lead[order]
+        bucket = np.searchsorted(deal.splitters, lead, side="right") * deal.fine + (h[ask] % K.U64(deal.fine)).astype(np.int64)
+        if len(ask):
+            yield _dealt(bucket, 0, 0, rows[ask], doc[ask], tag[ask], place[ask])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in _steps(batch):
+            for part in _steps(batch, STEP):
+                part = part.filter(part.column("doc_id").is_valid())
                 raw, off = utf8(part.column("text"))
                 at, text, h = anchors(raw, off, size)
+                h >>= K.U64(16)
                 wanted, many = part.column("hashes").flatten().to_numpy().view(K.U64), part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
                 own = np.repeat(np.arange(len(part)), many)
-                keep = np.isin((h >> K.U64(16)) ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
-                at, text = at[keep], text[keep]
+                keep = np.isin(h ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
+                at, text, h = at[keep], text[keep], h[keep]
                 if len(at):
-                    held.append((_contexts(raw, off, at, text, size), part.column("doc_id").to_numpy(zero_copy_only=False)[text], part.column("tag").to_numpy()[text], at - off[text]))
+                    held.append((_contexts(raw, off, at, text, size), h, part.column("doc_id").to_numpy(zero_copy_only=False)[text], part.column("tag").to_numpy()[text], at - off[text]))
                     n += len(at)
                 if n >= HELD:
                     yield from settle(*(np.concatenate(x) for x in zip(*held)))
@@ -313,62 +387,86 @@ def _places(shared: DataFrame, size: int, splitters: np.ndarray, parts: int) ->
             yield from settle(*(np.concatenate(x) for x in zip(*held)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tag", "place", "mask"]
-        asked = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _expand(row["rows"], row["n"], ("i8", 1), ("i8", 1), ("i8", 1), ("i8", 1))], names=names)
+        for sent_rows in _by_bucket(batches):
+            asked, hot = [], []
+            for row in sent_rows:
+                if row["kind"] == 1:
+                    yield from _told(*_expand(row["rows"], row["n"], ("i8", 1), ("i8", 1), ("i8", 1), ("i8", 1)), names=names)
+                elif row["kind"] == 2:
+                    hot.append(_expand(row["rows"], row["n"], ("u8", 1), ("u8", 1), ("i8", 1), ("i8", 1), ("i8", 1), ("u1", 1)))
                 else:
                     asked.append(_expand(row["rows"], row["n"], ("u1", width), ("i8", 1), ("i8", 1), ("i8", 1)))
-        if not asked:
-            return
-        rows, doc, tag, place = (np.concatenate(x) for x in zip(*asked))
-        del asked
-        mask = repeated_windows(rows[:, size : size + reach], rows[:, :size], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), doc, size)
-        hit = np.flatnonzero(mask)
-        for x in range(0, len(hit), 1 << 16):
-            some = hit[x : x + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (doc, tag, place, mask)], names=names)
-
-    sent = shared.mapInArrow(send, "bucket long, kind int, n int, rows binary")
-    return sent.repartition(parts, "bucket").mapInArrow(compare, "doc_id long, tag long, place long, mask long")
-
-
-def _splitters(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
-    """Leading bytes of suffixes that part those of about SAMPLE_DOCS documents evenly.  They decide
-    where a suffix is sorted, never what is found."""
-    total = docs.count()
+            if hot:
+                one, two, doc, tag, place, offset = (np.concatenate(x) for x in zip(*hot))
+                order = np.lexsort((doc, two, one))
+                first = _starts(one[order], two[order])
+                hit = order[doc[order] > np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))]
+                yield from _told(doc[hit], tag[hit], place[hit], np.int64(1) << offset[hit].astype(np.int64), names=names)
+            if asked:
+                rows, doc, tag, place = (np.concatenate(x) for x in zip(*asked))
+                del asked
+                mask = repeated_windows(rows[:, size : size + reach], rows[:, :size], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), doc, size)
+                hit = np.flatnonzero(mask)
+                yield from _told(doc[hit], tag[hit], place[hit], mask[hit], names=names)
+
+    return _gather(shared.mapInArrow(send, SENT), parts).mapInArrow(compare, "doc_id long, tag long, place long, mask long")
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How contexts are dealt.  splitters: leading bytes that part suffixes into ranges; each range is
+    dealt on to fine buckets by its anchors' hashes.  hot: hashes of anchors that would fill a bucket."""
+
+    splitters: np.ndarray
+    fine: int
+    hot: np.ndarray
+
+    @property
+    def buckets(self) -> int:
+        return (len(self.splitters) + 1) * self.fine
+
+
+def choose_deal(docs: DataFrame, size: int, bucket_bytes: int, hot_least: int) -> Deal:
+    """A bucket for about bucket_bytes of text, from the anchors of about SAMPLE_DOCS documents.  They
+    decide where a suffix is sorted, never what is found."""
+    total, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_DOCS))) == 0).select(F.substring(F.coalesce("text", F.lit("")), 1, 4000).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch):
+            for part in _steps(batch, STEP):
                 raw, off = utf8(part.column("text"))
-                at, _, _ = anchors(raw, off, size)
-                lead = np.ascontiguousarray(raw[at[:, None] + np.arange(8)]).view(">u8")[:, 0].astype(K.U64) if len(at) else np.zeros(0, K.U64)
-                yield pa.RecordBatch.from_pydict({"lead": [lead.tobytes()]})
+                at, _, h = anchors(raw, off, size)
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"lead": [np.ascontiguousarray(raw[at[:, None] + np.arange(K_BYTES)]).tobytes()], "h": [(h >> K.U64(16)).tobytes()]})
 
-    lead = np.sort(np.concatenate([np.zeros(0, K.U64), *(np.frombuffer(r.lead, K.U64) for r in some.mapInArrow(run, "lead binary").collect())]))
-    return np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
+    found = some.mapInArrow(run, "lead binary, h binary").collect()  # SAMPLE_DOCS texts of at most 4000 characters
+    wanted = max(1, n_bytes // bucket_bytes)
+    if not found:
+        return Deal(np.zeros(0, f"S{K_BYTES}"), wanted, np.zeros(0, K.U64))
+    lead = np.sort(np.concatenate([np.frombuffer(r.lead, f"S{K_BYTES}") for r in found]))
+    each, many = np.unique(np.concatenate([np.frombuffer(r.h, K.U64) for r in found]), return_counts=True)
+    ranges = max(1, min(wanted, len(lead) // SAMPLED))
+    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, ranges + 1).astype(np.int64)[1:-1]])
+    return Deal(splitters, max(1, -(-wanted // (len(splitters) + 1))), each[(many >= hot_least) & (many * wanted > 2 * many.sum())])
 
 
-def repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 50, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
     """The rows of docs with text and places (array of struct(place, mask)): the window of size bytes
     that starts at byte place - i repeats a smaller document's, for each bit i of mask."""
     if not 2 * K_BYTES <= size <= K_BYTES + 62:
         raise ValueError(f"size is {size}; anchors of {K_BYTES} bytes serve {2 * K_BYTES} to {K_BYTES + 62}")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = choose_deal(docs, size, bucket_bytes, hot_least)
     # one exchange of the texts, which every step below reads again; its key is never null, so that
-    # no filter on it makes the exchanges differ
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    twice = docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows_of_it")).where("rows_of_it > 1")
+    # no filter on it makes the exchanges differ.  Rows without a doc_id are dealt by their text
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("rows_of_it")).where("rows_of_it > 1")
     texts = docs.withColumn("key", key).repartition(parts, "key").join(twice, "key", "left")
     texts = texts.withColumn("tag", F.when(F.col("rows_of_it").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("rows_of_it")
-    shared = texts.select("key", "doc_id", "text", "tag").join(_shared_anchors(texts, size, parts), "key")
-    places = _places(shared, size, _splitters(docs, size, 2 * parts), parts).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("tag", "place", "mask")).alias("places"))
-    own = F.transform(F.filter("places", lambda p: p["tag"] == F.col("tag")), lambda p: F.struct(p["place"].alias("place"), p["mask"].alias("mask")))
+    shared = texts.select("key", "doc_id", "text", "tag").join(_shared_anchors(texts, size, parts, deal.buckets), "key")
+    places = _places(shared, size, deal, parts).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("tag", "place", "mask")).alias("places"))
+    own = F.when(F.col("doc_id").isNotNull(), F.transform(F.filter("places", lambda p: p["tag"] == F.col("tag")), lambda p: F.struct(p["place"].alias("place"), p["mask"].alias("mask"))))
     return texts.join(places, "key", "left").withColumn("places", own).drop("tag", "key")
 
 
@@ -391,12 +489,12 @@ def _cut(text: pa.Array, places: pa.Array, size: int) -> Iterator[tuple[np.ndarr
         yield own, covered(len(own), place[end[i] - n[i] : end[i]], mask[end[i] - n[i] : end[i]], size) if n[i] else None
 
 
-def measure_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+def measure_repeats(docs: DataFrame, size: int = 50, **dealing: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch):
+            for part in _steps(batch, STEP):
                 out = []
                 for own, gone in _cut(part.column("text"), part.column("places"), size):
                     kept = own if gone is None else own[~gone]
@@ -404,7 +502,7 @@ def measure_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
                     out.append((len(own), len(own) - len(kept), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats(docs.select("doc_id", "text"), size).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs.select("doc_id", "text"), size, **dealing).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:

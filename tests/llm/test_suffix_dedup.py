@@ -87,14 +87,25 @@ def planted(seed):
     return list(zip(ids, docs))
 
 
-@pytest.mark.parametrize(("seed", "held"), [(1, 150_000), (2, 50)])
-def test_planted_passages(spark, seed, held, monkeypatch):
+@pytest.mark.parametrize(("seed", "held", "dealing"), [(1, 150_000, {}), (2, 50, {}), (3, 100, {"bucket_bytes": 500, "hot_least": 3}), (4, 30, {"bucket_bytes": 50})])
+def test_planted_passages(spark, seed, held, dealing, monkeypatch):
+    """Also in very small buckets, and with anchors that fill them."""
     monkeypatch.setattr(S, "HELD", held)
     docs = planted(seed)
     want = brute(docs)
     assert sum(r[2] for r in want) > 1000
     frame = spark.createDataFrame([(*d, "", "") for d in docs], SCHEMA).repartition(3)
-    assert found(S.measure_repeats(frame)) == want
+    if "hot_least" in dealing:
+        assert len(S.choose_deal(frame, 50, **dealing).hot)
+    assert found(S.measure_repeats(frame, **dealing)) == want
+
+
+def test_null_ids_that_look_like_another_row(spark):
+    """Rows without a doc_id are dealt by a hash of their text; a document with that very number is another."""
+    p = "a passage of well over fifty bytes that several rows of this small table have in common. "
+    key = spark.sql(f"SELECT xxhash64('{p}') AS k").first().k
+    docs = [(None, p), (None, p), (key, p), (min(key, 0) - 1, p + "end")]
+    assert found(S.measure_repeats(spark.createDataFrame([(*d, None, None) for d in docs], SCHEMA))) == brute(docs)
 
 
 def test_odd_rows(spark):
