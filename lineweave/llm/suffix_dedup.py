@@ -5,7 +5,8 @@ Anchors stand in for suffixes: of each window of ``size`` bytes, the K-byte stri
 hash.  Two equal windows have the same anchors at the same places, so suffixes at anchors, with the
 bytes before them, are enough; there is one for about 18 bytes.
 
-1. Anchors whose hash just one document has are dropped.  Tasks send each hash once, and hear back.
+1. A document of which a smaller one has the whole text is settled at once (by its md5).  Of the others,
+   anchors whose hash just one of them has are dropped.  Tasks send each hash once, and hear back.
 2. The other anchors become contexts: the suffix from the anchor and the prefix that ends there,
    both as far as a window can reach.  Of equal contexts in a task, all but the smallest document's
    are settled on the spot, so a passage that very many documents share travels once for each task.
@@ -42,12 +43,15 @@ from lineweave.llm import kernels as K
 from lineweave.llm.common import slices, utf8
 
 K_BYTES = 16
+ZSTD = pa.Codec("zstd", compression_level=3)
+#: Groups that the rows of one text meet its first document in.
+SALTS = 32
 #: Documents whose anchors the splitters are taken from.
 SAMPLE_DOCS = 2000
 #: Bytes of text in one slice, of those that are hashed at once, and of those asked about together.
 STEP, CACHED, ASKED = 1 << 20, 1 << 16, 3 << 20
 #: Contexts that a task holds at once, and those of hot anchors of which it has all windows at once.
-HELD, HOT_STEP = 100_000, 4000
+HELD, HOT_STEP = 150_000, 4000
 #: Bytes of text for each bucket, sampled anchors for each range, and the times that a hot anchor is sampled at least.
 BUCKET_BYTES, SAMPLED, HOT_LEAST = 2 << 20, 64, 64
 
@@ -186,7 +190,7 @@ def _contexts(raw: np.ndarray, off: np.ndarray, at: np.ndarray, text: np.ndarray
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
-    return pa.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), codec="zstd", asbytes=True)
+    return ZSTD.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), asbytes=True)
 
 
 def _expand(raw: bytes, n: int, *kinds: tuple[str, int]) -> list[np.ndarray]:
@@ -309,10 +313,11 @@ def _shared_anchors(texts: DataFrame, size: int, parts: int, buckets: int) -> Da
                 own = doc[order]
                 shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | (np.maximum.reduceat(kind[order], first) > 0)
                 tell[order] |= shared[group]
-            yield from _told(doc[tell], h[tell].view(np.int64), names=["doc_id", "h"])
+            # 32 bits of it tell it from the other anchors of a document; a wrong one makes a context too many
+            yield from _told(doc[tell], (h[tell] >> K.U64(16)).astype(np.uint32).view(np.int32), names=["doc_id", "h"])
 
-    sent = texts.select("doc_id", "text").mapInArrow(send, SENT)
-    told = _gather(sent, parts).mapInArrow(answer, "doc_id long, h long")
+    sent = texts.where("NOT copied").mapInArrow(send, SENT)
+    told = _gather(sent, parts).mapInArrow(answer, "doc_id long, h int")
     return told.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("h").alias("hashes"))
 
 
@@ -373,9 +378,9 @@ def _places(shared: DataFrame, size: int, deal: Deal, parts: int) -> DataFrame:
                 raw, off = utf8(part.column("text"))
                 at, text, h = anchors(raw, off, size)
                 h >>= K.U64(16)
-                wanted, many = part.column("hashes").flatten().to_numpy().view(K.U64), part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
+                wanted, many = part.column("hashes").flatten().to_numpy().view(np.uint32).astype(K.U64), part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
                 own = np.repeat(np.arange(len(part)), many)
-                keep = np.isin(h ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
+                keep = np.isin(h >> K.U64(16) ^ K.mix(text.astype(K.U64) + K.U64(1)), wanted ^ K.mix(own.astype(K.U64) + K.U64(1)))
                 at, text, h = at[keep], text[keep], h[keep]
                 if len(at):
                     held.append((_contexts(raw, off, at, text, size), h, part.column("doc_id").to_numpy(zero_copy_only=False)[text], part.column("tag").to_numpy()[text], at - off[text]))
@@ -451,20 +456,35 @@ def choose_deal(docs: DataFrame, size: int, bucket_bytes: int, hot_least: int) -
     return Deal(splitters, max(1, -(-wanted // (len(splitters) + 1))), each[(many >= hot_least) & (many * wanted > 2 * many.sum())])
 
 
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """key (doc_id) of the documents whose whole text a smaller doc_id has too.  A text is one row after
+    the first aggregation, and its documents meet it in SALTS groups."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = first.select("digest", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(first, ["digest", "salt"]).where("doc_id > first").select(F.col("doc_id").alias("key"))
+
+
 def repeats(docs: DataFrame, size: int = 50, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
-    """The rows of docs with text and places (array of struct(place, mask)): the window of size bytes
-    that starts at byte place - i repeats a smaller document's, for each bit i of mask."""
+    """The rows of docs with places (array of struct(place, mask)): the window of size bytes that starts
+    at byte place - i repeats a smaller document's, for each bit i of mask.  And copied: a smaller
+    document has the whole text, so all its windows repeat, and none are listed."""
     if not 2 * K_BYTES <= size <= K_BYTES + 62:
         raise ValueError(f"size is {size}; anchors of {K_BYTES} bytes serve {2 * K_BYTES} to {K_BYTES + 62}")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = choose_deal(docs, size, bucket_bytes, hot_least)
-    # one exchange of the texts, which every step below reads again; its key is never null, so that
-    # no filter on it makes the exchanges differ.  Rows without a doc_id are dealt by their text
+    # one exchange of the texts, with all columns, which every step below reads again; its key is never
+    # null, so that no filter on it makes the exchanges differ.  Rows without a doc_id go by their text
     key = F.coalesce("doc_id", F.xxhash64("text"))
-    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("rows_of_it")).where("rows_of_it > 1")
-    texts = docs.withColumn("key", key).repartition(parts, "key").join(twice, "key", "left")
-    texts = texts.withColumn("tag", F.when(F.col("rows_of_it").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("rows_of_it")
-    shared = texts.select("key", "doc_id", "text", "tag").join(_shared_anchors(texts, size, parts, deal.buckets), "key")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), F.lit(1).alias("n"), F.lit(False).alias("copied"))
+    marks = known.unionByName(exact_copies(docs).withColumn("n", F.lit(0)).withColumn("copied", F.lit(True)))
+    odd = marks.groupBy("key").agg(F.sum("n").alias("n"), F.max("copied").alias("copied")).where("n > 1 OR copied")
+    texts = docs.withColumn("key", key).repartition(parts, "key").join(odd, "key", "left")
+    tag = F.when(F.col("n") > 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    copied = F.coalesce(F.col("copied") & (F.col("n") == 1) & F.col("doc_id").isNotNull(), F.lit(False))
+    texts = texts.withColumns({"tag": tag, "copied": copied}).drop("n")
+    shared = texts.where("NOT copied").join(_shared_anchors(texts, size, parts, deal.buckets), "key")
     places = _places(shared, size, deal, parts).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("tag", "place", "mask")).alias("places"))
     own = F.when(F.col("doc_id").isNotNull(), F.transform(F.filter("places", lambda p: p["tag"] == F.col("tag")), lambda p: F.struct(p["place"].alias("place"), p["mask"].alias("mask"))))
     return texts.join(places, "key", "left").withColumn("places", own).drop("tag", "key")
@@ -477,15 +497,19 @@ def covered(n: int, place: np.ndarray, mask: np.ndarray, size: int) -> np.ndarra
     return np.cumsum(np.bincount(at, minlength=n + 1)[:n] - np.bincount(at + size, minlength=n + 1)[:n]) > 0
 
 
-def _cut(text: pa.Array, places: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+def _cut(text: pa.Array, places: pa.Array, copied: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """The bytes of each text, and which of them go (None: none)."""
     inner = places.flatten()
     place, mask = (np.asarray(inner.field(i)).astype(np.int64) for i in (0, 1))
     n = np.asarray(places.value_lengths().fill_null(0))
     end = np.cumsum(n)
     raw, off = utf8(text)
+    whole = copied.to_numpy(zero_copy_only=False)
     for i in range(len(text)):
         own = raw[off[i] : off[i + 1]]
+        if whole[i]:
+            yield own, np.ones(len(own), bool) if len(own) >= size else None
+            continue
         yield own, covered(len(own), place[end[i] - n[i] : end[i]], mask[end[i] - n[i] : end[i]], size) if n[i] else None
 
 
@@ -496,13 +520,13 @@ def measure_repeats(docs: DataFrame, size: int = 50, **dealing: int) -> DataFram
         for batch in batches:
             for part in _steps(batch, STEP):
                 out = []
-                for own, gone in _cut(part.column("text"), part.column("places"), size):
+                for own, gone in _cut(part.column("text"), part.column("places"), part.column("copied"), size):
                     kept = own if gone is None else own[~gone]
                     spans = 0 if gone is None else int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))))
                     out.append((len(own), len(own) - len(kept), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats(docs.select("doc_id", "text"), size, **dealing).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs.select("doc_id", "text"), size, **dealing).select("doc_id", "text", "places", "copied").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -512,12 +536,12 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))] + ["places"])
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))] + ["places", "copied"])
             for a, b in slices(batch, f"c{names.index('text')}", STEP):
                 part = batch.slice(a, b - a)
                 texts = part.column(names.index("text"))
                 old = texts.to_pylist()
-                text = [old[i] if gone is None else own[~gone].tobytes().decode("utf-8", "ignore") for i, (own, gone) in enumerate(_cut(texts, part.column(len(names)), size))]
+                text = [old[i] if gone is None else own[~gone].tobytes().decode("utf-8", "ignore") for i, (own, gone) in enumerate(_cut(texts, part.column(len(names)), part.column(len(names) + 1), size))]
                 new = {"text": pa.array(text, pa.string())}
                 if "n_chars" in names:
                     new["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(part.column(names.index("n_chars")).type)
@@ -525,7 +549,7 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     # the operator's own columns get out of the way of the caller's
     renamed = docs.toDF(*(n if n in ("doc_id", "text") else f"of_caller_{i}" for i, n in enumerate(names)))
-    return repeats(renamed, size).select(*renamed.columns, "places").toDF(*(f"c{i}" for i in range(len(names))), "places").mapInArrow(run, docs.schema)
+    return repeats(renamed, size).select(*renamed.columns, "places", "copied").toDF(*(f"c{i}" for i in range(len(names))), "places", "copied").mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
