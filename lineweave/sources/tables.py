@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; where that is
-    unset (a laptop, tests), below the context's checkpoint folder or one made for it."""
+    unset, below the context's checkpoint folder.  Only on a local master (a laptop, tests) is one made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineweave-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/lineweave-{uuid.uuid4().hex}"
