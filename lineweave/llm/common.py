@@ -3,7 +3,6 @@ walking Arrow batches in slices of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,32 +11,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lineweave.sources.tables import work_dir as shared_dir
+
 #: Bytes of text that a numpy kernel looks at together: few, so that its arrays stay in the cache.  A longer text is a slice of its own: texts stay whole.
 SLICE_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
+class Scratch:
+    """Written tables of one job in a folder of its own, which go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_dir(spark)
+        self.names: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows, read from a Parquet table: lineage ends there, and lost executors cost only
+        the tasks that they ran."""
+        df.write.parquet(f"{self.folder}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
-    Where that setting is absent (tests, a laptop), the checkpoint folder of the context is
-    used, or one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineweave-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/lineweave-{uuid.uuid4().hex}"
+    def keep(self, *names: str) -> None:
+        """Delete the tables but these.  Only for tables whose readers have themselves been written."""
+        for name in [n for n in self.names if n not in names]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder: lineage ends there, and lost
-    executors cost only the tasks that they ran."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """As of ``Scratch.write``, for a table that stays."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def fresh_name(taken: list[str], stem: str) -> str:

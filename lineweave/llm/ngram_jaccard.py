@@ -6,12 +6,14 @@
 3. Nodes that share a prefix shingle meet in its tile, in order of size.  Only sizes within the
    threshold are compared, and these by bitmaps of hashed parity bits: the count of bits in which two
    differ is at most the size of the symmetric difference, so it bounds the overlap from above.
-4. Round 1 takes, for each row of a tile, the closest of the earlier ones that the bound lets pass,
-   and settles these few pairs by intersection of the whole sorted sets.  Round 2 takes every pair
-   that the bound lets pass and whose nodes are still in different components.  So no link between
-   components is lost, and a group of k near copies costs about k intersections, not k * k.
+4. Round 1 takes, for each row of a tile, the closest of the NEAR rows before it that the bound lets
+   pass, and settles these few pairs by intersection of the whole sorted sets.  Round 2 takes every
+   pair that the bound lets pass and whose nodes are still in different components, so no link
+   between components is lost.  Of a tile, only rows outside its largest component are held against
+   the rest: a group of k near copies costs about k intersections and NEAR * k bitmaps, not k * k.
 
-A tile of over TILE_ROWS rows is dealt out as pairs of blocks, each pair a tile of its own.
+A tile of over TILE_ROWS rows is dealt out as pairs of blocks, each pair a tile of its own.  Exact
+copies are one node from the first aggregation on; their rows meet it in SALTS groups.
 
 Cases: a null text, or one without words, has an empty set and links with nothing.  A null doc_id
 counts only if the same set has another: then it takes part, else its component is null.  Rows are
@@ -31,14 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import kernels as K
-from lineweave.llm.common import slices, utf8, written
+from lineweave.llm.common import Scratch, slices, utf8
 from lineweave.llm.components import connected
 
 TILE_ROWS = 20_000
 #: Cells of the table that counts shingles: one byte each is all that is sent to every task.
 CELLS = 1 << 20
+#: Rows of a tile, in order of size, that round 1 looks back at.
+NEAR = 64
+#: Groups that the rows of one set meet its node in.
+SALTS = 32
 #: Rows that a task holds while it compares tiles.
 BUFFER = 60_000
+FAR = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
@@ -155,13 +162,22 @@ def shared_prefixes(nodes: DataFrame, join: Join) -> DataFrame:
     """h, node, n of the prefix shingles that another node of a fitting size has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["h"]):
+        # a row is told by its neighbours in order of size: one row waits for the next batch
+        held, close = None, False  # the last row, and whether it has a partner before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches(([held] if held is not None else []) + [batch])
             h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
-            close = (h[1:] == h[:-1]) & (100 * n[:-1] >= join.percent * n[1:])
+            fits = (h[1:] == h[:-1]) & (100 * n[:-1] >= join.percent * n[1:])
             keep = np.zeros(len(h), bool)
-            keep[1:] |= close
-            keep[:-1] |= close
-            yield from table.filter(pa.array(keep)).to_batches()
+            keep[0] = close
+            keep[1:] |= fits
+            keep[:-1] |= fits
+            held, close = batch.slice(batch.num_rows - 1), bool(keep[-1])
+            yield from table.slice(0, len(h) - 1).filter(pa.array(keep[:-1])).to_batches()
+        if held is not None and close:
+            yield held
 
     rows = nodes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h", "n", "node")
     return rows.mapInArrow(run, "h long, node long, n long")
@@ -213,42 +229,73 @@ def _narrow(flat: np.ndarray, off: np.ndarray, width: np.ndarray, rows: np.ndarr
     return out
 
 
+def _near(h, low, high, block, n, label, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a tile, at most NEAR places apart in order of size, whose sizes fit."""
+    rows = np.arange(1, len(h))
+    for shift in range(1, NEAR + 1):
+        rows = rows[rows >= shift]
+        near = rows - shift
+        rows = rows[(h[near] == h[rows]) & (low[near] == low[rows]) & (high[near] == high[rows]) & (100 * n[near] >= join.percent * n[rows])]
+        if not len(rows):
+            return
+        now = rows[(label[rows] != label[rows - shift]) & ((low[rows] == high[rows]) | (block[rows] != block[rows - shift]))]
+        yield now, now - shift
+
+
+def _pairs(h, low, high, block, n, label, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a tile whose labels differ and whose sizes fit, about 100,000 at a time.
+    One of the two isn't of the tile's largest component: these are held against the others."""
+    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        names, code, many = np.unique(label[a:b], return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        largest = int(many.argmax())
+        size, whole = n[a:b], low[a] == high[a]
+        for i in np.flatnonzero(code != largest).tolist():
+            x = int(np.searchsorted(100 * size, join.percent * size[i]))
+            y = int(np.searchsorted(join.percent * size, 100 * size[i], side="right"))
+            # of two such rows, the later one is held against the earlier
+            to = x + np.flatnonzero((code[x:y] != code[i]) & ((code[x:y] == largest) | (np.arange(x, y) < i)))
+            if not whole:
+                to = to[block[a + to] != block[a + i]]
+            if len(to):
+                held.append((np.full(len(to), a + i), a + to))
+                if sum(len(v) for v, _ in held) > 100_000:
+                    yield np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held])
+                    held = []
+    if held:
+        yield np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held])
+
+
 def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
     """Pairs a, b (and apart, the differing bits) that the bound lets pass: of each row the closest
-    earlier and the closest later one, or, across, all whose labels differ."""
+    earlier and the closest later one of those near it, or, across, all whose labels differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["h", "low", "high"]):
             h, low, high, block, node, n = (table.column(c).to_numpy() for c in ("h", "low", "high", "block", "node", "n"))
             label = table.column("label").to_numpy() if across else node
             apart = _apart(table.column("bits"), n)
-            best, which = np.full((2, len(h)), np.iinfo(np.int64).max), np.zeros((2, len(h)), np.int64)
+            best, which = np.full((2, len(h)), FAR), np.zeros((2, len(h)), np.int64)
             pairs = []
-            rows = np.arange(1, len(h))
-            for shift in range(1, len(h)):
-                rows = rows[rows >= shift]
-                near = rows - shift
-                rows = rows[(h[near] == h[rows]) & (low[near] == low[rows]) & (high[near] == high[rows]) & (100 * n[near] >= join.percent * n[rows])]
-                if not len(rows):
-                    break
-                now = rows[(label[rows] != label[rows - shift]) & ((low[rows] == high[rows]) | (block[rows] != block[rows - shift]))]
-                if not len(now):
-                    continue
-                x = apart(now, now - shift)
+            for now, other in _pairs(h, low, high, block, n, label, join) if across else _near(h, low, high, block, n, label, join):
+                x = apart(now, other)
                 # intersection >= percent / 100 * union bounds the symmetric difference
-                fits = (100 + join.percent) * x <= (100 - join.percent) * (n[now] + n[now - shift])
-                now, x = now[fits], x[fits]
+                fits = (100 + join.percent) * x <= (100 - join.percent) * (n[now] + n[other])
+                now, other, x = now[fits], other[fits], x[fits]
                 if across:
-                    pairs.append(np.stack([np.minimum(node[now], node[now - shift]), np.maximum(node[now], node[now - shift]), x], axis=1))
+                    pairs.append(np.stack([np.minimum(node[now], node[other]), np.maximum(node[now], node[other]), x], axis=1))
                     if sum(map(len, pairs)) > 100_000:
                         pairs = [np.unique(np.concatenate(pairs), axis=0)]
                 else:
-                    for side, own, other in ((0, now, now - shift), (1, now - shift, now)):
+                    for side, own, to in ((0, now, other), (1, other, now)):
                         better = x < best[side, own]
-                        best[side, own[better]], which[side, own[better]] = x[better], other[better]
+                        best[side, own[better]], which[side, own[better]] = x[better], to[better]
             if not across:
                 for side in (0, 1):
-                    now = np.flatnonzero(best[side] < np.iinfo(np.int64).max)
+                    now = np.flatnonzero(best[side] < FAR)
                     other = node[which[side, now]]
                     pairs.append(np.stack([np.minimum(node[now], other), np.maximum(node[now], other), best[side, now]], axis=1))
             if pairs:
@@ -300,29 +347,50 @@ def linked(pairs: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(meet, "a long, b long")
 
 
-def group_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    profile = written(profiles(docs, join), "profiles")
-    # a set that many documents have is one row after a partial aggregation; the widest columns follow by its first document
-    first = profile.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    unique = profile.where("digest IS NOT NULL").withColumnRenamed("doc_id", "node").join(first.where("node IS NOT NULL"), ["digest", "node"]).dropDuplicates(["digest", "node"])
-    nodes = written(unique, "nodes")
-    shared = written(shared_prefixes(nodes, join), "shared")
-    closest = written(compare(tiles(shared, nodes), join, across=False), "closest")
+def meet_first(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows with the columns of first, whose digest many rows may have: in SALTS groups."""
+    salted = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, ["digest", "salt"], "left").drop("salt")
+
+
+def group_documents(docs: DataFrame, join: Join = Join(), scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, digest (of the set).  The result reads the tables ``profiles``,
+    ``copies`` and ``components`` of scratch; the others are gone when it is returned."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    others = list(scratch.names)
+    # row is fixed where the table is written
+    profile = scratch.write(profiles(docs, join).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    # a set that many documents have is one row after a partial aggregation
+    known = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), F.col("row")))
+    copies = profile.where("digest IS NOT NULL").groupBy("digest").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    copies = scratch.write(copies.select("digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("first_row")), "copies")
+    unique = meet_first(profile.where("digest IS NOT NULL AND doc_id IS NOT NULL"), copies).where("first_row IS NULL OR first_row = row")
+    nodes = scratch.write(unique.select(F.col("doc_id").alias("node"), "n", "digest", "prefix", "bits"), "nodes")
+    shared = scratch.write(shared_prefixes(nodes, join), "shared")
+    closest = scratch.write(compare(tiles(shared, nodes), join, across=False), "closest")
     ends = closest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = written(whole_sets(ends, nodes, docs, join), "sets")
+    whole = scratch.write(whole_sets(ends, nodes, docs, join), "sets")
     one = closest.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = written(linked(one, whole, join), "links")
-    label = connected(links, "a", "b")
-    more = compare(tiles(written(undecided(shared, label), "undecided"), nodes), join, across=True).select("a", "b")
+    links = scratch.write(linked(one, whole, join), "links")
+    label = connected(links, "a", "b", scratch)
+    left = scratch.write(undecided(shared, label), "undecided")
+    scratch.keep(*others, "profiles", "copies", "nodes", "links", "undecided", "sets")
+    more = scratch.write(compare(tiles(left, nodes), join, across=True).select("a", "b"), "more")
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = whole.unionByName(whole_sets(ends.join(whole, "node", "left_anti"), nodes, docs, join))
     links = links.unionByName(linked(more, whole, join))
-    label = written(connected(links, "a", "b"), "components")
-    of = first.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return profile.select("doc_id", "n", "digest").join(of, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    label = scratch.write(connected(links, "a", "b", scratch), "components")
+    scratch.keep(*others, "profiles", "copies", "components")
+    # rows of a set that several have go by it, the others are nodes themselves
+    several = copies.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"), F.lit(True).alias("is_copy"))
+    rows = meet_first(profile.select("doc_id", "n", "digest", "row"), several).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("is_copy"), F.col("of_set")).otherwise(F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "digest")
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(k=4, percent=85))
+    return group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(k=4, percent=85)).drop("digest")
 
 
 OP3_SQL = r"""

@@ -40,7 +40,7 @@ def brute(docs, join):
 
 
 def found(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
+    return sorted((tuple(r) for r in df.drop("digest").collect()), key=str)
 
 
 def family(rng, size, words=120):
@@ -54,9 +54,11 @@ def family(rng, size, words=120):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("tile", [20_000, 15])
-def test_families_match_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "near"), [(20_000, 64), (15, 64), (20_000, 1), (15, 0)])
+def test_families_match_brute_force(spark, monkeypatch, tile, near):
+    """Also with small tiles, and where round 1 finds little or nothing."""
     monkeypatch.setattr(N, "TILE_ROWS", tile)
+    monkeypatch.setattr(N, "NEAR", near)
     rng = random.Random(7)
     texts = [t for size in (2, 5, 40) for t in family(rng, size)] + [" ".join(f"u{rng.randrange(300)}" for _ in range(rng.randrange(1, 60))) for _ in range(60)]
     texts += ["a passage that all of these share word for word " * 3 + f"{i} " * rng.randrange(9) for i in range(30)]
@@ -100,3 +102,21 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7)] + [(200, x) for x in range(201, 260)]
     got = dict(tuple(r) for r in connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100} | {x: 200 for x in range(200, 260)}
+
+
+def test_components_of_null_repeated_and_no_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (None, 5), (6, None), (None, None), (3, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in connected(edges, "a", "b").collect()) == [(1, 1), (2, 1)]
+    assert connected(edges.limit(0), "a", "b").collect() == []
+
+
+def test_only_needed_tables_stay(spark):
+    from pathlib import Path
+
+    from lineweave.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y z")], "doc_id long, text string")
+    got = N.group_documents(docs, N.Join(), scratch)
+    assert sorted(scratch.names) == sorted(p.name for p in Path(scratch.folder.removeprefix("file:")).iterdir()) == ["components", "copies", "profiles"]
+    assert found(got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3)]
