@@ -7,7 +7,8 @@ language with the least sum wins (of equal ones, the first by name).
 
 Cases: a null text or one without a letter is ``und`` with score 0.  With no language learned,
 every document is ``und``.  Rows are never merged; a null doc_id stays null, isn't held out and
-isn't learned from.  An empty table gives no rows.  Extra columns are ignored.
+isn't learned from.  An empty table gives no rows.  Extra columns are ignored.  Texts count whole,
+whatever their length; n-grams of equal count stand in order of their letters.
 """
 
 from __future__ import annotations
@@ -55,12 +56,9 @@ def letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, n-gram) pairs in order, as arrays: text, n-gram (up to three code points of
     21 bits, the first highest; 1 stands for a boundary), and how often it occurs."""
-    codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.append(codes, np.uint32(0))
-    text = np.zeros(len(codes), np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    text[ends[:-1] + 1] = 1
-    text = np.cumsum(text)
+    # a sign before and after each text, so that its first and last words have a boundary
+    codes = np.frombuffer("".join(f"\0{t}\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     low = letters()[np.minimum(codes, CODES - 1)]
     is_letter = low > 0
     before = np.concatenate(([False], is_letter[:-1]))
@@ -135,7 +133,7 @@ def learn(labelled: DataFrame, size: int = 400, documents: int = 4000) -> Profil
     more rows than ``documents``, about that many are read, chosen by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), documents / F.count(F.lit(1))).alias("share"))
-    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

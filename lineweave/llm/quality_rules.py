@@ -5,12 +5,14 @@ for each rule that failed.  A policy is a versioned choice of rules: ``apply_pol
 AND on stored bits, and ``ablate`` tells from the same bits what each rule alone decides, without
 reading a text again.
 
-Abuse in languages without a list is learned: ``learn_stems`` counts, over all documents that people
-have labelled, how words begin in toxic and in clean ones, and gives ``ledger`` a bounded list.
+Abuse in languages without a list is learned: ``learn_stems`` counts, over a bounded sample of the
+documents that people have labelled, how words begin in toxic and in clean ones, and gives ``ledger``
+a bounded list.
 
 Cases: a null text has no words, so its measurements are 0 and it fails ``few_words``.  Rows are
 never merged: repeated doc_ids give a row each.  Null doc_ids stay null.  Extra columns of the
-input are ignored; the ledger has the columns of LEDGER only.
+input are ignored; the ledger has the columns of LEDGER only.  A text is measured whole, whatever its
+length.  An empty table gives no rows, and without labels no stems are learned.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ FLAGGED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "
 #: Words as of ``kernels.terms``, in lower-case bytes, and how many bytes a stem has.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 STEM_BYTES = range(4, 17)
-#: Bits of the filter that keeps texts without a label out of the exchange; the join decides.
-FILTER_BITS = 1 << 23
+#: Labelled documents of each class, toxic and clean, that stems are learned from.
+LABELLED = 10_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_flagged", "n_stems")
 LEDGER = ("doc_id", *MEASURES, "fail_bits")
@@ -155,9 +157,12 @@ def measure(raw: np.ndarray, off: np.ndarray, flagged: np.ndarray, stems: tuple[
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words: tuple[str, ...] = FLAGGED_WORDS, stems: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the measurements (long), and fail_bits (long): bit i is set where rule i failed."""
-    rules = default_rules() if rules is None else rules
-    flagged = tuple(w.encode() for w in flagged_words)
-    begins = tuple(s.encode() for s in stems)
+    return measured(docs.select("doc_id", "text"), flagged_words, stems).select("doc_id", *MEASURES, fail_bits(default_rules() if rules is None else rules).alias("fail_bits"))
+
+
+def measured(docs: DataFrame, flagged_words: tuple[str, ...], stems: tuple[str, ...]) -> DataFrame:
+    """The rows of docs with their measurements, made where they lie, without an exchange."""
+    flagged, begins, names = tuple(w.encode() for w in flagged_words), tuple(s.encode() for s in stems), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = flagged_hashes(flagged)
@@ -165,10 +170,10 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] | None = None, flagged_words
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 found = measure(*utf8(part.column("text")), known, begins)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
 
-    measured = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    return measured.withColumn("fail_bits", fail_bits(rules))
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + "".join(f", {m} long" for m in MEASURES)
+    return docs.mapInArrow(run, schema)
 
 
 def flagged_hashes(words: tuple[bytes, ...]) -> np.ndarray:
@@ -212,14 +217,14 @@ def ablate(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tupl
     )
 
 
-def with_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang, text and toxic of the documents that labels (doc_id, toxic) names.  A filter of at most
-    FILTER_BITS bits keeps most other texts where they are; the join by doc_id decides."""
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    word, mask = F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask")
-    seen = labels.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-    near = docs.select("doc_id", "lang", "text", word, mask).join(F.broadcast(seen), "word").where(F.col("bits").bitwiseAND(F.col("mask")) != 0)
-    return near.select("doc_id", "lang", "text").join(labels.hint("merge"), "doc_id").select("lang", "text", "toxic")
+def with_label(docs: DataFrame, labels: DataFrame, documents: int = LABELLED) -> DataFrame:
+    """lang, text and toxic of the documents that labels (doc_id, toxic) names: of each class all, or
+    about ``documents``, chosen by a hash of doc_id.  So few ids meet the texts where they lie."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = {r.toxic: min(1.0, documents / r.n) for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r.toxic in (0, 1)}  # two rows
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
+    chosen = marks.where(F.coalesce(*(F.when(F.col("toxic") == t, place < int(x * (1 << 30))) for t, x in share.items()), F.lit(False)))
+    return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "toxic")  # about 2 * documents ids
 
 
 def begins_of(word: bytes) -> list[bytes]:
@@ -271,15 +276,15 @@ def count_stems(texts: DataFrame, wanted: dict[str, set[bytes]] | None = None, l
     return texts.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "stem").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, share: float = 0.2, odds: int = 10, least: int = 5) -> tuple[str, ...]:
+def learn_stems(docs: DataFrame, labels: DataFrame, share: float = 0.2, odds: int = 10, least: int = 5, documents: int = LABELLED) -> tuple[str, ...]:
     """Stems that mark toxic texts of a language: this share of its labelled toxic texts, and least of
     them, have a word that begins so, and such words are over odds times as frequent as in its labelled
-    clean texts.  All labelled rows count.  As each text has few stems, so has a language: at most a
-    text's number of stems by 1 / share, whatever the number of documents."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = with_label(docs, marks.where("toxic = 1"))
+    clean texts.  Of each class at most about ``documents`` labelled rows count, chosen by hash.  As each
+    text has few stems, so has a language: at most a text's number of stems by 1 / share."""
+    labelled = with_label(docs, labels, documents)
+    texts = labelled.where("toxic = 1")
     whole = texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("all_docs"))
-    common = count_stems(texts).join(F.broadcast(whole), "lang").where((F.col("docs") >= least) & (F.col("docs") >= share * F.col("all_docs")))  # whole: a row a language
+    common = count_stems(texts).join(whole, "lang").where((F.col("docs") >= least) & (F.col("docs") >= share * F.col("all_docs")))
     toxic = {(r.lang, r.stem.encode()): (r.docs, r.n) for r in common.collect()}
     wanted: dict[str, set[bytes]] = {}
     for lang, s in toxic:
@@ -287,7 +292,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, share: float = 0.2, odds: in
             wanted.setdefault(lang, set()).add(s)
     if not wanted:
         return ()
-    clean = {(r.lang, r.stem.encode()): r.n for r in count_stems(with_label(docs, marks.where("toxic = 0")), wanted).collect()}
+    clean = {(r.lang, r.stem.encode()): r.n for r in count_stems(labelled.where("toxic = 0"), wanted).collect()}
     out: set[bytes] = set()
     for lang, some in wanted.items():
         ok = {s for s in some if toxic[lang, s][1] * clean.get((lang, b""), 0) > odds * toxic[lang, b""][1] * max(1, clean.get((lang, s), 0))}
@@ -300,27 +305,11 @@ def learn_stems(docs: DataFrame, labels: DataFrame, share: float = 0.2, odds: in
     return tuple(sorted(s.decode() for s in out if not any(p in out for p in begins_of(s)[:-1])))
 
 
-def keep_documents(docs: DataFrame, policy: Policy = CURRENT, stems: tuple[str, ...] = ()) -> DataFrame:
-    """The documents, with all their columns, that the policy and the base rules keep; judged where
-    they lie, without an exchange."""
-    rules = default_rules()
-    flagged = tuple(w.encode() for w in FLAGGED_WORDS)
-    begins = tuple(s.encode() for s in stems)
-    names = [f"of_caller_{i}" for i in range(len(docs.columns))]
-    text = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = flagged_hashes(flagged)
-        for batch in batches:
-            for a, b in slices(batch, names[text]):
-                part = batch.slice(a, b - a)
-                found = measure(*utf8(part.column(text)), known, begins)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
-
-    renamed = docs.toDF(*names)
-    schema = ", ".join(f"{n} {t}" for n, t in renamed.dtypes) + "".join(f", {m} long" for m in MEASURES)
-    measured = renamed.mapInArrow(run, schema).withColumn("fail_bits", fail_bits(rules))
-    return apply_policy(measured, policy).where("kept").select(*names).toDF(*docs.columns)
+def keep_documents(docs: DataFrame, policy: Policy = CURRENT, stems: tuple[str, ...] = (), flagged_words: tuple[str, ...] = FLAGGED_WORDS) -> DataFrame:
+    """The documents, with all their columns, that the policy and the base rules keep."""
+    names = [n if n == "text" else f"of_caller_{i}" for i, n in enumerate(docs.columns)]
+    book = measured(docs.toDF(*names), flagged_words, stems).withColumn("fail_bits", fail_bits(default_rules()))
+    return apply_policy(book, policy).where("kept").select(*names).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ whole text.
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
 
 import numpy as np
@@ -43,7 +44,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, the strings of special tokens are text
+        # a text with the string of a special token gets its id, as by the library, and isn't cut
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
         self.kind = cut
         self.cut = {"space": space_pieces, "word": word_pieces}[cut]
         if cut == "space":  # of the pieces that are joined, just the first id has the space or line end
@@ -144,7 +146,7 @@ class PieceEncoder:
         count = np.zeros(len(texts), np.int64)
         odd = np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
-            cut = self.cut(text) if text else []
+            cut = (self.cut(text) if not self.special.search(text) else None) if text else []
             if cut is None:
                 odd[i] = True
                 whole.append(text)

@@ -33,11 +33,13 @@ def test_ngrams_match_brute_force():
         single, words = brute_grams(t)
         assert {k: n for (j, k), n in found.items() if j == i and len(k) == 1} == dict(single)
         three = Counter()
-        for at, w in enumerate(words):
-            # a text's first word has no sign before it, unless it stands after one; its last has one after it
-            p = ("_" if at or not t[0].isalpha() else "") + w + "_"
+        for w in words:
+            p = f"_{w}_"
             three.update(p[k : k + 3] for k in range(len(p) - 2))
         assert {k: n for (j, k), n in found.items() if j == i and len(k) == 3} == dict(three), t
+        # a sign alone between two words closes one and opens the other
+        two = Counter(p for w in words for p in zip(f"_{w}", f"{w}_"))
+        assert {k: n for (j, k), n in found.items() if j == i and len(k) == 2} == {"".join(p): n for p, n in two.items()}, t
 
 
 def test_predict_matches_brute_force():

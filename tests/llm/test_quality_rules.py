@@ -101,3 +101,11 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b c", "en"), (None, None, None)], "doc_id long, text string, lang string")
     assert Q.learn_stems(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == ()
     assert Q.learn_stems(docs, spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 1, 1)], "doc_id long, quality int, toxic int")) == ()
+
+
+def test_labelled_sample_is_bounded(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    n = {r.toxic: r.n for r in Q.with_label(docs, labels, 30).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert 10 < n[0] < 60 and 0 < n[1] < 60
+    assert Q.with_label(docs, labels.unionByName(labels)).count() == labels.where("toxic IS NOT NULL").select("doc_id").distinct().count()

@@ -13,14 +13,12 @@ from lineweave.llm import token_ids as T
 from lineweave.llm.common import shared_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "a", " a", "a ", "a b", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "\n\n a", "it's we'll", "a  b  c", "é  ü", "<|endoftext|> x", "x <|startoftext|>", "\t\t x \t y", "a\0b c", "9 99 a9", "ΑΣ Σ", "é ́", "日本 語", "a\r\n b", "a\x1cb c", "😀 😀😀", "word " * 3000]
+ODD = ["", "a", " a", "a ", "a b", "a  b", "a   b", "a \n b", "a\n b", "a \nb", "\n\n a", "it's we'll", "a  b  c", "é  ü", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "a <|EndOfText|> b", "<|endof text|>", "x <|startoftext|>", "\t\t x \t y", "a\0b c", "9 99 a9", "ΑΣ Σ", "é ́", "日本 語", "a\r\n b", "a\x1cb c", "😀 😀😀", "word " * 3000]
 CLASH = "doc_id long, text string, IDS string, file string, piece string, offset string"
 
 
 def library(path, texts):
-    k = Tokenizer.from_file(path)
-    k.encode_special_tokens = True
-    return [e.ids for e in k.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize(("path", "cut"), [(BYTE, "space"), (WORD, "word")])
