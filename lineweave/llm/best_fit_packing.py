@@ -11,7 +11,8 @@ against one global packing is one part-filled sequence or so for each ``group``
 
 Cases: a null text is empty and is one piece with the end id alone.  Rows with equal doc_ids, also
 repeated rows, are separate documents.  Null doc_ids stay null.  An empty table gives no rows.
-Extra columns are ignored.
+Extra columns are ignored.  Of sequences with equal scores the one that was opened first takes the
+piece, and of equal pieces the first in the table goes first.  A text of any length is cut up.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Capacity:
     documents: int = 2048
     attention: int = 2048 * 2048
     #: Of tokens, documents and attention in scores.
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.01)
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.1)
     rule: str = "norm"
 
 

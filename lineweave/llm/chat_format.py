@@ -5,20 +5,25 @@ control string (these three, and those common elsewhere) gets a backslash after
 and each backslash is doubled first, so that nothing in a text reads as a mark and every text comes
 back as it was.
 
-The turns of a conversation are dealt to windows in order, each window with as many new turns as
-its budget of tokens holds (words count as tokens; a turn larger than the budget has its own
-window).  A later window starts with the system turn, if the conversation starts with one, and with
-the last ``history`` turns before its own.  Loss is on the texts of assistant turns where they are
-new; repeated ones are masked, so that each is learned once.
+The turns of a conversation are dealt to windows in order (words + 1 count as a turn's tokens).  Prefix
+sums of tokens are cut at multiples of a capacity: turns that lie between two cuts share a window, and
+a turn across a cut has its own.  The capacity is the budget less the system turn, if the conversation
+starts with one of at most half the budget, and less a quarter for history.  A later window starts with
+the system turn, and with the last of ``history`` turns before its own, as far as its budget holds
+them: history is shortened first.  So a window exceeds the budget only where its one new turn does.
+Loss is on the texts of assistant turns where they are new; repeated ones are masked, so that each is
+learned once.
 
 Cases: turns with equal numbers go by role and text; a null turn number comes first; null roles and
 texts are empty.  A null conv_id is a conversation.  Repeated rows are turns.  An empty table gives
-no rows.  Extra columns are ignored.  A conversation is one row: it has to fit in a task's memory.
+no rows.  Extra columns are ignored.  A turn stays whole, whatever its length.  A window is one row;
+a conversation is rows of one window partition, which Spark can spill, until ``read_back`` makes one
+row of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -26,6 +31,10 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
+#: A turn as it is repeated.
+SHAPE = "role: string, tokens: bigint, shown: string, before: int, length: int"
+
+
 def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for c in CONTROLS:
@@ -44,36 +53,44 @@ def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2) -> Data
     windows have as new), n_turns, loss_spans (array of struct(start, length), in characters from 0)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    shown = F.concat(F.lit(TURN), escape(role), F.lit(TEXT), escape(text), F.lit(END))
-    before = F.char_length(escape(role)) + len(TURN) + len(TEXT)
-    turn = F.struct(F.col("turn"), role.alias("role"), text.alias("text"), (words + 1).alias("tokens"), shown.alias("shown"), before.cast("int").alias("before"), F.char_length(escape(text)).cast("int").alias("length"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    # the first place (from 1) of each window's own turns, from the running sum of tokens
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("firsts"))
-
-    def deal(acc: Column, x: Column) -> Column:
-        opens = (acc["at"] == 0) | (acc["sum"] + x["tokens"] > budget)
-        return F.struct(
-            (acc["at"] + 1).alias("at"),
-            F.when(opens, x["tokens"].cast("long")).otherwise(acc["sum"] + x["tokens"]).alias("sum"),
-            F.when(opens, F.concat(acc["firsts"], F.array(acc["at"] + 1))).otherwise(acc["firsts"]).alias("firsts"),
-        )
-
-    dealt = whole.withColumn("firsts", F.aggregate("t", none, deal)["firsts"])
-    rows = dealt.select("conv_id", "t", F.posexplode("firsts").alias("window", "first"), F.col("firsts").alias("all"))
-    last = F.coalesce(F.get("all", F.col("window") + 1), F.size("t") + 1) - 1
-    system = F.col("t")[0]["role"] == "system"
-    # history starts after the system turn, which is repeated by itself
-    from_ = F.greatest(F.col("first") - history, F.when(system, F.lit(2)).otherwise(F.lit(1)))
-    rows = rows.withColumns({"last": last, "old": F.when((F.col("window") > 0) & (from_ < F.col("first")), F.slice("t", from_.cast("int"), (F.col("first") - from_).cast("int"))).otherwise(F.slice("t", 1, 0)), "sys": F.when((F.col("window") > 0) & system, F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0))})
-    own = F.slice("t", F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))
-    rows = rows.select("conv_id", "window", F.concat("sys", "old", own).alias("p"), (F.size("sys") + F.size("old")).alias("n_repeated"))
-    ends = F.aggregate(F.col("p"), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + F.char_length(x["shown"])).cast("int"))))
-    spans = F.filter(
-        F.transform(F.col("p"), lambda x, i: F.struct((F.get("ends", i) + x["before"]).alias("start"), x["length"].alias("length"), ((x["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("loss"))),
-        lambda s: s["loss"],
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (words + 1).cast("long").alias("tokens"))
+    rows = rows.withColumns({"shown": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")), F.lit(END)), "before": F.char_length(escape(F.col("role"))) + len(TURN) + len(TEXT), "length": F.char_length(escape(F.col("text")))})
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # pos from 1; upto: tokens so far; chars: characters so far; system: tokens of the system turn, 0 if none
+    rows = rows.withColumns({"pos": F.row_number().over(order), "upto": F.sum("tokens").over(run), "chars": F.sum(F.char_length("shown")).over(run), "system": F.first(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)).over(run)})
+    small = F.when(2 * F.col("system") <= budget, F.col("system")).otherwise(0)
+    reserve = budget // 4 if history else 0
+    capacity = F.greatest(F.lit(1), F.when(2 * F.col("system") <= budget, budget - F.col("system") - reserve).otherwise(budget - reserve)).cast("long")
+    own = F.when(F.col("pos") == 1, F.col("tokens") - small).otherwise(F.col("tokens"))
+    end = F.col("upto") - small
+    first, last = F.floor((end - own) / capacity), F.floor(F.greatest(end - 1, end - own) / capacity)
+    rows = rows.withColumn("cut", 2 * first + F.when(first == last, 0).otherwise(1))
+    rows = rows.withColumn("opens", F.when((F.col("pos") == 1) | (F.lag("cut").over(order) != F.col("cut")), 1).otherwise(0))
+    shape = F.struct("role", "tokens", "shown", "before", "length")
+    # what a window that opens here may repeat: the system turn, and the turns before it, the last first
+    past = [F.when(F.lag("pos", k).over(order) > F.when(F.col("system") > 0, 1).otherwise(0), F.lag(shape, k).over(order)) for k in range(1, history + 1)]
+    may = F.when((F.col("opens") == 1) & (F.col("pos") > 1), F.struct(F.when(F.col("system") > 0, F.first(shape).over(run)).alias("sys"), F.array(*past, F.lit(None).cast(f"struct<{SHAPE}>")).alias("past")))
+    rows = rows.withColumns({"window": (F.sum("opens").over(run) - 1).cast("int"), "may": may})
+    each = rows.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("pos", (F.col("chars") - F.char_length("shown")).alias("at"), *(F.col(c) for c in ("role", "tokens", "shown", "before", "length"))))).alias("own"), F.sum("tokens").alias("n"), F.min_by("may", "pos").alias("may")
     )
-    return rows.withColumn("ends", ends).select("conv_id", "window", F.array_join(F.col("p.shown"), "").alias("text"), "n_repeated", F.size("p").alias("n_turns"), F.transform(spans, lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"))
+    left = F.lit(budget) - F.col("n")
+    each = each.withColumn("sys", F.when((F.col("may.sys").isNotNull()) & (F.col("may.sys.tokens") <= left), F.array("may.sys")).otherwise(F.array().cast(f"array<struct<{SHAPE}>>")))
+    left = left - F.when(F.size("sys") > 0, F.col("may.sys.tokens")).otherwise(0)
+    fits, so_far, some = F.lit(0), F.lit(0), F.lit(True)
+    for k in range(history):
+        so_far = so_far + F.get("may.past", F.lit(k))["tokens"]
+        some = some & F.coalesce(so_far <= left, F.lit(False))
+        fits = fits + some.cast("int")
+    each = each.withColumn("fits", F.when(F.col("may").isNotNull(), fits).otherwise(0))
+    old = F.when(F.col("fits") > 0, F.reverse(F.slice("may.past", F.lit(1), F.col("fits")))).otherwise(F.array().cast(f"array<struct<{SHAPE}>>"))
+    each = each.withColumn("again", F.concat("sys", old))
+    ahead = F.aggregate("again", F.lit(0), lambda acc, x: acc + F.char_length(x["shown"]))
+    learned = F.filter("own", lambda x: x["role"] == "assistant")
+    spans = F.transform(learned, lambda x: F.struct((F.col("ahead") + x["at"] - F.col("own")[0]["at"] + x["before"]).cast("int").alias("start"), x["length"].alias("length")))
+    shown = F.array_join(F.concat(F.col("again.shown"), F.col("own.shown")), "")
+    return each.withColumn("ahead", ahead).select("conv_id", "window", shown.alias("text"), F.size("again").alias("n_repeated"), (F.size("again") + F.size("own")).alias("n_turns"), spans.alias("loss_spans"))
 
 
 def parse_window(text: Column) -> Column:

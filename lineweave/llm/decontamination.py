@@ -11,9 +11,15 @@ Passages are windows of twice the longest item's words, each half over the one b
 item lies in one whole.  Terms are runs of letters and digits without regard to the case of A-Z; the
 answer of an item is its last sentence, if it has several.
 
+Items are dealt to indexes of a bounded size by hash.  Document frequencies, the number of items, their
+mean length and the longest one come from Spark over all items, so what is found doesn't depend on the
+number of indexes.  Each index is built and sent out by itself, and every passage asks each.
+
 Cases: null and empty texts have no passage and items without a term are never found.  Rows of
 documents are judged one by one, also repeated ones; null doc_ids stay null.  Of items with equal
-item_ids each counts.  Items shorter than five words are one shingle.  Extra columns are ignored.
+item_ids each counts.  Items shorter than five words are one shingle.  Of passages that overlap an item
+equally the first counts.  Texts are asked whole, whatever their length.  An empty table of documents or
+of items gives no leaks.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +27,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import kernels as K
-from lineweave.llm.common import slices, utf8
+from lineweave.llm.common import Scratch, slices, utf8, written
 
 #: Bytes of items in one index.  More items make more indexes, each asked by every passage.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 8 << 20
 BLOCK = 8
 K1, B = 1.2, 0.75
 
@@ -54,26 +62,42 @@ class Options:
     shingle: int = 5
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Over all items: how many, their mean and largest number of terms, and in how many each of some
+    terms (ascending hashes) is."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Impacts by term: post[start[t]:start[t + 1]] are (item, impact), blocks the same by block."""
+    """Impacts by term: post[start[t]:start[t + 1]] are (item, impact), blocks the same by block.
+    totals: of all items, where these are some of them."""
 
-    def __init__(self, items: list[tuple[int | None, str]], options: Options = Options()):
+    def __init__(self, items: list[tuple[int | None, str]], options: Options = Options(), totals: Totals | None = None):
         self.options = options
         self.item_ids = [i for i, _ in items]
         raw, off = utf8(pa.array([t or "" for _, t in items], pa.string()))
         h, first = K.terms(raw, off)
         n = len(items)
         size = np.diff(first)
-        self.window = 2 * max(1, int(size.max(initial=1)))
         of = np.repeat(np.arange(n), size)
         self.terms = np.unique(h)
         code = np.searchsorted(self.terms, h)
         pair, tf = np.unique(code * max(1, n) + of, return_counts=True)
         term, self.item = pair // max(1, n), pair % max(1, n)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.item] / max(1e-9, size.mean() if n else 1)))
-        self.start = np.concatenate(([0], np.cumsum(df)))
+        here = np.bincount(term, minlength=len(self.terms))
+        if totals is None:
+            totals = Totals(n, size.mean() if n else 1, int(size.max(initial=1)), self.terms, here)
+        self.window = 2 * max(1, totals.longest)
+        df = totals.df[np.searchsorted(totals.terms, self.terms)]
+        idf = np.log1p((totals.n - df + 0.5) / (df + 0.5))
+        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.item] / max(1e-9, totals.mean)))
+        self.start = np.concatenate(([0], np.cumsum(here)))
         own = np.bincount(self.item, self.impact, n) if n else np.zeros(0)
         self.threshold = np.where(size > 0, options.share * own, np.inf)
         # largest impacts by block of items and overall
@@ -179,49 +203,89 @@ class Index:
         return [(int(t), int(i), *found[t, i]) for t, i in sorted(found)]
 
 
-def indexes(items: DataFrame, options: Options = Options(), index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes of (item_id, text) rows, each of about index_bytes of text, which bounds what a task
-    holds.  Their number is checked: a set of tests, not a corpus, is meant here."""
+def item_terms(items: DataFrame) -> DataFrame:
+    """part, term (a hash; null: the row is about the part as a whole), n (items with it), words (of all
+    items), longest: sums over the items of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch, "text"):
+                part = batch.slice(a, b - a)
+                h, first = K.terms(*utf8(part.column("text")))
+                of = part.column("part").to_numpy()
+                text = np.repeat(np.arange(len(part)), np.diff(first))
+                order = np.lexsort((h, text))
+                fresh = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])))] if len(h) else order
+                zero = np.zeros(len(fresh), np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "part": np.concatenate((of[text[fresh]], of)), "term": pa.array(np.concatenate((h[fresh].view(np.int64), np.zeros(len(part), np.int64))), mask=np.arange(len(fresh) + len(part)) >= len(fresh)),
+                    "n": np.ones(len(fresh) + len(part), np.int64), "words": np.concatenate((zero, np.diff(first))), "longest": np.concatenate((zero, np.diff(first))),
+                })
+
+    each = items.select("part", "text").mapInArrow(run, "part long, term long, n long, words long, longest long")
+    return each.groupBy("part", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
+def indexes(items: DataFrame, options: Options = Options(), index_bytes: int = INDEX_BYTES) -> list[Broadcast]:
+    """Broadcast indexes of (item_id, text) rows, each of about index_bytes of text, which bounds what
+    the driver and a task hold at once."""
+    spark = items.sparkSession
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // index_bytes))
-    if shards > 64:
-        raise ValueError(f"{total} bytes of test items are more than this operator is for")
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    return [Index(sorted((tuple(r) for r in rows.where(part == i).collect()), key=str), options) for i in range(shards)]
-
-
-def find_leaks(docs: DataFrame, found_in: list[Index]) -> DataFrame:
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    counted = written(item_terms(rows), "item_terms")
+    n, words, longest = counted.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(1))).first()
+    of_all = counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
+    found = []
+    for i in range(shards):
+        own = counted.where((F.col("part") == i) & F.col("term").isNotNull()).select("term")
+        df = of_all.join(own, "term").toArrow()  # terms of one index
+        h = df.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        totals = Totals(n, words / n if n else 1.0, max(1, longest), h[order], df.column("df").to_numpy()[order])
+        found.append(spark.sparkContext.broadcast(Index(sorted((tuple(r) for r in rows.where(F.col("part") == i).select("item_id", "text").collect()), key=str), options, totals)))
+    return found
+
+
+def find_leaks(docs: DataFrame, found_in: list[Broadcast]) -> DataFrame:
     """A row for each document and test item that has leaked into it: doc_id, item_id, score, overlap,
     question_overlap, answer_overlap."""
-    shared = docs.sparkSession.sparkContext.broadcast(found_in)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                part = batch.slice(a, b - a)
-                raw, off = utf8(part.column("text"))
-                rows = [(index.item_ids[i], t, *x) for index in shared.value for t, i, *x in index.leaks(raw, off)]
-                if rows:
-                    item, text, *x = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(item, pa.int64()), *(pa.array(v, pa.float64()) for v in x)], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+    def asked(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in slices(batch, "text"):
+                    part = batch.slice(a, b - a)
+                    rows = [(shared.value.item_ids[i], t, *x) for t, i, *x in shared.value.leaks(*utf8(part.column("text")))]
+                    if rows:
+                        item, text, *x = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(item, pa.int64()), *(pa.array(v, pa.float64()) for v in x)], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
 
+    return reduce(DataFrame.unionByName, map(asked, found_in))
 
-def drop_contaminated(docs: DataFrame, found_in: list[Index]) -> DataFrame:
-    """The documents, with all their columns, into which no test item has leaked."""
-    shared = docs.sparkSession.sparkContext.broadcast(found_in)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                part = batch.slice(a, b - a)
-                raw, off = utf8(part.column("text"))
-                bad = {t for index in shared.value for t, *_ in index.leaks(raw, off)}
-                yield part.filter(pa.array([i not in bad for i in range(len(part))]))
+def drop_contaminated(docs: DataFrame, found_in: list[Broadcast]) -> DataFrame:
+    """The documents, with all their columns, into which no test item has leaked.  What one index
+    leaves is written before the next is asked, so that a task holds one."""
+
+    def left(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in slices(batch, "text"):
+                    part = batch.slice(a, b - a)
+                    bad = {t for t, *_ in shared.value.leaks(*utf8(part.column("text")))}
+                    yield part.filter(pa.array([i not in bad for i in range(len(part))]))
+
+        return docs.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    scratch = Scratch(docs.sparkSession) if len(found_in) > 1 else None
+    for i, shared in enumerate(found_in[:-1]):
+        docs = scratch.write(left(docs, shared), f"left_{i}")
+        scratch.keep(f"left_{i}")
+    return left(docs, found_in[-1])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,8 +90,12 @@ def test_odd_rows(spark):
     assert {r[0] for r in found} == {1, 5, None, 7, 9}
     left = D.drop_contaminated(frame, found_in)
     assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 8]
-    # several indexes find the same documents
-    assert {r.doc_id for r in D.find_leaks(frame, D.indexes(tests, index_bytes=40)).collect()} == {1, 5, None, 7, 9}
+    # many indexes find the same, with the same scores
+    several = D.indexes(tests, index_bytes=2)
+    assert len(several) > 64
+    some = [several[i] for i in range(len(several)) if several[i].value.item_ids]
+    close([tuple(r) for r in D.find_leaks(frame, some).collect()], brute(docs, items))
+    assert sorted(r.doc_id for r in D.drop_contaminated(frame, some).collect()) == [2, 3, 4, 8]
     no_items = D.indexes(tests.limit(0))
     assert D.find_leaks(frame, no_items).collect() == [] and D.find_leaks(frame.limit(0), found_in).collect() == []
 
