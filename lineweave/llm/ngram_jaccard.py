@@ -109,7 +109,7 @@ def common_cells(docs: DataFrame, join: Join) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (set size), digest of the set, prefix (array of shingles), bits (bitmap)."""
+    """doc_id, text_hash, n (set size), digest of the set, prefix (array of shingles), bits (bitmap)."""
     classes = docs.sparkSession.sparkContext.broadcast(common_cells(docs, join).tobytes())  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +129,11 @@ def profiles(docs: DataFrame, join: Join) -> DataFrame:
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                     bits.append(bitmap(own).tobytes() if n else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(off)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([np.zeros(0, K.U64), *prefix]).view(np.int64))), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "digest", "prefix", "bits"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(off)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([np.zeros(0, K.U64), *prefix]).view(np.int64))), pa.array(bits, pa.binary())],
+                    names=["doc_id", "text_hash", "n", "digest", "prefix", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, prefix array<long>, bits binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -355,7 +355,7 @@ def meet_first(rows: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def group_documents(docs: DataFrame, join: Join = Join(), scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, digest (of the set).  The result reads the tables ``profiles``,
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text).  The result reads the tables ``profiles``,
     ``copies`` and ``components`` of scratch; the others are gone when it is returned."""
     scratch = scratch or Scratch(docs.sparkSession)
     others = list(scratch.names)
@@ -384,13 +384,13 @@ def group_documents(docs: DataFrame, join: Join = Join(), scratch: Scratch | Non
     scratch.keep(*others, "profiles", "copies", "components")
     # rows of a set that several have go by it, the others are nodes themselves
     several = copies.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"), F.lit(True).alias("is_copy"))
-    rows = meet_first(profile.select("doc_id", "n", "digest", "row"), several).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = meet_first(profile.select("doc_id", "text_hash", "n", "digest", "row"), several).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("is_copy"), F.col("of_set")).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "digest")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(k=4, percent=85)).drop("digest")
+    return group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(k=4, percent=85)).drop("text_hash")
 
 
 OP3_SQL = r"""

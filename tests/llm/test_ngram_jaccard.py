@@ -40,7 +40,7 @@ def brute(docs, join):
 
 
 def found(df):
-    return sorted((tuple(r) for r in df.drop("digest").collect()), key=str)
+    return sorted((tuple(r) for r in df.drop("text_hash").collect()), key=str)
 
 
 def family(rng, size, words=120):
