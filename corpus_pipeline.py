@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm.best_fit_packing import cut_pieces, pack
-from lineweave.llm.common import written
+from lineweave.llm.common import Scratch, written
 from lineweave.llm.decontamination import drop_contaminated, indexes
 from lineweave.llm.ngram_jaccard import Join, group_documents
 from lineweave.llm.quality_rules import keep_documents, learn_stems
@@ -15,31 +15,41 @@ from lineweave.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go; abuse is learned from the labels."""
+    """Documents that the current policy rejects go; abuse is learned from the labels.  Null texts have
+    no words and go; repeated rows are judged alike."""
     return keep_documents(docs, stems=learn_stems(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8), the smallest doc_id stays."""
-    groups = group_documents(docs, Join(k=5, percent=80))
-    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8), the smallest doc_id stays.
+
+    Null and wordless texts are in no group and stay.  Rows without a doc_id go if their group has a
+    document with one.  Of rows with one doc_id those go whose own text is a copy of a smaller one; a
+    row that is repeated with its doc_id is one document, and all its rows stay or go together."""
+    scratch = Scratch(spark)
+    groups = group_documents(docs, Join(k=5, percent=80), scratch)
+    gone = groups.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
+    gone = scratch.write(gone, "near_copies")
+    scratch.keep("near_copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller doc_id has go; so does a document of which
-    nothing is left."""
+    nothing is left.  Null texts stay; rows without a doc_id, and rows with equal ones, keep all that no
+    smaller doc_id has."""
     rest = remove_repeats(docs, 50)
     return rest.where(F.coalesce(F.col("text") != "", F.lit(True)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a test item has leaked go."""
+    """Documents into which a test item has leaked go.  Null texts stay; repeated rows are judged alike."""
     return drop_contaminated(docs, indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, packed into sequences."""
+    """Pieces of at most 2048 tokens, packed into sequences.  A null text is its end id alone; each row
+    is a document; equal pieces are packed in the order of the table."""
     import public_tokenizers
 
     return pack(written(cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False), "pieces"))
