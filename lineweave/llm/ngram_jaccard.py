@@ -243,30 +243,39 @@ def _near(h, low, high, block, n, label, join: Join) -> Iterator[tuple[np.ndarra
 
 
 def _pairs(h, low, high, block, n, label, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of a tile whose labels differ and whose sizes fit, about 100,000 at a time.
-    One of the two isn't of the tile's largest component: these are held against the others."""
-    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+    """All pairs of rows of a tile whose labels differ and whose sizes fit.  Where nearly all rows of a
+    large tile are of one component, the few others are held against the rest, one by one; all other
+    tiles are gone through together, place by place."""
+    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    cut = np.append(np.flatnonzero(fresh), len(h))
+    tile, m = np.cumsum(fresh) - 1, np.diff(cut)
+    order = np.lexsort((label, tile))
+    group = np.flatnonzero(np.concatenate(([True], (label[order][1:] != label[order][:-1]) | fresh[1:])))
+    most = np.zeros(len(m), np.int64)
+    np.maximum.at(most, tile[order[group]], np.diff(np.append(group, len(h))))
+    few = (m > 2 * NEAR) & (8 * (m - most) < m) & (most < m)
+    rows = np.flatnonzero((most < m)[tile] & ~few[tile])
+    for shift in range(1, int(m.max())):
+        rows = rows[rows - shift >= cut[tile[rows]]]
+        rows = rows[100 * n[rows - shift] >= join.percent * n[rows]]
+        if not len(rows):
+            break
+        now = rows[(label[rows] != label[rows - shift]) & ((low[rows] == high[rows]) | (block[rows] != block[rows - shift]))]
+        if len(now):
+            yield now, now - shift
+    for t in np.flatnonzero(few).tolist():
+        a, b = int(cut[t]), int(cut[t + 1])
         names, code, many = np.unique(label[a:b], return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        largest = int(many.argmax())
-        size, whole = n[a:b], low[a] == high[a]
+        largest, size = int(many.argmax()), n[a:b]
         for i in np.flatnonzero(code != largest).tolist():
             x = int(np.searchsorted(100 * size, join.percent * size[i]))
             y = int(np.searchsorted(join.percent * size, 100 * size[i], side="right"))
             # of two such rows, the later one is held against the earlier
-            to = x + np.flatnonzero((code[x:y] != code[i]) & ((code[x:y] == largest) | (np.arange(x, y) < i)))
-            if not whole:
-                to = to[block[a + to] != block[a + i]]
+            to = a + x + np.flatnonzero((code[x:y] != code[i]) & ((code[x:y] == largest) | (np.arange(x, y) < i)))
+            if low[a] != high[a]:
+                to = to[block[to] != block[a + i]]
             if len(to):
-                held.append((np.full(len(to), a + i), a + to))
-                if sum(len(v) for v, _ in held) > 100_000:
-                    yield np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held])
-                    held = []
-    if held:
-        yield np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held])
+                yield np.full(len(to), a + i), to
 
 
 def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
@@ -351,7 +360,7 @@ def meet_first(rows: DataFrame, first: DataFrame) -> DataFrame:
     """rows with the columns of first, whose digest many rows may have: in SALTS groups."""
     salted = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", salt).join(salted, ["digest", "salt"], "left").drop("salt")
+    return rows.withColumn("salt", salt).join(salted.hint("merge"), ["digest", "salt"], "left").drop("salt")  # it grows with the documents
 
 
 def group_documents(docs: DataFrame, join: Join = Join(), scratch: Scratch | None = None) -> DataFrame:

@@ -120,3 +120,18 @@ def test_only_needed_tables_stay(spark):
     got = N.group_documents(docs, N.Join(), scratch)
     assert sorted(scratch.names) == sorted(p.name for p in Path(scratch.folder.removeprefix("file:")).iterdir()) == ["components", "copies", "profiles"]
     assert found(got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3)]
+
+
+def test_pairs_of_mixed_tiles():
+    """All pairs between components, in large tiles of nearly one component too."""
+    rng = np.random.default_rng(8)
+    h = np.repeat([1, 2, 3, 4], [200, 30, 1, 150])
+    n = np.concatenate([np.sort(rng.integers(50, 90, m)) for m in (200, 30, 1, 150)])
+    label = np.where(rng.random(len(h)) < 0.04, rng.integers(5, 9, len(h)), 1)
+    label[200:230] = rng.integers(1, 4, 30)
+    block = rng.integers(0, 2, len(h))
+    low, high = np.zeros(len(h), int), (h == 4).astype(int)
+    join = N.Join()
+    got = sorted((int(min(x)), int(max(x))) for now, other in N._pairs(h, low, high, block, n, label, join) for x in zip(now, other))
+    want = [(i, j) for j in range(len(h)) for i in range(j) if h[i] == h[j] and label[i] != label[j] and 100 * n[i] >= 80 * n[j] and (low[i] == high[i] or block[i] != block[j])]
+    assert got == want and len(want) > 1000
