@@ -133,5 +133,5 @@ def test_pairs_of_mixed_tiles():
     low, high = np.zeros(len(h), int), (h == 4).astype(int)
     join = N.Join()
     got = sorted((int(min(x)), int(max(x))) for now, other in N._pairs(h, low, high, block, n, label, join) for x in zip(now, other))
-    want = [(i, j) for j in range(len(h)) for i in range(j) if h[i] == h[j] and label[i] != label[j] and 100 * n[i] >= 80 * n[j] and (low[i] == high[i] or block[i] != block[j])]
+    want = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if h[i] == h[j] and label[i] != label[j] and 100 * n[i] >= 80 * n[j] and (low[i] == high[i] or block[i] != block[j])]
     assert got == want and len(want) > 1000
