@@ -143,14 +143,15 @@ def q_fuzzy_rank(spark, d):
 
 
 def q_containment_anchor(spark, d):
-    """Document lines that hold a test item's first line: both meet at the first 12 letters of the item,
-    which stand at the start of one of the line's words.  All lines, both ways: ``containment_lines``."""
+    """Document lines that hold a test item's first line of 12 letters or more, anywhere: a line and an
+    item meet at the item's rarest 8 bytes.  All lines, both ways: ``containment_lines``."""
     first = lyric_lines(table(spark, d, "benchmark"), "item_id").where("line = 1").select(F.col("song").alias("item_id"), match_key(F.col("text")).alias("short")).where("length(short) >= 12")
-    words = F.filter(F.transform(F.split("text", r"\s+"), match_key), lambda x: x != "")
-    lines = lyric_lines(docs(spark, d)).select("song", "line", words.alias("w"))
-    heads = lines.select("song", "line", F.array_join("w", "").alias("long"), F.explode(F.array_distinct(F.transform("w", lambda x, i: F.substring(F.array_join(F.slice("w", i + 1, 12), ""), 1, 12)))).alias("head"))
-    hit = heads.join(first, F.col("head") == F.substring("short", 1, 12)).where(contains_with_ratio(F.col("long"), F.col("short"), 0.0))
-    return hit.select("song", "line", "item_id").distinct()
+    own = byte_fragments(first.select("short").distinct(), "short").where("NOT whole AND size = 8")
+    rare = own.join(own.groupBy("fragment").agg(F.count(F.lit(1)).alias("df")), "fragment").groupBy("short").agg(F.min_by("fragment", F.struct("df", "fragment")).alias("fragment"))
+    lines = lyric_lines(docs(spark, d)).select("song", "line", match_key(F.col("text")).alias("long"))
+    found = byte_fragments(lines, "long", places(rare.withColumn("size", F.lit(8))), np.zeros((2, PLACES), bool)).where("size = 8 AND NOT whole")
+    hit = found.join(rare, "fragment").where(contains_with_ratio(F.col("long"), F.col("short"), 0.0))
+    return hit.join(first, "short").select("song", "line", "item_id").distinct()
 
 
 def best_others(items: DataFrame, n: int = 8, cap: int = 4, least: float = 0.6, top: int = 3) -> DataFrame:

@@ -77,15 +77,16 @@ def pitch_histogram(spark, d):
 
 def key_estimate(spark, d):
     """The key, of 24, whose profile fits the histogram best; of equal ones the first."""
-    h = pitch_histogram(spark, d).groupBy("song").pivot("pitch_class", list(range(12))).agg(F.first("n")).na.fill(0)
-    x = F.array(*(F.col(str(i)).cast("double") for i in range(12)))
-
-    def profile(weights: tuple, k: int) -> Column:
-        return F.array(*(F.lit(weights[(i - k) % 12]) for i in range(12)))
-
-    keys = [F.struct(F.round(correlation(x, profile(w, k), 12), 9).alias("r"), F.lit(-(12 * m + k)).alias("key")) for m, w in enumerate((MAJOR, MINOR)) for k in range(12)]
-    best = h.select("song", F.array_max(F.filter(F.array(*keys), lambda s: s["r"].isNotNull())).alias("b")).where("b IS NOT NULL")
-    return best.select("song", (-F.col("b.key")).alias("key"), F.col("b.r").alias("r"))
+    rows = [(12 * m + k, i, float(w[(i - k) % 12])) for m, w in enumerate((MAJOR, MINOR)) for k in range(12) for i in range(12)]
+    profiles = spark.createDataFrame(rows, "key int, pitch_class long, w double")  # 24 keys of 12 classes
+    h = pitch_histogram(spark, d)
+    # a class that a song lacks counts 0 in every sum
+    own = h.groupBy("song").agg(F.sum("n").cast("double").alias("sx"), F.sum(F.col("n") * F.col("n")).cast("double").alias("sxx"))
+    both = h.join(F.broadcast(profiles), "pitch_class").groupBy("song", "key").agg(F.sum(F.col("n") * F.col("w")).alias("sxy"))
+    sums = profiles.groupBy("key").agg(F.sum("w").alias("sy"), F.sum(F.col("w") * F.col("w")).alias("syy"))
+    all_ = both.join(F.broadcast(sums), "key").join(own, "song").where("12 * sxx > sx * sx")
+    r = F.round((12 * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((12 * F.col("sxx") - F.col("sx") * F.col("sx")) * (12 * F.col("syy") - F.col("sy") * F.col("sy"))), 9)
+    return all_.groupBy("song").agg(F.max(F.struct(r.alias("r"), (-F.col("key")).alias("k"))).alias("b")).select("song", (-F.col("b.k")).alias("key"), F.col("b.r").alias("r"))
 
 
 def greedy_collapse(spark, d):
@@ -120,7 +121,7 @@ def hz_to_midi(spark, d):
 def adjacent_equals(spark, d):
     """Frames that a text needs at least: its letters, and one more between equal ones."""
     c = F.split("p_name", "")
-    twins = F.aggregate(F.zip_with(F.slice(c, 2, 200), F.slice(c, 1, F.size(c) - 1), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, v: a + v)
+    twins = F.aggregate(F.zip_with(F.slice(c, F.lit(2), F.size(c)), F.slice(c, 1, F.size(c) - 1), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, v: a + v)
     return table(spark, d, "part").select("p_partkey", (F.length("p_name") + twins).cast("long").alias("frames"))
 
 

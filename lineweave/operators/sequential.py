@@ -9,25 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import match_key
+from lineweave.operators.layers import line_keys
 from lineweave.sources.tables import TIMED_SQL, lyric_lines, table, timed_lines
 
 
 def enforce_monotonic(lines: DataFrame, shortest: int) -> DataFrame:
-    """Starts that never come before the line before has lasted ``shortest``: a fold over the array of a
-    song's starts."""
-    t = lines.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("line", "s"))).alias("t"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc, x):
-        s = F.greatest(x["s"], F.coalesce(acc["last"] + shortest, x["s"]))
-        return F.struct(s.alias("last"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    folded = t.withColumn("new", F.aggregate("t", zero, step)["out"])
-    return folded.select("song", F.explode(F.arrays_zip(F.col("t.line").alias("line"), F.col("new").alias("new_s"))).alias("z")).select("song", "z.line", "z.new_s")
+    """Starts that never come before the line before has lasted ``shortest``: as each step adds that much,
+    a running maximum of the starts less as many steps.  A null start takes the earliest allowed."""
+    w = Window.partitionBy("song").orderBy("line")
+    steps = shortest * F.row_number().over(w).cast("long")
+    rows = lines.select("song", "line", "s", steps.alias("steps"))
+    return rows.select("song", "line", (F.max(F.col("s") - F.col("steps")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("steps")).alias("new_s"))
 
 
 def greedy_one_to_one(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
@@ -53,7 +49,8 @@ def greedy_one_to_one(left: DataFrame, right: DataFrame, tolerance: int) -> Data
 
 
 def align_lines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Longest common subsequence of two line lists of a key, by line keys: (song, a, b) pairs."""
+    """Longest common subsequence of two line lists of a key, by line keys: (song, a, b) pairs.  A null
+    text equals none."""
     both = a.select("song", "line", match_key(F.col("text")).alias("k"), F.lit(0).alias("side")).unionByName(b.select("song", "line", match_key(F.col("text")).alias("k"), F.lit(1).alias("side")))
 
     def lcs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,17 +72,77 @@ def align_lines(a: DataFrame, b: DataFrame) -> DataFrame:
                 j += 1
         return pd.DataFrame(out, columns=["song", "a", "b"])
 
-    return both.groupBy("song").applyInPandas(lcs, "song long, a long, b long")
+    return both.where("k IS NOT NULL").groupBy("song").applyInPandas(lcs, "song long, a long, b long")
+
+
+#: Lines that can stand for one line of the other list, and how far ahead an equal line is looked for.
+MERGED, AHEAD = 6, 12
+
+
+def walk(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Stretches (i, p, j, q) of two lists of (strict, loose) line keys: p lines of a from i say what q
+    lines of b from j do, one of the two being a single line.  Where neither list goes on with an equal
+    stretch, both skip to the nearest equal lines; with none near, the rest stays alone."""
+    shapes = [(1, 1), *((p, 1) for p in range(2, MERGED + 1)), *((1, q) for q in range(2, MERGED + 1))]
+
+    def same(x: list[tuple], y: list[tuple]) -> bool:
+        if "".join(k for k, _ in x) == "".join(k for k, _ in y):
+            return True
+        return all(k is not None for _, k in (*x, *y)) and "".join(k for _, k in x) == "".join(k for _, k in y)
+
+    i = j = 0
+    out = []
+    while i < len(a) and j < len(b):
+        hit = next(((p, q) for p, q in shapes if i + p <= len(a) and j + q <= len(b) and same(a[i : i + p], b[j : j + q])), None)
+        if hit is None:
+            near = [(x + y, x, y) for x, u in enumerate(a[i : i + AHEAD]) for y, v in enumerate(b[j : j + AHEAD]) if same([u], [v])]
+            if not near:
+                break
+            _, x, y = min(near)
+            i, j = i + x, j + y
+        else:
+            out.append((i, hit[0], j, hit[1]))
+            i, j = i + hit[0], j + hit[1]
+    return out
+
+
+def align_resplit(a: DataFrame, b: DataFrame) -> DataFrame:
+    """song, line, lines, other, others: stretches of two versions of a song whose lines are split
+    differently, as of ``walk``; line and other are their first lines.  Each song is one group."""
+    both = line_keys(a).withColumn("side", F.lit(0)).unionByName(line_keys(b).withColumn("side", F.lit(1)))
+
+    def align(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf.side == i].sort_values("line") for i in (0, 1))
+        keys = [[(s, k if isinstance(k, str) else None) for s, k in zip(t.strict, t.loose)] for t in (x, y)]
+        found = [(pdf.song.iloc[0], x.line.iloc[i], p, y.line.iloc[j], q) for i, p, j, q in walk(*keys)]
+        return pd.DataFrame(found, columns=["song", "line", "lines", "other", "others"])
+
+    return both.groupBy("song").applyInPandas(align, "song long, line long, lines int, other long, others int")
+
+
+def carry_layer(lines: DataFrame, layer: DataFrame, least: float = 0.5) -> DataFrame:
+    """song, line, translation: the layer's translations on lines of another split; of several layer lines
+    they are joined, and of several lines the first takes it.  Only for songs where least of the lines
+    get one.  layer: song, line, text, translation."""
+    found = align_resplit(lines, layer)
+    of = layer.select("song", F.col("line").alias("at"), F.coalesce("translation", F.lit("")).alias("translation"))
+    each = found.withColumn("at", F.explode(F.sequence(F.col("other"), F.col("other") + F.col("others") - 1))).join(of, ["song", "at"])
+    text = each.groupBy("song", "line").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "translation")))["translation"], "").alias("translation"))
+    size = lines.groupBy("song").agg(F.count(F.lit(1)).alias("n"))
+    enough = text.groupBy("song").agg(F.count(F.lit(1)).alias("m")).join(size, "song").where(F.col("m") >= least * F.col("n")).select("song")
+    return text.join(enough, "song", "left_semi")
 
 
 def split_long_lines(lines: DataFrame, budget: int) -> DataFrame:
-    """Words of a line dealt greedily to pieces of at most budget characters."""
+    """Words of a line dealt greedily to pieces of at most budget characters; a longer word is a piece of
+    its own, and a null or blank line has none."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for x in pdf.itertuples(index=False):
                 piece, n = "", 0
-                for w in x.text.split():
+                for w in (x.text or "").split():
                     if piece and len(piece) + 1 + len(w) > budget:
                         out.append((x.song, x.line, n, piece))
                         piece, n = w, n + 1
@@ -114,6 +171,22 @@ def dp_align(spark, d):
     return align_lines(a, b)
 
 
+def resplit(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The lines of each document, and the same in halves (even documents) or joined by two (odd ones)."""
+    lines = lyric_lines(table(spark, d, "documents"))
+    words = F.split("text", r"\s+")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    halves = lines.where("song % 2 = 0").select("song", "line", F.posexplode(F.filter(F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " ")), lambda t: t != "")).alias("k", "text"))
+    pairs = lines.where("song % 2 <> 0").groupBy("song", F.floor((F.col("line") + 1) / 2).alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], " ").alias("text"))
+    w = Window.partitionBy("song").orderBy("line", "k")
+    halves = halves.select("song", F.row_number().over(w).cast("long").alias("line"), "text")
+    return lines, halves.unionByName(pairs.select("song", "line", "text"))
+
+
+def resplit_alignment(spark, d):
+    return align_resplit(*resplit(spark, d))
+
+
 def long_line_split(spark, d):
     return split_long_lines(lyric_lines(table(spark, d, "benchmark"), "item_id"), 40)
 
@@ -125,4 +198,5 @@ QUERIES = {
     "greedy_note_score": (greedy_note_score, None),
     "dp_align": (dp_align, None),
     "long_line_split": (long_line_split, None),
+    "resplit_alignment": (resplit_alignment, None),
 }

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.functions import lyrics, text
-from lineweave.operators import arrays, choices, fixes, intervals, relational, sequential, stats
+from lineweave.operators import arrays, choices, fixes, intervals, layers, relational, repairs, sequential, stats
 from lineweave.sources import payloads, subtitles
 from lineweave.streaming import jobs
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, lyrics, subtitles, payloads, jobs)
+MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, lyrics, subtitles, payloads, jobs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
