@@ -27,6 +27,8 @@ from lineweave.llm.common import slices
 #: Letters of planes 0 to 3 end below this code point.
 CODES = 0x33480
 BITS = 21
+#: Languages that can be learned at once.
+LANGUAGES = 2000
 U64 = np.uint64
 
 
@@ -132,8 +134,11 @@ def learn(labelled: DataFrame, size: int = 400, documents: int = 4000) -> Profil
     """Profiles of ``size`` n-grams from (doc_id, text, lang) rows with a lang.  Of a language with
     more rows than ``documents``, about that many are read, chosen by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), documents / F.count(F.lit(1))).alias("share"))
-    chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), documents / F.count(F.lit(1))).alias("share")).limit(LANGUAGES + 1).collect()
+    if len(share) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages: each is a column of the table that every task holds")
+    share = labelled.sparkSession.createDataFrame(share, "lang string, share double")
+    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")  # LANGUAGES rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
