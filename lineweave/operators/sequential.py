@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import match_key
-from lineweave.operators.layers import line_keys
+from lineweave.operators.layers import ITEMS, line_keys
 from lineweave.sources.tables import TIMED_SQL, lyric_lines, table, timed_lines
 
 
@@ -195,8 +195,14 @@ T = TIMED_SQL
 QUERIES = {
     # the fold s' = max(s, last + d) is max over earlier lines of s + d * (steps since)
     "monotonic": (monotonic, f"SELECT song, line, max(s - 60000000 * i) OVER (PARTITION BY song ORDER BY line ROWS UNBOUNDED PRECEDING) + 60000000 * i AS new_s FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY line) AS i FROM {T})"),
-    "greedy_note_score": (greedy_note_score, None),
+    "greedy_note_score": (
+        greedy_note_score,
+        f"WITH RECURSIVE c AS (SELECT song, line, s, row_number() OVER (PARTITION BY song ORDER BY s, line) AS i FROM {T} WHERE text = 'click'), v AS (SELECT song, list({{'s': s, 'line': line}} ORDER BY s, line) AS v FROM {T} WHERE text = 'view' GROUP BY 1), n AS (SELECT c.*, list_filter(v, lambda x: abs(x.s - c.s) <= 3600000000) AS near FROM c JOIN v ON v.song = c.song), r AS (SELECT DISTINCT song, 0::BIGINT AS i, NULL::BIGINT AS line, NULL::BIGINT AS s, []::BIGINT[] AS used, NULL::STRUCT(d BIGINT, s BIGINT, line BIGINT) AS best FROM n UNION ALL SELECT song, i, line, s, CASE WHEN best.line IS NULL THEN used ELSE list_append(used, best.line) END, best FROM (SELECT n.song, n.i, n.line, n.s, r.used, list_sort(list_transform(list_filter(near, lambda x: NOT list_contains(r.used, x.line)), lambda x: {{'d': abs(x.s - n.s), 's': x.s, 'line': x.line}}))[1] AS best FROM r JOIN n ON n.song = r.song AND n.i = r.i + 1)) SELECT song, line, best.line AS match, best.s - s AS apart FROM r WHERE best.line IS NOT NULL",
+    ),
     "dp_align": (dp_align, None),
-    "long_line_split": (long_line_split, None),
+    "long_line_split": (
+        long_line_split,
+        f"WITH RECURSIVE l AS (SELECT song, line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM {ITEMS}), r AS (SELECT song, line, w, 1 AS k, 0::BIGINT AS piece, w[1] AS t FROM l WHERE len(w) > 0 UNION ALL SELECT song, line, w, k + 1, CASE WHEN over THEN piece + 1 ELSE piece END, CASE WHEN over THEN w[k + 1] ELSE t || ' ' || w[k + 1] END FROM (SELECT *, length(t) + 1 + length(w[k + 1]) > 40 AS over FROM r WHERE k < len(w))) SELECT song, line, piece, arg_max(t, k) AS text FROM r GROUP BY 1, 2, 3",
+    ),
     "resplit_alignment": (resplit_alignment, None),
 }
