@@ -210,7 +210,10 @@ QUERIES = {
     "straddles": (straddles, f"WITH g AS (SELECT song, e AS a, n AS b FROM (SELECT *, lead(s) OVER ({W}) AS n FROM {T} WHERE text = 'view') WHERE n > e) SELECT c.song, c.line, count(*) AS pauses FROM {T} c JOIN g ON c.song = g.song AND c.text = 'click' AND c.s < g.a AND c.e > g.b GROUP BY 1, 2"),
     "splice": (splice, f"WITH g AS (SELECT song, arg_max(n, (n - e, -line)) AS cut FROM (SELECT *, lead(s) OVER ({W}) AS n FROM {T}) WHERE n > e GROUP BY 1) SELECT t.song, line, CASE WHEN s >= cut THEN e ELSE s END AS at FROM {T} t JOIN g ON g.song = t.song"),
     "note_runs": (note_runs, f"WITH t AS (SELECT *, floor(value / 20)::BIGINT AS pitch FROM {T}), f AS (SELECT *, CASE WHEN lag(pitch) OVER ({W}) = pitch AND s - lag(e) OVER ({W}) < {DAY} THEN 0 ELSE 1 END AS f FROM t), r AS (SELECT *, sum(f) OVER ({W} ROWS UNBOUNDED PRECEDING) AS note FROM f) SELECT song, note, pitch, min(s) AS s, max(e) AS e, count(*) AS n FROM r GROUP BY 1, 2, 3"),
-    "octave_snap": (octave_snap, None),
+    "octave_snap": (
+        octave_snap,
+        f"SELECT vec_id, array_to_string(list_reduce(list_transform(x, lambda v: [round(v / 10000.0)::BIGINT]), lambda a, v: list_append(a, CASE WHEN abs(v[1] - a[-1]) > 30 THEN v[1] - 12 * round((v[1] - a[-1]) / 12.0)::BIGINT ELSE v[1] END)), ',') AS curve FROM {X}",
+    ),
     "median_fold": (median_fold, f"SELECT song, line, round(value - quantile_cont(value, 0.5) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS off FROM {T}"),
     "swallowed": (swallowed, f"WITH o AS (SELECT c.song, c.line, sum(least(c.e, v.e) - greatest(c.s, v.s)) AS o FROM {T} c JOIN {T} v ON c.song = v.song AND c.text = 'click' AND v.text = 'view' AND c.s < v.e AND v.s < c.e GROUP BY 1, 2) SELECT song, max(o) AS most FROM o GROUP BY 1"),
     "forbidden_frames": (forbidden_frames, f"SELECT song, count(DISTINCT f) AS frames FROM (SELECT song, unnest(range(ceil(s / {6 * HOUR}.0)::BIGINT, floor(e / {6 * HOUR}.0)::BIGINT)) AS f FROM {T}) GROUP BY 1"),
