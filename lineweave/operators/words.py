@@ -7,6 +7,8 @@ in no gap; of words with equal starts the smaller number is first; empty tables
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,27 @@ def letters_found(text: str, spans: str) -> Column:
     return F.expr(f"aggregate({spans}, struct(0 AS p, CAST(array() AS array<{HIT}>) AS hits), {step}, a -> a.hits)")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def letter_times(text: Column, hits: Column) -> Column:
     """Array of (s, e) by letter: as found; between two that are, in equal steps; at the ends, as the nearest."""
 
-    def at(p: Column) -> Column:
-        a, b = F.array_max(F.filter(hits, lambda h: h.pos <= p)), F.array_min(F.filter(hits, lambda h: h.pos >= p))
+    def at(known: Column, p: Column) -> Column:
+        a, b = F.array_max(F.filter(known, lambda h: h.pos <= p)), F.array_min(F.filter(known, lambda h: h.pos >= p))
+        return once(F.struct(a.alias("a"), b.alias("b")), lambda x: place(x.a, x.b, p))
+
+    def place(a: Column, b: Column, p: Column) -> Column:
         step = (b.s - a.e) / (b.pos - a.pos)
         between = lambda k: F.floor(a.e + step * k)
         s = F.when(a.isNull(), b.s).when(b.isNull() | (a.pos == p), a.s).otherwise(between(p - a.pos - 1))
         e = F.when(a.isNull(), b.e).when(b.isNull() | (a.pos == p), a.e).otherwise(between(p - a.pos))
         return F.struct(s.alias("s"), e.alias("e"))
 
-    return F.when((F.size(hits) > 0) & (F.length(text) > 0), F.transform(F.sequence(F.lit(1), F.length(text)), at))
+    places = F.sequence(F.lit(1), F.length(text))
+    return once(hits, lambda known: F.when((F.size(known) > 0) & (F.length(text) > 0), F.transform(places, lambda p: at(known, p))))
 
 
 def syllable_times(syllables: Column, times: Column) -> Column:
