@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.functions import lyrics, readings, text
-from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, relational, repairs, sequential, stats, words
+from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, matching, relational, repairs, sequential, stats, words
 from lineweave.sources import payloads, subtitles
 from lineweave.streaming import jobs
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, lyrics, readings, subtitles, payloads, jobs)
+MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, matching, lyrics, readings, subtitles, payloads, jobs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
