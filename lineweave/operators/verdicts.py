@@ -36,7 +36,7 @@ def paired_median(a: DataFrame, b: DataFrame, key: str, value: str, group: str)
 
 def link_verdict(score: Column, second: Column, least: float = 0.55, margin: float = 0.08) -> Column:
     """Whether a cover is linked: its best score is high, and well above the second."""
-    return F.when(score < least, "low").when(score - F.coalesce(second, F.lit(0.0)) < margin, "unclear").otherwise("linked")
+    return F.when(score < least, "low").when(score - F.coalesce(second, F.lit(0.0)) < margin, "unclear").when(score.isNotNull(), "linked")
 
 
 def kept_spans(after: DataFrame, before: DataFrame, moved: int) -> DataFrame:
