@@ -7,11 +7,13 @@ from lineweave.llm.bit_packing import op10_bit_packing
 from lineweave.llm.chat_format import op8_chat_format
 from lineweave.llm.decontamination import op9_decontamination
 from lineweave.llm.language_id import op2_language_id
+from lineweave.llm.level_packing import op13_level_packing
 from lineweave.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from lineweave.llm.quality_rules import op5_quality_rules
 from lineweave.llm.suffix_dedup import op1_suffix_dedup
 from lineweave.llm.url_templates import op6_sql, op6_url_templates
 from lineweave.llm.warc_zip import OP7_SQL, op7_warc_zip
+from lineweave.llm.whitening import op12_whitening
 
 
 def queries() -> dict:
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_decontamination": op9_decontamination,
         "op10_bit_packing": op10_bit_packing,
+        "op12_whitening": op12_whitening,
+        "op13_level_packing": op13_level_packing,
     }
 
 
