@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.functions import lyrics, readings, text
+from lineweave.functions import lyrics, moras, readings, text
 from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, matching, queues, relational, repairs, sequential, stats, titles, verdicts, words
 from lineweave.sources import pages, payloads, subtitles
 from lineweave.streaming import jobs
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, matching, queues, titles, verdicts, lyrics, readings, subtitles, payloads, pages, jobs)
+MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, matching, queues, titles, verdicts, lyrics, readings, moras, subtitles, payloads, pages, jobs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
