@@ -7,12 +7,8 @@ watermark hasn't passed yet stay in state and aren't in the output.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineweave.sources.tables import micros, table, work_dir
 
@@ -77,38 +73,6 @@ def stream_view_counts(spark, d):
     return available(event_stream(spark, d).where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("views")), "complete")
 
 
-ANSWER = "user_id long, event_id long, held boolean, cancelled boolean, progress long, meta long"
-LEASE_STATE = "until long, cancelled boolean, progress long, meta long"
-
-
-def answered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What each heartbeat of a job is told, and the lease that it leaves; the job's new rows are gone
-    through in order of their time."""
-    until, cancelled, progress, meta = state.get if state.exists else (None, False, 0, None)
-    rows, out = pd.concat(list(batches)).sort_values(["t", "event_id"]), []
-    for kind, t, event in zip(rows.event_type, rows.t, rows.event_id):
-        if kind == "signup":
-            until, cancelled, progress, meta = t + 3 * DAY, False, 0, None
-        elif kind == "error":
-            cancelled = True
-        elif kind == "purchase":
-            meta = event
-        elif kind == "view":
-            held = until is not None and t <= until
-            if held and not cancelled:
-                until, progress = t + 3 * DAY, progress + 1
-            out.append((key[0], event, held, cancelled, progress, meta if held and not cancelled else None))
-    state.update((None if until is None else int(until), cancelled, int(progress), None if meta is None else int(meta)))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "held", "cancelled", "progress", "meta"]).astype({"meta": "Int64"})
-
-
-def stream_heartbeats(spark, d):
-    """Heartbeats (views) of leases that a claim (signup) opens and each heartbeat lengthens, unless it has
-    run out or a cancel (error) has come; they are told so, how many there were, and late data (purchase)."""
-    e = event_stream(spark, d).select("user_id", "event_id", "event_type", F.unix_micros("at").alias("t"))
-    return available(e.groupBy("user_id").applyInPandasWithState(answered, ANSWER, LEASE_STATE, "append", GroupStateTimeout.NoTimeout))
-
-
 #: What the watermark has passed when a stream has seen all events; it counts in milliseconds.
 FINAL = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {DAY} FROM events)"
 QUERIES = {
@@ -117,5 +81,4 @@ QUERIES = {
     "stream_lease_expiry": (stream_lease_expiry, f"WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < {3 * DAY} THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(t) AS claimed, max(t) + {3 * DAY} AS expired, count(*) AS n FROM s GROUP BY user_id, k HAVING max(t) + {3 * DAY} <= {FINAL}"),
     "stream_late_merge": (stream_late_merge, f"SELECT p.user_id, p.event_id AS purchase, c.event_id AS click FROM events p JOIN events c ON p.user_id = c.user_id AND p.event_type = 'purchase' AND c.event_type = 'click' AND c.ts <= p.ts AND epoch_us(p.ts) - epoch_us(c.ts) <= {6 * HOUR}"),
     "stream_view_counts": (stream_view_counts, "SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1"),
-    "stream_heartbeats": (stream_heartbeats, f"WITH RECURSIVE r AS (SELECT user_id, event_id, event_type AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS k, NULL::BIGINT AS until, false AS cancelled, 0::BIGINT AS progress, NULL::BIGINT AS meta, false AS held FROM r UNION ALL SELECT r.user_id, r.i, r.event_id, r.k, CASE WHEN r.k = 'signup' OR r.k = 'view' AND r.t <= until AND NOT cancelled THEN r.t + {3 * DAY} ELSE until END, CASE r.k WHEN 'signup' THEN false WHEN 'error' THEN true ELSE cancelled END, CASE WHEN r.k = 'signup' THEN 0 WHEN r.k = 'view' AND r.t <= until AND NOT cancelled THEN progress + 1 ELSE progress END, CASE r.k WHEN 'signup' THEN NULL WHEN 'purchase' THEN r.event_id ELSE meta END, coalesce(r.t <= until, false) FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1) SELECT user_id, event_id, held, cancelled, progress, CASE WHEN held AND NOT cancelled THEN meta END AS meta FROM f WHERE k = 'view'"),
 }
