@@ -25,11 +25,6 @@ def match_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, MARKS, ""))
 
 
-def loose_key(text: Column) -> Column:
-    key = match_key(text)
-    return F.when(F.length(key) >= 2, key)
-
-
 def anchor_key(text: Column) -> Column:
     return match_key(F.regexp_replace(text, r"\([^)]*\)", ""))
 
@@ -131,29 +126,6 @@ def q_fragment_df(spark, d):
     return fragments(items, "text", 4).groupBy("fragment").agg(F.count_distinct("item_id").alias("df")).where("df >= 2")
 
 
-def q_fuzzy_rank(spark, d):
-    """For each test item the three other items with the most rare fragments (of two to four items) in
-    common.  With equal and nearly equal groups: ``fuzzy_rank_all``."""
-    f = fragments(table(spark, d, "benchmark"), "text", 8).select("item_id", "fragment")
-    rare = f.groupBy("fragment").agg(F.count(F.lit(1)).alias("df")).where("df BETWEEN 2 AND 4")
-    f = f.join(rare, "fragment")
-    pairs = f.alias("a").join(f.alias("b"), "fragment").where("a.item_id <> b.item_id").groupBy(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("shared"), "other")
-    return pairs.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
-
-
-def q_containment_anchor(spark, d):
-    """Document lines that hold a test item's first line of 12 letters or more, anywhere: a line and an
-    item meet at the item's rarest 8 bytes.  All lines, both ways: ``containment_lines``."""
-    first = lyric_lines(table(spark, d, "benchmark"), "item_id").where("line = 1").select(F.col("song").alias("item_id"), match_key(F.col("text")).alias("short")).where("length(short) >= 12")
-    own = byte_fragments(first.select("short").distinct(), "short").where("NOT whole AND size = 8")
-    rare = own.join(own.groupBy("fragment").agg(F.count(F.lit(1)).alias("df")), "fragment").groupBy("short").agg(F.min_by("fragment", F.struct("df", "fragment")).alias("fragment"))
-    lines = lyric_lines(docs(spark, d)).select("song", "line", match_key(F.col("text")).alias("long"))
-    found = byte_fragments(lines, "long", places(rare.withColumn("size", F.lit(8))), np.zeros((2, PLACES), bool)).where("size = 8 AND NOT whole")
-    hit = found.join(rare, "fragment").where(contains_with_ratio(F.col("long"), F.col("short"), 0.0))
-    return hit.join(first, "short").select("song", "line", "item_id").distinct()
-
-
 def best_others(items: DataFrame, n: int = 8, cap: int = 4, least: float = 0.6, top: int = 3) -> DataFrame:
     """For each item (item_id, text) the best others: by score (1 for equal keys; where one key holds the
     other, the ratio of their lengths, if least or more; else 0), then by how many rare fragments of
@@ -393,9 +365,7 @@ QUERIES = {
     "lang_mismatch": (q_lang_mismatch, r"SELECT doc_id, lang, length(regexp_replace(text, '\s', '', 'g')) AS visible, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS foreign FROM documents WHERE length(regexp_replace(text, '\s', '', 'g')) >= 20 AND (lang = 'en' AND length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) * 100 > length(regexp_replace(text, '\s', '', 'g')) OR lang <> 'en' AND length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) = 0)".replace("AS foreign", 'AS "foreign"')),
     "title_candidates": (q_title_candidates, r"WITH t AS (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' (' || p_brand || ')' ELSE ' - ' || p_type END || ' feat. ' || p_brand AS t FROM part) SELECT DISTINCT p_partkey, c AS candidate FROM (SELECT p_partkey, unnest([trim(t), trim(regexp_replace(t, '[\(\[][^\)\]]*[\)\]]', '', 'g')), trim(CASE WHEN contains(t, ' - ') THEN left(t, instr(t, ' - ') - 1) ELSE t END), trim(regexp_replace(t, '(?i)\s+(feat|ft)\.?\s.*$', ''))]) AS c FROM t) WHERE c <> ''"),
     "fragment_df": (q_fragment_df, f"SELECT fragment, count(*) AS df FROM {_fragments(4)} GROUP BY 1 HAVING count(*) >= 2"),
-    "fuzzy_rank": (q_fuzzy_rank, f"WITH f AS {_fragments(8)}, r AS (SELECT fragment FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4), g AS (SELECT f.* FROM f JOIN r USING (fragment)) SELECT a.item_id, b.item_id AS other, count(*) AS shared, row_number() OVER (PARTITION BY a.item_id ORDER BY count(*) DESC, b.item_id) AS place FROM g a JOIN g b ON a.fragment = b.fragment AND a.item_id <> b.item_id GROUP BY 1, 2 QUALIFY place <= 3"),
     "fuzzy_rank_all": (q_fuzzy_rank_all, BEST),
-    "containment_anchor": (q_containment_anchor, f"WITH b AS (SELECT item_id, {KEY.format('f')} AS short FROM (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS f FROM benchmark)), l AS (SELECT song, line, {KEY.format('text')} AS long FROM {L}) SELECT song, line, item_id FROM l JOIN b ON contains(long, short) WHERE length(short) >= 12"),
     "containment_lines": (q_containment_lines, f"WITH b AS (SELECT song AS item_id, line AS item_line, {ANCHOR} AS short FROM {LYRICS_SQL.replace('doc_id', 'item_id').replace('documents', 'benchmark')}), l AS (SELECT song, line, {ANCHOR} AS long FROM {L}) SELECT song, line, item_id, item_line FROM l JOIN b ON contains(long, short) OR contains(short, long) AND 10 * length(long) >= 3 * length(short) WHERE length(long) >= 4 AND length(short) >= 4"),
     "char_multiset_f1": (q_char_multiset_f1, "WITH t AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations WHERE role <> 'system' GROUP BY 1, 2), c AS (SELECT conv_id, role, ch, count(*) AS n FROM (SELECT conv_id, role, unnest(string_split(text, '')) AS ch FROM t) GROUP BY ALL), s AS (SELECT a.conv_id, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.ch = b.ch AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1) SELECT s.conv_id, shared, round(2 * shared::DOUBLE / (length(x.text) + length(y.text)), 9) AS f1 FROM s JOIN t x ON x.conv_id = s.conv_id AND x.role = 'user' JOIN t y ON y.conv_id = s.conv_id AND y.role = 'assistant'"),
     "caption_islands": (q_caption_islands, "WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY 1, 2, 3"),

@@ -29,15 +29,14 @@ def pieces(key: Column, n: int) -> Column:
 
 
 def key_pairs(lines: DataFrame, captions: DataFrame, n: int, share: float) -> DataFrame:
-    """song, track, i, j where one key holds the other, which has this share of its letters at least: the
-    shorter one's first fragment is among those of the longer."""
+    """song, track, i, j where a caption's key holds the line's, or stands in it with this share of its letters
+    at least: the shorter one's first fragment is among those of the longer."""
     a = lines.where(F.length("key") >= n).select("song", "i", F.col("key").alias("a"))
     b = captions.where(F.length("key") >= n).select(*KEY, "j", F.col("key").alias("b"))
     first, every = lambda c: F.substring(c, 1, n), lambda c: F.explode(pieces(F.col(c), n))
     inside = a.withColumn("g", first("a")).join(b.withColumn("g", every("b")), ["song", "g"]).where(F.contains("b", "a"))
-    around = a.withColumn("g", every("a")).join(b.withColumn("g", first("b")), ["song", "g"]).where(F.contains("a", "b") & (F.col("a") != F.col("b")))
-    both = inside.unionByName(around).where(F.least(F.length("a"), F.length("b")) >= share * F.greatest(F.length("a"), F.length("b")))
-    return both.select(*KEY, "i", "j")
+    around = a.withColumn("g", every("a")).join(b.withColumn("g", first("b")), ["song", "g"]).where(F.contains("a", "b") & (F.col("a") != F.col("b")) & (F.length("b") >= share * F.length("a")))
+    return inside.unionByName(around).select(*KEY, "i", "j")
 
 
 def forward(pairs: DataFrame, step: int) -> DataFrame:
@@ -105,8 +104,12 @@ def echoes(items: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _clicks(spark, d):
-    """Clicks of a user as lines, views and purchases as captions of two tracks; keys are digits of the value."""
-    t = timed_lines(spark, d).withColumn("key", F.format_string("%02d", F.floor("value")))
+    """Clicks of a user as lines, views and purchases as captions of two tracks.  Keys are digits of the value,
+    its whole part alone or with its hundredths: by the line's number short, middling or long."""
+    whole, rest = F.format_string("%02d", F.floor("value")), F.format_string("%02d", F.floor(F.col("value") * 100) % 100)
+    n, line = F.col("line") % 3, F.col("text") == "click"
+    middling, long = F.when(line, F.concat(whole, rest)).otherwise(F.concat(rest, whole)), F.when(line, F.concat(whole, rest, whole, rest)).otherwise(F.concat(F.lit("abcdefgh"), whole))
+    t = timed_lines(spark, d).withColumn("key", F.when(n == 0, whole).when(n == 1, middling).otherwise(long))
     captions = t.where("text IN ('view', 'purchase')").withColumn("track", F.when(F.col("text") == "view", 1).otherwise(2).cast("long"))
     return numbered(t.where("text = 'click'"), "i", "song"), numbered(captions, "j", *KEY)
 
@@ -133,11 +136,12 @@ def q_echoes(spark, d):
 
 
 H = HOUR
-CLICKS = f"""t AS (SELECT song, line, text, s, e, CASE WHEN value < 10 THEN '0' ELSE '' END || floor(value)::BIGINT AS key FROM {TIMED_SQL}),
+CLICKS = f"""t0 AS (SELECT *, lpad((floor(value)::BIGINT)::VARCHAR, greatest(2, length((floor(value)::BIGINT)::VARCHAR))::INT, '0') AS w, lpad((floor(value * 100)::BIGINT % 100)::VARCHAR, 2, '0') AS r FROM {TIMED_SQL}),
+t AS (SELECT song, line, text, s, e, CASE line % 3 WHEN 0 THEN w WHEN 1 THEN CASE WHEN text = 'click' THEN w || r ELSE r || w END ELSE CASE WHEN text = 'click' THEN w || r || w || r ELSE 'abcdefgh' || w END END AS key FROM t0),
 a AS (SELECT song, s, e, key, row_number() OVER (PARTITION BY song ORDER BY s, line) AS i FROM t WHERE text = 'click'),
 b0 AS (SELECT song, CASE text WHEN 'view' THEN 1 ELSE 2 END AS track, s, e, line, key FROM t WHERE text IN ('view', 'purchase')),
 b AS (SELECT *, row_number() OVER (PARTITION BY song, track ORDER BY s, line) AS j FROM b0),
-p AS (SELECT a.song, track, i, list(j) AS js FROM a JOIN b ON a.song = b.song AND (contains(a.key, b.key) OR contains(b.key, a.key)) AND least(length(a.key), length(b.key)) >= 0.3 * greatest(length(a.key), length(b.key)) GROUP BY 1, 2, 3),
+p AS (SELECT a.song, track, i, list(j) AS js FROM a JOIN b ON a.song = b.song AND (contains(b.key, a.key) OR contains(a.key, b.key) AND length(b.key) >= 0.3::DOUBLE * length(a.key)) GROUP BY 1, 2, 3),
 n AS (SELECT a.song, k.track, a.i, coalesce(p.js, []) AS js FROM a JOIN (SELECT DISTINCT song, track FROM b) k ON k.song = a.song LEFT JOIN p ON p.song = a.song AND p.track = k.track AND p.i = a.i),
 r AS (SELECT song, track, 0::BIGINT AS i, NULL::BIGINT AS j, 0::BIGINT AS least FROM n GROUP BY 1, 2 UNION ALL SELECT n.song, n.track, n.i, list_min(list_filter(js, lambda x: x >= r.least)), coalesce(list_min(list_filter(js, lambda x: x >= r.least)), r.least) FROM r JOIN n ON n.song = r.song AND n.track = r.track AND n.i = r.i + 1),
 f AS (SELECT r.song, r.track, r.i, r.j, b.s, greatest(b.e, b.s + {H // 2}) AS e, length(a.key) AS letters FROM r JOIN b ON b.song = r.song AND b.track = r.track AND b.j = r.j JOIN a ON a.song = r.song AND a.i = r.i),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.operators.words import once
 from lineweave.sources.tables import TIMED_SQL, table, timed_lines
 
 #: Pitch-class weights of the major profile (fixed values, Krumhansl and Kessler 1982).
@@ -19,10 +20,14 @@ def total(x: Column) -> Column:
 
 def correlation(x: Column, y: Column, n: int) -> Column:
     """Pearson's of two arrays of n doubles; NULL if one is constant."""
-    mx, my = total(x) / n, total(y) / n
-    cov = total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    sx, sy = total(F.transform(x, lambda a: (a - mx) * (a - mx))), total(F.transform(y, lambda b: (b - my) * (b - my)))
-    return F.when((sx > 0) & (sy > 0), cov / F.sqrt(sx * sy))
+
+    def of(v: Column) -> Column:
+        pairs = F.zip_with(v.x, v.y, lambda a, b: F.struct((a - v.mx).alias("a"), (b - v.my).alias("b")))
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+        sums = F.aggregate(pairs, zero, lambda s, p: F.struct((s.ab + p.a * p.b).alias("ab"), (s.aa + p.a * p.a).alias("aa"), (s.bb + p.b * p.b).alias("bb")))
+        return once(sums, lambda s: F.when((s.aa > 0) & (s.bb > 0), s.ab / F.sqrt(s.aa * s.bb)))
+
+    return once(F.struct(x.alias("x"), y.alias("y"), (total(x) / n).alias("mx"), (total(y) / n).alias("my")), of)
 
 
 def moving_average(x: Column, reach: int) -> Column:

@@ -170,15 +170,6 @@ def scaffold(lines: DataFrame, anchors: DataFrame, tolerance: int) -> DataFrame:
     return t.select("song", "line", F.max("at").over(until).alias("new_s"))
 
 
-def rolling_captions(spark, d):
-    """The first five words of each conversation's turn 0 as captions that grow by a word, and what is
-    left of them.  All turns and words: ``rolling_captions_all``."""
-    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    t = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("song"), F.slice(w, 1, 5).alias("w")).where("size(w) > 0")
-    grown = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), " "))
-    return merge_rolling(t.select("song", F.posexplode(grown).alias("k", "text")))
-
-
 def grown_captions(turns: DataFrame, block: int = 8) -> DataFrame:
     """Captions (song: conv_id and turn; k, text) that grow by a word, of all words of all turns.  A
     caption shows the words since the last full block: the text stays linear, and a run breaks there."""
@@ -224,7 +215,6 @@ QUERIES = {
     "downsampled": (downsampled, f"SELECT vec_id, i // 4 AS i, v FROM {P} WHERE i % 4 = 0"),
     "onset_envelope": (onset_envelope, f"SELECT a.vec_id, sum(power(greatest(b.v - a.v, 0), 2))::BIGINT AS energy FROM {P} a JOIN {P} b ON a.vec_id = b.vec_id AND b.i = a.i + 1 GROUP BY 1"),
     "respace_repeats": (lambda spark, d: respace_repeats(timed_lines(spark, d)), f"WITH t AS (SELECT *, CASE WHEN lag(text) OVER ({W}) = text THEN 0 ELSE 1 END AS f FROM {T}), r AS (SELECT *, sum(f) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM t), g AS (SELECT *, row_number() OVER x - 1 AS i, s - lag(s) OVER x AS step FROM r WINDOW x AS (PARTITION BY song, run ORDER BY s, line)), a AS (SELECT song, run, count(*) AS n, min(s) AS a, max(s) AS b FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND max(step) > 1.5::DOUBLE * quantile_cont(step, 0.5)) SELECT g.song, line, a + floor(((b - a) * i)::DOUBLE / (n - 1))::BIGINT AS new_s FROM g JOIN a ON a.song = g.song AND a.run = g.run"),
-    "rolling_captions": (rolling_captions, r"SELECT song, 1 AS run, array_to_string(w[1:5], ' ') AS text FROM (SELECT conv_id AS song, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn = 0) WHERE len(w) > 0"),
     "rolling_captions_all": (rolling_captions_all, r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, b + 1 AS run, array_to_string(w[b * 8 + 1:b * 8 + 8], ' ') AS text FROM (SELECT conv_id, turn, w, unnest(range((len(w) + 7) // 8)) AS b FROM w)"),
     "scaffold": (scaffold_query, f"WITH c AS (SELECT * FROM {T} WHERE text = 'click'), a AS (SELECT c.song, c.line, min(v.s) AS anchor FROM c JOIN {T} v ON v.text = 'view' AND v.song = c.song AND c.s < v.e AND v.s < c.e GROUP BY 1, 2), k AS (SELECT c.song, c.line, c.s, row_number() OVER (PARTITION BY c.song ORDER BY c.s, c.line) AS i, CASE WHEN anchor IS NULL THEN NULL WHEN abs(s - anchor) <= {2 * HOUR} THEN s ELSE anchor END AS tv FROM c LEFT JOIN a ON a.song = c.song AND a.line = c.line), x AS (SELECT *, last_value(tv IGNORE NULLS) OVER u AS pa, last_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER u AS pi, first_value(tv IGNORE NULLS) OVER f AS na, first_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni FROM k WINDOW u AS (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY song ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT song, line, max(coalesce(tv, pa + floor(((na - pa) * (i - pi))::DOUBLE / (ni - pi))::BIGINT, s)) OVER (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING) AS new_s FROM x"),
 }

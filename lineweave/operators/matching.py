@@ -32,11 +32,11 @@ def letters(texts: list[str | None], alphabet: dict[str, int]) -> np.ndarray:
 
 
 def best_range(line: np.ndarray, sums: np.ndarray, starts: range, longest: int, least: float) -> tuple[int, int, float] | None:
-    """First and last word of the range most like a line: F1 of the letters in common, times the root of
+    """First and last word of the range inside starts most like a line: F1 of the letters in common, times the root of
     the ratio of the lengths.  sums are letter counts of all words before each one."""
     first = np.repeat(np.arange(starts.start, starts.stop), longest)
     end = first + np.tile(np.arange(1, longest + 1), len(starts))
-    first, end = first[end < len(sums)], end[end < len(sums)]
+    first, end = first[end <= starts.stop], end[end <= starts.stop]
     own, n = sums[end] - sums[first], int(line.sum())
     size, common = own.sum(axis=1), np.minimum(own, line).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -46,17 +46,24 @@ def kept_spans(after: DataFrame, before: DataFrame, moved: int) -> DataFrame:
     return rows.select("song", "line", F.when(far, F.col("b_s")).otherwise(F.col("s")).alias("s"), F.when(far, F.col("b_e")).otherwise(F.col("e")).alias("e"))
 
 
+# Signs that end a title, words that do, and brackets.
+SIGNS, GUESTS, OPENING, CLOSING = "/｜|〜", ("feat", "ft"), "【[（(", "】]）)"
+_END = rf"[{SIGNS}]|\s-\s|(?<![A-Za-z0-9_])(?:{'|'.join(GUESTS)})"
+_ASIDE = "[{0}][^{1}]*[{1}]".format(OPENING.replace("[", "\\["), CLOSING.replace("]", "\\]"))
+
+
 def search_titles(title: Column) -> Column:
-    """What to search for, in order: what stands before a separator, the title without brackets, itself."""
+    """What to search for, in order: what stands before the first separator, the title without brackets,
+    itself."""
     raw = F.trim(title)
-    head = F.regexp_extract(raw, r"(?i)^(.+?)(?:/|｜|\||\s-\s|〜|(?<![A-Za-z0-9_])(?:feat|ft)(?![A-Za-z0-9_]))", 1)
-    plain = F.regexp_replace(F.regexp_replace(raw, r"[【\[（(][^】\]）)]*[】\]）)]", " "), r"\s+", " ")
+    head = F.regexp_extract(raw, rf"(?i)^(?!{_END})(.+?)(?:{_END})", 1)
+    plain = F.regexp_replace(F.regexp_replace(raw, _ASIDE, " "), r"\s+", " ")
     return F.when(title.isNotNull(), F.filter(F.array_distinct(F.array(F.trim(head), F.trim(plain), raw)), lambda x: x != ""))
 
 
 def runs_by_combo(files: DataFrame) -> DataFrame:
-    """first, second, runs, error of run records (path, file) in folders named first__second; files that
-    aren't JSON with an error are counted apart as broken."""
+    """first, second, runs, error of run records (path, file: the whole text of a file) in folders named
+    first__second; files that aren't JSON with an error are counted apart as broken."""
     combo = F.regexp_extract("path", r"([^/]+)__([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)__([^/]+)/[^/]+$", 2)
     error = F.from_json("file", "mae double")["mae"]
     rows = files.select(combo[0].alias("first"), combo[1].alias("second"), error.alias("mae")).where("first <> ''")
@@ -93,13 +100,16 @@ def q_search_titles(spark, d):
 
 
 def q_runs(spark, d):
-    """Orders as run records of folders by status and priority, written as text files and read back."""
+    """Orders of twenty groups of customers as run files, of several lines each, in folders by status and
+    priority, written as text and read back file by file."""
     o = table(spark, d, "orders")
     path = work_dir(spark)
     folder = F.concat("o_orderstatus", F.lit("__"), F.substring("o_orderpriority", 1, 1))
-    text = F.when(F.col("o_orderkey") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("o_totalprice").alias("mae"))))
-    o.select(folder.alias("folder"), text.alias("value")).write.partitionBy("folder").text(path)
-    files = spark.read.text(f"{path}/folder=*").select(F.regexp_replace(F.input_file_name(), "folder=", "").alias("path"), F.col("value").alias("file"))
+    each = o.groupBy(folder.alias("folder"), (F.col("o_custkey") % 20).alias("run")).agg(F.max("o_totalprice").alias("mae"), F.count(F.lit(1)).alias("songs"))
+    text = F.when(F.col("run") % 7 == 0, F.lit("{\n  broken")).otherwise(F.concat(F.lit('{\n  "songs": '), "songs", F.lit(',\n  "mae": '), F.col("mae").cast("string"), F.lit("\n}")))
+    each.select("folder", "run", text.alias("value")).repartition("folder", "run").write.partitionBy("folder", "run").text(path)
+    place = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "folder=", ""), "/run=([^/]*)/[^/]*$", "/$1.json")
+    files = spark.read.text(f"{path}/folder=*/run=*", wholetext=True).select(place.alias("path"), F.col("value").alias("file"))
     return runs_by_combo(files)
 
 
@@ -128,7 +138,7 @@ QUERIES = {
     ),
     "runs_by_combo": (
         q_runs,
-        "SELECT o_orderstatus AS first, o_orderpriority[1] AS second, count(*) FILTER (o_orderkey % 7 <> 0) AS runs, count(*) FILTER (o_orderkey % 7 = 0) AS broken, round(avg(o_totalprice) FILTER (o_orderkey % 7 <> 0), 6) AS error FROM orders GROUP BY 1, 2",
+        "SELECT first, second, count(*) FILTER (run % 7 <> 0) AS runs, count(*) FILTER (run % 7 = 0) AS broken, round(avg(mae) FILTER (run % 7 <> 0), 6) AS error FROM (SELECT o_orderstatus AS first, o_orderpriority[1] AS second, o_custkey % 20 AS run, max(o_totalprice) AS mae FROM orders GROUP BY 1, 2, 3) GROUP BY 1, 2",
     ),
     "content_hashes": (q_hashes, "SELECT page_id, md5(html) AS hash FROM pages"),
 }

@@ -19,8 +19,9 @@ def plain_matches(lines, words):
         n = len((text or "").split())
         a = "".join((text or "").lower().split())
         best = (0.3, None)
-        for first in range(max(0, at - 10), min(len(words), at + 3 * n + 20)):
-            for last in range(first, min(len(words), first + 2 * n + 4)):
+        stop = min(len(words), at + 3 * n + 20)
+        for first in range(max(0, at - 10), stop):
+            for last in range(first, min(stop, first + 2 * n + 4)):
                 b = "".join("".join(w or "" for w in words[first : last + 1]).lower().split())
                 if a and b:
                     common = sum((Counter(a) & Counter(b)).values())
@@ -43,11 +44,13 @@ def test_match_ranges(spark):
         heard = [w for x in said for w in x if rng.random() < 0.8] + [None]
         words += [(song, k, w, k, k + 1) for k, w in enumerate(heard)]
     lines.append((9, 0, "no words here"))
+    lines.append((8, 0, "moonlit"))
+    words += [(8, k, "zzz", k, k + 1) for k in range(22)] + [(8, 22, "moon", 22, 23), (8, 23, "lit", 23, 24)]
     got = M.match_ranges(spark.createDataFrame(lines, LINES), spark.createDataFrame(words, WORDS)).collect()
-    for song in (0, 1, 2, 3, 9):
+    for song in (0, 1, 2, 3, 8, 9):
         want = plain_matches(sorted((i, t) for s, i, t in lines if s == song), [w for s, _, w, _, _ in words if s == song])
         assert sorted((r.line, r.first, r.last, round(r.score, 9)) for r in got if r.song == song) == want
-    assert len(got) > 30
+    assert len(got) > 30 and [(r.first, r.last) for r in got if r.song == 8] == [(21, 22)]
     assert M.match_ranges(spark.createDataFrame([], LINES), spark.createDataFrame([], WORDS)).collect() == []
 
 
