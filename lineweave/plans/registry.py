@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.functions import lyrics, moras, readings, text
-from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, line_words, matching, offsets, queues, relational, repairs, sequential, stats, titles, verdicts, words
+from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, line_words, matching, offsets, queues, relational, repairs, sequential, stats, titles, verdicts, voiced, words
 from lineweave.sources import pages, payloads, subtitles
 from lineweave.streaming import jobs, timers
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, line_words, matching, offsets, queues, titles, verdicts, lyrics, readings, moras, subtitles, payloads, pages, jobs, timers)
+MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, line_words, matching, offsets, queues, titles, verdicts, voiced, lyrics, readings, moras, subtitles, payloads, pages, jobs, timers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
