@@ -12,7 +12,8 @@ against one global packing is one part-filled sequence or so for each ``group``
 Cases: a null text is empty and is one piece with the end id alone.  Rows with equal doc_ids, also
 repeated rows, are separate documents.  Null doc_ids stay null.  An empty table gives no rows.
 Extra columns are ignored.  Of sequences with equal scores the one that was opened first takes the
-piece, and of equal pieces the first in the table goes first.  A text of any length is cut up.
+piece, and of equal pieces the one with the smaller doc_id, piece and ids_crc32 goes first, whatever order
+their rows come in.  A text of any length is cut up.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP)
         yield from table.to_batches(4096)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return pieces.select(*names).repartition(groups).mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    order = [n for n in ("doc_id", "piece", "ids_crc32", "length") if n in names]
+    return pieces.select(*names).repartition(groups).sortWithinPartitions(*order).mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -144,3 +144,14 @@ def test_few_sequences_on_documents(spark):
     total = pieces.groupBy().sum("length").first()[0]
     assert P.pack(pieces).select("sequence_id").distinct().count() <= 1.02 * total / 2048 + 1
     pieces.unpersist()
+
+
+def test_order_of_rows_changes_nothing(spark):
+    rows = [(i % 7, i, 0, 10 + i % 3, i % 5) for i in range(200)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    ways = []
+    for seed in (1, 2):
+        mixed = [rows[k] for k in np.random.default_rng(seed).permutation(len(rows)).tolist()]
+        df = spark.createDataFrame(mixed, pieces.schema).repartition(seed)
+        ways.append(sorted(map(tuple, P.pack(df, P.Capacity(tokens=64)).collect())))
+    assert ways[0] == ways[1]
