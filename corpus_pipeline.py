@@ -49,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, packed into sequences.  A null text is its end id alone; each row
-    is a document; equal pieces are packed in the order of the table."""
+    is a document; equal pieces are packed in order of doc_id, piece and ids."""
     import public_tokenizers
 
     return pack(written(cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False), "pieces"))
