@@ -50,22 +50,35 @@ def frames(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long")).alias("x"), "label")
 
 
+def frame_energy(x: Column, width: int) -> Column:
+    """Sums of squares of every width values; the last may have fewer.  Null and empty curves have none."""
+    at = F.sequence(F.lit(0), F.size(x) - 1, F.lit(width))
+    return F.when(F.size(x) > 0, F.transform(at, lambda i: F.aggregate(F.slice(x, i + 1, F.lit(width)), F.lit(0).cast("long"), lambda a, v: a + v * v)))
+
+
 def frame_rms(spark, d):
     """Energy of every 16 values, in squared units."""
-    p = frames(spark, d).select("vec_id", F.posexplode("x").alias("i", "v"))
-    return p.groupBy("vec_id", F.floor(F.col("i") / 16).alias("frame")).agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
+    return frames(spark, d).select("vec_id", F.posexplode(frame_energy(F.col("x"), 16)).alias("frame", "energy")).withColumn("frame", F.col("frame").cast("long"))
+
+
+def loud_runs(x: Column, share: float, least: int) -> Column:
+    """Runs (first, last) of at least ``least`` values that are over this share of the curve's values."""
+
+    def found(y: Column) -> Column:
+        cut = F.get(F.array_sort(y), F.floor(F.size(y) * share).cast("int"))
+        return once(F.struct(y.alias("y"), cut.alias("cut")), lambda v: F.filter(runs(F.transform(v.y, lambda z: z > v.cut)), lambda r: r["last"] - r["first"] + 1 >= least))
+
+    return once(x, found)
 
 
 def percentile_voice(spark, d):
     """Runs of values over the 60th percentile of a curve, of two and more."""
-    cut = F.element_at(F.array_sort("x"), 39)
-    r = F.filter(runs(F.transform("x", lambda v: v > cut)), lambda r: r["last"] > r["first"])
-    return frames(spark, d).select("vec_id", F.explode(r).alias("r")).select("vec_id", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
+    return frames(spark, d).select("vec_id", F.explode(loud_runs(F.col("x"), 0.6, 2)).alias("r")).select("vec_id", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
 
 
 def moving_average_query(spark, d):
     x = F.transform("x", lambda v: v.cast("double"))
-    return frames(spark, d).select("vec_id", F.round(F.get(moving_average(x, 3), F.lit(10)), 3).alias("tenth"), F.round(F.get(moving_average(x, 3), F.lit(0)), 3).alias("first"))
+    return frames(spark, d).select("vec_id", F.posexplode(moving_average(x, 3)).alias("i", "mean")).withColumn("mean", F.round("mean", 3))
 
 
 def array_correlation(spark, d):
@@ -80,26 +93,35 @@ def pitch_histogram(spark, d):
     return t.groupBy("song", F.pmod(F.round(F.col("value")).cast("long"), F.lit(12)).alias("pitch_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def key_estimate(spark, d):
-    """The key, of 24, whose profile fits the histogram best; of equal ones the first."""
+def keys_of(histogram: DataFrame) -> DataFrame:
+    """song, key (0 to 11 major, 12 to 23 minor), r: the key whose profile fits a song's counts (song,
+    pitch_class, n) best; of equal ones the first.  A song with the same count for each class has none."""
     rows = [(12 * m + k, i, float(w[(i - k) % 12])) for m, w in enumerate((MAJOR, MINOR)) for k in range(12) for i in range(12)]
-    profiles = spark.createDataFrame(rows, "key int, pitch_class long, w double")  # 24 keys of 12 classes
-    h = pitch_histogram(spark, d)
+    profiles = histogram.sparkSession.createDataFrame(rows, "key int, pitch_class long, w double")  # 24 keys of 12 classes
     # a class that a song lacks counts 0 in every sum
-    own = h.groupBy("song").agg(F.sum("n").cast("double").alias("sx"), F.sum(F.col("n") * F.col("n")).cast("double").alias("sxx"))
-    both = h.join(F.broadcast(profiles), "pitch_class").groupBy("song", "key").agg(F.sum(F.col("n") * F.col("w")).alias("sxy"))
+    own = histogram.groupBy("song").agg(F.sum("n").cast("double").alias("sx"), F.sum(F.col("n") * F.col("n")).cast("double").alias("sxx"))
+    both = histogram.join(F.broadcast(profiles), "pitch_class").groupBy("song", "key").agg(F.sum(F.col("n") * F.col("w")).alias("sxy"))
     sums = profiles.groupBy("key").agg(F.sum("w").alias("sy"), F.sum(F.col("w") * F.col("w")).alias("syy"))
     all_ = both.join(F.broadcast(sums), "key").join(own, "song").where("12 * sxx > sx * sx")
     r = F.round((12 * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((12 * F.col("sxx") - F.col("sx") * F.col("sx")) * (12 * F.col("syy") - F.col("sy") * F.col("sy"))), 9)
     return all_.groupBy("song").agg(F.max(F.struct(r.alias("r"), (-F.col("key")).alias("k"))).alias("b")).select("song", (-F.col("b.k")).alias("key"), F.col("b.r").alias("r"))
 
 
+def key_estimate(spark, d):
+    return keys_of(pitch_histogram(spark, d))
+
+
+def collapsed(symbols: DataFrame, key: str, order: list[str], symbol: str, blank: str) -> DataFrame:
+    """key, symbols: each key's symbols in order, repeats as one; a blank is none, but parts repeats."""
+    w = Window.partitionBy(key).orderBy(*order)
+    kept = symbols.withColumn("_p", F.lag(symbol).over(w)).where((F.col("_p").isNull() | (F.col("_p") != F.col(symbol))) & (F.col(symbol) != blank))
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("_s")))).alias("_x")).select(key, F.col("_x._s").alias("symbols"))
+
+
 def greedy_collapse(spark, d):
-    """Types of a user's events in order, repeats as one and errors as blanks that part repeats."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("prev", F.lag("event_type").over(w)).where("(prev IS NULL OR prev <> event_type) AND event_type <> 'error'")
-    s = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c")))).alias("s"))
-    return s.select("user_id", F.array_join("s.c", "").alias("text"))
+    """Types of a user's events in order, by their first letters; errors are blanks."""
+    found = collapsed(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "error")
+    return found.select("user_id", F.array_join(F.transform("symbols", lambda s: F.substring(s, 1, 1)), "").alias("text"))
 
 
 def affine_time_map(spark, d):
@@ -109,25 +131,44 @@ def affine_time_map(spark, d):
     return t.select("song", F.explode(moved).alias("x")).select("song", "x.line", "x.s", "x.e")
 
 
+def chunks(n: Column, size: int, stride: int) -> Column:
+    """Windows (a, b) of size every stride of n values, the last as long as there are values that no window
+    before has whole; and of each the part (keep_a, keep_b) that is kept: overlaps meet at their middle."""
+    over, half = size - stride, (size - stride) // 2
+    starts = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)).cast("long"), F.lit(stride).cast("long")), lambda a: (a == 0) | (a + over < n))
+
+    def one(a: Column) -> Column:
+        b = F.least(a + size, n.cast("long"))
+        return F.struct(a.alias("a"), b.alias("b"), F.when(a == 0, a).otherwise(a + half).alias("keep_a"), F.when(b == n, b).otherwise(a + size - (over - half)).alias("keep_b"))
+
+    return F.when(n > 0, F.transform(starts, one))
+
+
 def chunk_windows(spark, d):
-    """Windows of 24 values every 20, and of each the part that is kept: overlaps meet at their middle."""
-    f = frames(spark, d).select("vec_id", F.size("x").alias("n"), F.explode(F.sequence(F.lit(0), F.size("x") - 1, F.lit(20))).alias("a"))
-    b = F.least(F.col("a") + 24, "n")
-    keep_a, keep_b = F.when(F.col("a") == 0, F.col("a")).otherwise(F.col("a") + 2), F.when(b == F.col("n"), b).otherwise(F.col("a") + 22)
-    return f.where((F.col("a") == 0) | (F.col("a") + 4 < F.col("n"))).select("vec_id", F.col("a").cast("long").alias("a"), b.cast("long").alias("b"), keep_a.cast("long").alias("keep_a"), keep_b.cast("long").alias("keep_b"))
+    """Windows of 24 values every 20."""
+    return frames(spark, d).select("vec_id", F.inline(chunks(F.size("x"), 24, 20)))
+
+
+def midi_of(hz: Column, highest: int | None = None) -> Column:
+    """A frequency in semitones (440 Hz: 69); one over highest goes down an octave.  None for 0 and below."""
+    midi = F.when(hz > 0, 69 + 12 * F.log2(hz / 440))
+    return midi if highest is None else F.when(midi > highest, midi - 12).otherwise(midi)
 
 
 def hz_to_midi(spark, d):
-    """Notes of retail prices as frequencies, with an octave taken off above 72."""
-    midi = F.round(69 + 12 * F.log2(F.col("p_retailprice") / 440), 6)
-    return table(spark, d, "part").select("p_partkey", F.when(midi > 72, midi - 12).otherwise(midi).alias("midi"))
+    """Retail prices as frequencies, with an octave taken off above 72."""
+    return table(spark, d, "part").select("p_partkey", F.round(midi_of(F.col("p_retailprice"), 72), 6).alias("midi"))
 
 
-def adjacent_equals(spark, d):
+def frames_needed(text: Column) -> Column:
     """Frames that a text needs at least: its letters, and one more between equal ones."""
-    c = F.split("p_name", "")
+    c = F.split(text, "")
     twins = F.aggregate(F.zip_with(F.slice(c, F.lit(2), F.size(c)), F.slice(c, 1, F.size(c) - 1), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, v: a + v)
-    return table(spark, d, "part").select("p_partkey", (F.length("p_name") + twins).cast("long").alias("frames"))
+    return F.when(F.length(text) == 0, 0).otherwise(F.length(text) + twins).cast("long")
+
+
+def adjacent_equals(spark, d):
+    return table(spark, d, "part").select("p_partkey", frames_needed(F.col("p_name")).alias("frames"))
 
 
 def best_offset(spark, d):
@@ -153,7 +194,7 @@ def _key_sql() -> str:
 QUERIES = {
     "frame_rms": (frame_rms, f"SELECT vec_id, i // 16 AS frame, sum(v * v)::BIGINT AS energy FROM {P} GROUP BY 1, 2"),
     "percentile_voice": (percentile_voice, f"WITH f AS (SELECT p.vec_id, i, v > list_sort(x)[39] AS on_ FROM {P} p JOIN {X} x ON x.vec_id = p.vec_id), g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id, on_ ORDER BY i) AS g FROM f) SELECT vec_id, min(i) AS first, max(i) AS last FROM g WHERE on_ GROUP BY vec_id, g HAVING max(i) > min(i)"),
-    "moving_average": (moving_average_query, f"SELECT vec_id, round(avg(v) FILTER (i BETWEEN 7 AND 13), 3) AS tenth, round(avg(v) FILTER (i <= 3), 3) AS first FROM {P} GROUP BY 1"),
+    "moving_average": (moving_average_query, f"SELECT vec_id, i::INT AS i, round(avg(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 3) AS mean FROM {P}"),
     "array_correlation": (array_correlation, f"SELECT a.vec_id, round(corr(a.v, b.v), 6) AS r FROM {P} a JOIN {P} b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1"),
     "pitch_histogram": (pitch_histogram, f"SELECT song, round(value)::BIGINT % 12 AS pitch_class, count(*) AS n FROM {T} GROUP BY 1, 2"),
     "key_estimate": (key_estimate, _key_sql()),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave.operators.arrays import P, X, chunk_windows, frames, runs
 from lineweave.operators.intervals import HOUR, by_start, gaps, overlaps, resolve_overlaps
+from lineweave.operators.words import once
 from lineweave.sources.tables import TIMED_SQL, micros, table, timed_lines
 
 DAY = 24 * HOUR
@@ -25,28 +26,45 @@ def snap_octaves(x: Column, jump: int = 40, octave: int = 12) -> Column:
     return F.aggregate(x, none, step)["out"]
 
 
+def share_moment(rows: DataFrame, keys: list[str], at: str, order: str, long: int) -> DataFrame:
+    """Rows of a key with one moment, two at least, at even steps over so long from it on, as new_at."""
+    w = Window.partitionBy(*keys, at)
+    t = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") > 1)
+    return t.withColumn("new_at", F.col(at) + F.floor(F.col("_i") * long / F.col("_n"))).drop("_i", "_n")
+
+
 def clump_subdivide(spark, d):
     """Lines of an order with one ship date share that day evenly."""
-    w = Window.partitionBy("l_orderkey", "l_shipdate")
-    t = table(spark, d, "lineitem").withColumns({"i": F.row_number().over(w.orderBy("l_linenumber")) - 1, "n": F.count(F.lit(1)).over(w), "day": micros("l_shipdate")})
-    return t.where("n > 1").select("l_orderkey", "l_linenumber", (F.col("day") + F.floor(F.col("i") * DAY / F.col("n"))).alias("at"))
+    t = table(spark, d, "lineitem").withColumn("day", micros("l_shipdate"))
+    return share_moment(t, ["l_orderkey"], "day", "l_linenumber", DAY).select("l_orderkey", "l_linenumber", F.col("new_at").alias("at"))
+
+
+def starts_by_length(words: DataFrame, keys: list[str], k: str, word: str, long: int) -> DataFrame:
+    """Words with ``at``: where each starts if those of a key share so long by their letters."""
+    all_ = Window.partitionBy(*keys)
+    n = F.char_length(word).cast("long")
+    before = F.coalesce(F.sum(n).over(all_.orderBy(k).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return words.withColumns({"_b": before, "_t": F.sum(n).over(all_)}).withColumn("at", F.floor(F.col("_b") * long / F.col("_t"))).drop("_b", "_t")
 
 
 def proportional_resynth(spark, d):
     """Words of a turn spread over a second by their lengths."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(w).alias("k", "word")).withColumn("n", F.char_length("word").cast("long"))
-    all_ = Window.partitionBy("conv_id", "turn")
-    before = F.coalesce(F.sum("n").over(all_.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumns({"before": before, "total": F.sum("n").over(all_)}).select("conv_id", "turn", "k", F.floor(F.col("before") * 1_000_000 / F.col("total")).alias("at"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(w).alias("k", "word"))
+    return starts_by_length(t, ["conv_id", "turn"], "k", "word", 1_000_000).select("conv_id", "turn", "k", "at")
+
+
+def moved_ends(before: DataFrame, after: DataFrame, least: int = 10_000) -> DataFrame:
+    """song, line, moved: which ends of a line (s, e) are elsewhere after (new_s, new_e) by over least."""
+    j = before.select("song", "line", "s", "e").join(after, ["song", "line"])
+    head, tail = F.abs(F.col("new_s") - F.col("s")) > least, F.abs(F.col("new_e") - F.col("e")) > least
+    return j.where(head | tail).select("song", "line", F.when(head & tail, "both").when(head, "start").otherwise("end").alias("moved"))
 
 
 def diff_labels(spark, d):
     """Which ends of a line the repair of overlaps has moved."""
     t = timed_lines(spark, d)
-    j = t.join(resolve_overlaps(t), ["song", "line"])
-    head, tail = F.abs(F.col("new_s") - F.col("s")) > 10_000, F.abs(F.col("new_e") - F.col("e")) > 10_000
-    return j.where(head | tail).select("song", "line", F.when(head & tail, "both").when(head, "start").otherwise("end").alias("moved"))
+    return moved_ends(t, resolve_overlaps(t))
 
 
 def straddles(spark, d):
@@ -56,84 +74,150 @@ def straddles(spark, d):
     return overlaps(c, g).where("a_s < b_s AND a_e > b_e").groupBy("song", F.col("a").alias("line")).agg(F.count(F.lit(1)).alias("pauses"))
 
 
+def spliced(lines: DataFrame, other: DataFrame) -> DataFrame:
+    """song, line, at: starts from the other alignment (song, line, at) from the first line after the song's
+    largest gap on.  A song without a gap isn't there; a line that the other lacks has none."""
+    cut = gaps(lines).groupBy("song").agg(F.max_by("gap_end", F.struct("gap", -F.col("line"))).alias("cut"))
+    both = lines.join(cut, "song").join(other.select("song", "line", F.col("at").alias("o_at")), ["song", "line"], "left")
+    return both.select("song", "line", F.when(F.col("s") >= F.col("cut"), F.col("o_at")).otherwise(F.col("s")).alias("at"))
+
+
 def splice(spark, d):
-    """From the first line after a song's largest gap on, times come from the other alignment (ends)."""
+    """Ends as the other alignment."""
     t = timed_lines(spark, d)
-    cut = gaps(t).groupBy("song").agg(F.max_by("gap_end", F.struct("gap", -F.col("line"))).alias("cut"))
-    return t.join(cut, "song").select("song", "line", F.when(F.col("s") >= F.col("cut"), F.col("e")).otherwise(F.col("s")).alias("at"))
+    return spliced(t, t.select("song", "line", F.col("e").alias("at")))
 
 
-def note_runs(spark, d):
-    """Runs of lines of one pitch with less than a day between them."""
+def runs_of_pitch(notes: DataFrame, pause: int) -> DataFrame:
+    """song, note, pitch, s, e, n: lines of one pitch with pauses under this between them are one note."""
     w = by_start()
-    t = timed_lines(spark, d).withColumn("pitch", F.floor(F.col("value") / 20))
-    same = (F.lag("pitch").over(w) == F.col("pitch")) & (F.col("s") - F.lag("e").over(w) < DAY)
-    t = t.withColumn("turn", F.when(same, 0).otherwise(1)).withColumn("note", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = (F.lag("pitch").over(w) == F.col("pitch")) & (F.col("s") - F.lag("e").over(w) < pause)
+    t = notes.withColumn("turn", F.when(same, 0).otherwise(1)).withColumn("note", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return t.groupBy("song", "note", "pitch").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
 
 
+def note_runs(spark, d):
+    return runs_of_pitch(timed_lines(spark, d).withColumn("pitch", F.floor(F.col("value") / 20)), DAY)
+
+
 def octave_snap(spark, d):
     """Curves with their jumps of over 0.3 taken out."""
     x = F.transform("x", lambda v: F.round(v / 10_000).cast("long"))
     return frames(spark, d).select("vec_id", F.array_join(snap_octaves(x, 30, 12), ",").alias("curve"))
 
 
+def off_median(lines: DataFrame, value: str, reach: int) -> DataFrame:
+    """song, line, off: how far a value is from the median of up to reach lines on both sides and itself."""
+    m = F.expr(f"percentile({value}, 0.5)").over(by_start().rowsBetween(-reach, reach))
+    return lines.select("song", "line", (F.col(value) - m).alias("off"))
+
+
 def median_fold(spark, d):
-    """How far each line's value is from the median of up to three on both sides."""
-    m = F.expr("percentile(value, 0.5)").over(by_start().rowsBetween(-3, 3))
-    return timed_lines(spark, d).select("song", "line", F.round(F.col("value") - m, 6).alias("off"))
+    return off_median(timed_lines(spark, d), "value", 3).withColumn("off", F.round("off", 6))
+
+
+def most_covered(spans: DataFrame, voice: DataFrame) -> DataFrame:
+    """song, most: the most voice time that one span of a song covers."""
+    return overlaps(spans, voice).groupBy("song", "a").agg(F.sum("overlap").alias("o")).groupBy("song").agg(F.max("o").alias("most"))
 
 
 def swallowed(spark, d):
-    """The most view time that one click of a song covers."""
     t = timed_lines(spark, d)
-    o = overlaps(t.where("text = 'click'"), t.where("text = 'view'")).groupBy("song", "a").agg(F.sum("overlap").alias("o"))
-    return o.groupBy("song").agg(F.max("o").alias("most"))
+    return most_covered(t.where("text = 'click'"), t.where("text = 'view'"))
+
+
+def whole_frames(spans: DataFrame, width: int) -> DataFrame:
+    """song, frame: the frames of a song that lie wholly in one of its spans."""
+    a, b = F.ceil(F.col("s") / width), F.floor(F.col("e") / width) - 1
+    t = spans.select("song", a.alias("a"), b.alias("b")).where("a <= b")
+    return t.select("song", F.explode(F.sequence("a", "b")).alias("frame")).distinct()
 
 
 def forbidden_frames(spark, d):
-    """Six-hour frames of a song that lie wholly in a line."""
-    a, b = F.ceil(F.col("s") / (6 * HOUR)), F.floor(F.col("e") / (6 * HOUR)) - 1
-    t = timed_lines(spark, d).select("song", a.alias("a"), b.alias("b")).where("a <= b")
-    return t.select("song", F.explode(F.sequence("a", "b")).alias("frame")).groupBy("song").agg(F.count_distinct("frame").alias("frames"))
+    """How many six-hour frames of a song lie wholly in a line."""
+    return whole_frames(timed_lines(spark, d), 6 * HOUR).groupBy("song").agg(F.count(F.lit(1)).alias("frames"))
+
+
+def peaks(x: Column, width: int) -> Column:
+    """The largest of every width values; the last may be of fewer."""
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(width)), lambda i: F.array_max(F.slice(x, i + 1, F.lit(width)))))
 
 
 def peak_support(spark, d):
-    """Mean of the peaks of every eight values."""
-    p = frames(spark, d).select("vec_id", F.posexplode("x").alias("i", "v")).groupBy("vec_id", F.floor(F.col("i") / 8)).agg(F.max("v").alias("peak"))
-    return p.groupBy("vec_id").agg(F.sum("peak").alias("support"))
+    """The sum of the peaks of every eight values."""
+    return frames(spark, d).select("vec_id", F.aggregate(peaks(F.col("x"), 8), F.lit(0).cast("long"), lambda a, v: a + v).alias("support"))
+
+
+def longest_run(flags: Column) -> Column:
+    """The longest run of true, (n, first) with first from 0, of equal ones the first; null for none."""
+    best = F.array_max(F.transform(runs(flags), lambda z: F.struct((z["last"] - z["first"] + 1).alias("n"), (-z["first"]).alias("first"))))
+    return once(best, lambda b: F.when(b.isNotNull(), F.struct(b["n"].cast("long").alias("n"), (-b["first"]).cast("long").alias("first"))))
 
 
 def span_bounds(spark, d):
     """The first of the longest runs of positive values."""
-    r = runs(F.transform("x", lambda v: v > 0))
-    best = F.array_max(F.transform(r, lambda z: F.struct((z["last"] - z["first"] + 1).alias("n"), (-z["first"]).alias("first"))))
-    return frames(spark, d).select("vec_id", best["n"].cast("long").alias("n"), (-best["first"]).cast("long").alias("first"))
+    return frames(spark, d).select("vec_id", longest_run(F.transform("x", lambda v: v > 0)).alias("r")).select("vec_id", "r.n", "r.first")
+
+
+def on_grid(x: Column, step: float, n: Column) -> Column:
+    """The curve at n moments that are step of its own steps apart, on straight lines between its values; 0
+    beyond its ends."""
+
+    def at(v: Column, j: Column) -> Column:
+        t = j * F.lit(float(step))
+        lo, hi = F.floor(t).cast("int"), F.ceil(t).cast("int")
+        return F.when(hi < F.size(v), F.get(v, lo) + (F.get(v, hi) - F.get(v, lo)) * (t - lo)).otherwise(0.0)
+
+    return once(F.struct(x.cast("array<double>").alias("x"), n.alias("n")), lambda v: F.transform(F.sequence(F.lit(0), v.n - 1), lambda j: at(v.x, j)))
 
 
 def grid_interpolation(spark, d):
-    """Curves on a grid one and a half times as wide, between two values half of both; the sum."""
-    at = F.sequence(F.lit(0), F.lit(41))
-    y = F.transform(at, lambda j: F.get("x", F.floor(j * 3 / 2).cast("int")) + F.get("x", F.ceil(j * 3 / 2).cast("int")))
-    return frames(spark, d).select("vec_id", F.aggregate(y, F.lit(0).cast("long"), lambda a, v: a + v).alias("double_sum"))
+    """Curves on a grid one and a half times as wide, up to one moment past their ends: twice the sum."""
+    y = on_grid(F.col("x"), 1.5, F.floor(F.size("x") / 1.5).cast("int") + 2)
+    return frames(spark, d).select("vec_id", F.round(2 * F.aggregate(y, F.lit(0.0), lambda a, v: a + v)).cast("long").alias("double_sum"))
+
+
+def stitch(parts: DataFrame, key: str) -> DataFrame:
+    """key, x: the kept parts of chunks (key, a, keep_a, keep_b, x: the chunk's own values) put together."""
+    own = F.slice("x", (F.col("keep_a") - F.col("a") + 1).cast("int"), (F.col("keep_b") - F.col("keep_a")).cast("int"))
+    return parts.groupBy(key).agg(F.flatten(F.array_sort(F.collect_list(F.struct("a", own.alias("own"))))["own"]).alias("x"))
 
 
 def stitched(spark, d):
     """Chunks cut and put together again are the whole curve: its sum and length."""
-    c = chunk_windows(spark, d).join(frames(spark, d), "vec_id")
-    part = F.slice("x", (F.col("keep_a") + 1).cast("int"), (F.col("keep_b") - F.col("keep_a")).cast("int"))
-    one = c.select("vec_id", F.size(part).alias("n"), F.aggregate(part, F.lit(0).cast("long"), lambda a, v: a + v).alias("v"))
-    return one.groupBy("vec_id").agg(F.sum("n").alias("n"), F.sum("v").alias("total"))
+    c = chunk_windows(spark, d).join(frames(spark, d), "vec_id").withColumn("x", F.slice("x", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")))
+    return stitch(c, "vec_id").select("vec_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+def every_nth(x: Column, n: int) -> Column:
+    """The first of every n values."""
+    return F.filter(x, lambda v, i: i % n == 0)
 
 
 def downsampled(spark, d):
-    return frames(spark, d).select("vec_id", F.posexplode("x").alias("i", "v")).where("i % 4 = 0").select("vec_id", (F.col("i") / 4).cast("long").alias("i"), "v")
+    return frames(spark, d).select("vec_id", F.posexplode(every_nth(F.col("x"), 4)).alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), "v")
+
+
+def rises(x: Column) -> Column:
+    """How much each value is above the one before, 0 where it isn't."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(2), n), F.slice(x, F.lit(1), n), lambda b, a: F.greatest(b - a, b - b))
+
+
+def unit_curve(x: Column) -> Column:
+    """The curve less its mean, of length one; null if it is flat or empty."""
+
+    def of(v: Column) -> Column:
+        y = F.transform(v.x, lambda z: z - v.m)
+        return once(F.struct(y.alias("y"), F.sqrt(F.aggregate(y, F.lit(0.0), lambda a, z: a + z * z)).alias("n")), lambda w: F.when(w.n > 1e-9, F.transform(w.y, lambda z: z / w.n)))
+
+    x = x.cast("array<double>")
+    return once(F.struct(x.alias("x"), (F.aggregate(x, F.lit(0.0), lambda a, z: a + z) / F.nullif(F.size(x), F.lit(0))).alias("m")), of)
 
 
 def onset_envelope(spark, d):
-    """Energy of the rises of a curve."""
-    rise = F.zip_with(F.slice("x", 2, 63), F.slice("x", 1, 63), lambda b, a: F.greatest(b - a, F.lit(0).cast("long")))
-    return frames(spark, d).select("vec_id", F.aggregate(rise, F.lit(0).cast("long"), lambda a, v: a + v * v).alias("energy"))
+    """Rises of a curve, less their mean and of length one."""
+    return frames(spark, d).select("vec_id", F.posexplode(unit_curve(rises(F.col("x")))).alias("i", "v")).withColumn("v", F.round("v", 9))
 
 
 def respace_repeats(lines: DataFrame, least: int = 3, factor: float = 1.5) -> DataFrame:
@@ -210,10 +294,10 @@ QUERIES = {
     "forbidden_frames": (forbidden_frames, f"SELECT song, count(DISTINCT f) AS frames FROM (SELECT song, unnest(range(ceil(s / {6 * HOUR}.0)::BIGINT, floor(e / {6 * HOUR}.0)::BIGINT)) AS f FROM {T}) GROUP BY 1"),
     "peak_support": (peak_support, f"SELECT vec_id, sum(m)::BIGINT AS support FROM (SELECT vec_id, i // 8 AS f, max(v) AS m FROM {P} GROUP BY 1, 2) GROUP BY 1"),
     "span_bounds": (span_bounds, f"WITH g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM {P} WHERE v > 0), r AS (SELECT vec_id, count(*) AS n, min(i) AS first FROM g GROUP BY vec_id, g) SELECT vec_id, n, first FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, first) = 1"),
-    "grid_interpolation": (grid_interpolation, f"SELECT vec_id, sum(x[(j * 3 // 2 + 1)::INT] + x[((j * 3 + 1) // 2 + 1)::INT])::BIGINT AS double_sum FROM {X}, range(42) r(j) GROUP BY 1"),
+    "grid_interpolation": (grid_interpolation, f"SELECT vec_id, sum(x[(j * 3 // 2 + 1)::INT] + x[((j * 3 + 1) // 2 + 1)::INT])::BIGINT AS double_sum FROM {X}, range(43) r(j) GROUP BY 1"),
     "stitched": (stitched, f"SELECT vec_id, count(*) AS n, sum(v)::BIGINT AS total FROM {P} GROUP BY 1"),
     "downsampled": (downsampled, f"SELECT vec_id, i // 4 AS i, v FROM {P} WHERE i % 4 = 0"),
-    "onset_envelope": (onset_envelope, f"SELECT a.vec_id, sum(power(greatest(b.v - a.v, 0), 2))::BIGINT AS energy FROM {P} a JOIN {P} b ON a.vec_id = b.vec_id AND b.i = a.i + 1 GROUP BY 1"),
+    "onset_envelope": (onset_envelope, f"WITH r AS (SELECT a.vec_id, a.i, greatest(b.v - a.v, 0) AS r FROM {P} a JOIN {P} b ON a.vec_id = b.vec_id AND b.i = a.i + 1), m AS (SELECT *, r - avg(r) OVER (PARTITION BY vec_id) AS y FROM r) SELECT vec_id, i::INT AS i, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 9) AS v FROM m"),
     "respace_repeats": (lambda spark, d: respace_repeats(timed_lines(spark, d)), f"WITH t AS (SELECT *, CASE WHEN lag(text) OVER ({W}) = text THEN 0 ELSE 1 END AS f FROM {T}), r AS (SELECT *, sum(f) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM t), g AS (SELECT *, row_number() OVER x - 1 AS i, s - lag(s) OVER x AS step FROM r WINDOW x AS (PARTITION BY song, run ORDER BY s, line)), a AS (SELECT song, run, count(*) AS n, min(s) AS a, max(s) AS b FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND max(step) > 1.5::DOUBLE * quantile_cont(step, 0.5)) SELECT g.song, line, a + floor(((b - a) * i)::DOUBLE / (n - 1))::BIGINT AS new_s FROM g JOIN a ON a.song = g.song AND a.run = g.run"),
     "rolling_captions_all": (rolling_captions_all, r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, b + 1 AS run, array_to_string(w[b * 8 + 1:b * 8 + 8], ' ') AS text FROM (SELECT conv_id, turn, w, unnest(range((len(w) + 7) // 8)) AS b FROM w)"),
     "scaffold": (scaffold_query, f"WITH c AS (SELECT * FROM {T} WHERE text = 'click'), a AS (SELECT c.song, c.line, min(v.s) AS anchor FROM c JOIN {T} v ON v.text = 'view' AND v.song = c.song AND c.s < v.e AND v.s < c.e GROUP BY 1, 2), k AS (SELECT c.song, c.line, c.s, row_number() OVER (PARTITION BY c.song ORDER BY c.s, c.line) AS i, CASE WHEN anchor IS NULL THEN NULL WHEN abs(s - anchor) <= {2 * HOUR} THEN s ELSE anchor END AS tv FROM c LEFT JOIN a ON a.song = c.song AND a.line = c.line), x AS (SELECT *, last_value(tv IGNORE NULLS) OVER u AS pa, last_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER u AS pi, first_value(tv IGNORE NULLS) OVER f AS na, first_value(CASE WHEN tv IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni FROM k WINDOW u AS (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY song ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT song, line, max(coalesce(tv, pa + floor(((na - pa) * (i - pi))::DOUBLE / (ni - pi))::BIGINT, s)) OVER (PARTITION BY song ORDER BY i ROWS UNBOUNDED PRECEDING) AS new_s FROM x"),
