@@ -129,8 +129,40 @@ def page_links(spark, d):
     return p.select("page_id", "k", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("target"), F.trim(F.regexp_extract("a", ">([^<]*)<", 1)).alias("title")).where("title <> ''")
 
 
+def q_table_rows(spark, d):
+    """Lines of an order as a page with a table of one column, read by how its rows can be divided."""
+    x = F.struct("l_linenumber", F.concat(F.lit("<TR class=r>\n<td>"), "l_returnflag", F.lit("<br/>&amp; <b>"), "l_linenumber", F.lit("</b></td></TR>")).alias("x"))
+    pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(x)).alias("x")).select("l_orderkey", F.concat(F.lit("<p>no row</p><table>"), F.array_join("x.x", ""), F.lit("</table>")).alias("html"))
+    rows = pages.select("l_orderkey", F.posexplode(table_lines(F.col("html"))).alias("k", "l"))
+    return rows.select("l_orderkey", "k", "l.text", "l.pronunciation", "l.translation")
+
+
+def q_ctm(spark, d):
+    """Events as lines of alignment output, every seventh cut short."""
+    s, n = F.format_string("%d.%02d", F.floor(F.col("event_id") / 100), F.col("event_id") % 100), F.format_string("0.%02d", F.col("user_id") % 100)
+    line = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("u"), "user_id", F.lit(" 1 "), s)).otherwise(F.concat(F.lit("u"), "user_id", F.lit(" 1  "), s, F.lit(" "), n, F.lit(" "), "event_type", F.lit(" 0.9 ")))
+    return parse_ctm(table(spark, d, "events").select(line.alias("value"))).select("file", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), "token")
+
+
+def q_pronunciations(spark, d):
+    """Brands as words, letters of types as phones with stresses; sizes number the entries of a word."""
+    phones = F.array_join(F.transform(F.filter(F.split(F.substring("p_type", 1, 6), ""), lambda c: c != " "), lambda c, i: F.concat(c, ((i + F.col("p_size")) % 3).cast("string"))), " ")
+    word = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("("), F.col("p_size") % 4 + 1, F.lit(")"))).otherwise(""))
+    line = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit(";;; "), "p_name")).otherwise(F.concat(word, F.lit("  "), phones))
+    return parse_pronunciations(table(spark, d, "part").select(line.alias("value"))).select("word", F.posexplode("entries").alias("k", "phones"))
+
+
 T = TIMED_SQL
 QUERIES = {
+    "table_rows": (
+        q_table_rows,
+        "WITH c AS (SELECT l_orderkey, l_returnflag || ' & ' || l_linenumber AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), g AS (SELECT l_orderkey, i // w AS k, w, list(c ORDER BY i) AS c FROM (SELECT *, CASE WHEN n % 3 = 0 THEN 3 WHEN n % 2 = 0 THEN 2 ELSE 1 END AS w FROM c) GROUP BY 1, 2, 3) SELECT l_orderkey, k::INT AS k, c[1] AS text, CASE WHEN w = 3 THEN c[2] END AS pronunciation, CASE w WHEN 3 THEN c[3] WHEN 2 THEN c[2] END AS translation FROM g",
+    ),
+    "alignment_output": (q_ctm, "SELECT 'u' || user_id AS file, round(event_id / 100.0::DOUBLE, 6) AS s, round(event_id / 100.0::DOUBLE + user_id % 100 / 100.0::DOUBLE, 6) AS e, event_type AS token FROM events WHERE event_id % 7 <> 0"),
+    "pronunciation_list": (
+        q_pronunciations,
+        "WITH p AS (SELECT DISTINCT lower(replace(p_brand, '#', '')) AS word, array_to_string(list_filter(string_split(left(p_type, 6), ''), lambda c: c <> ' '), ' ') AS phones FROM part WHERE p_partkey % 9 <> 0) SELECT word, (row_number() OVER (PARTITION BY word ORDER BY phones) - 1)::INT AS k, phones FROM p",
+    ),
     "caption_round_trip": (caption_round_trip, f"WITH t AS (SELECT *, s // 1000 * 1000 AS a, (s // 1000 + (e - s) // 1000) * 1000 AS b, CASE WHEN lag(text) OVER (PARTITION BY song ORDER BY s, line) = text THEN 0 ELSE 1 END AS f FROM {T}), r AS (SELECT *, sum(f) OVER (PARTITION BY song ORDER BY s, line ROWS UNBOUNDED PRECEDING) AS run FROM t) SELECT song, run, min(a) AS s, max(b) AS e, any_value(text) AS text FROM r GROUP BY 1, 2"),
     "project_round_trip": (project_round_trip, f"SELECT song, 'song ' || song AS title, text, s AS start_time, e AS end_time, line AS line_number FROM {T}"),
     "word_stamp_round_trip": (word_stamp_round_trip, "SELECT l_orderkey AS song, (row_number() OVER w - 1)::INT AS k, l_linenumber::BIGINT * 1500000 AS s, coalesce(lead(l_linenumber::BIGINT * 1500000) OVER w, l_linenumber::BIGINT * 1500000 + 1000000) AS e, l_returnflag AS word FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)"),

@@ -24,6 +24,8 @@ from lineweave.streaming.jobs import DAY, FINAL, HOUR, LATE, available, event_st
 SILENT, KNOWN, FRESH = 2 * DAY, DAY, 18 * HOUR
 #: How long a lease lasts after its last sign of life, and a job is remembered after its last event.
 HELD, KEPT = 3 * DAY, 4 * DAY
+#: How long a job waits for data that comes late.
+PATIENCE = 8 * HOUR
 #: Finished jobs that a median looks at.
 LAST = 20
 #: A step takes a key's state (None: none), kind, time, event and value to the new state, when it ends (None:
@@ -32,9 +34,10 @@ Step = Callable[[tuple | None, str, int, int, float], tuple[tuple | None, int |
 End = Callable[[tuple], list[tuple]]
 
 
-def with_end(events: DataFrame, step: Step, end: End, out: str, state: str) -> DataFrame:
+def with_end(events: DataFrame, step: Step, end: End, out: str, state: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     """Rows (user_id, and what step and end give) of events (user_id, event_id, event_type, value, at), which
-    have a watermark.  ``state`` is the schema of the state, whose first column ``until`` is when it ends."""
+    have a watermark; with kinds, events of others are passed over.  ``state`` is the schema of the state; when
+    it ends is kept beside it."""
     names = ["user_id", *(c.split()[0] for c in out.split(", "))]
     whole = {n: "Int64" for n, t in zip(names, ["long", *(c.split()[1] for c in out.split(", "))]) if t == "long"}
 
@@ -46,6 +49,8 @@ def with_end(events: DataFrame, step: Step, end: End, out: str, state: str) -> D
             now = None
         else:
             for kind, t, event, value in pd.concat(list(batches)).sort_values(["t", "event_id"])[["event_type", "t", "event_id", "value"]].itertuples(index=False):
+                if kinds and kind not in kinds:
+                    continue
                 if now is not None and until is not None and t > until:
                     rows += end(now)
                     now = until = None
@@ -124,18 +129,33 @@ def beat(state, kind, t, event, value):
     return (until, cancelled, progress, meta), t + KEPT, out
 
 
+def wait(state, kind, t, event, value):
+    """A job (signup) waits for its late data (purchase), a cancel (error), or another job of the user."""
+    out = []
+    if state is not None and kind in ("purchase", "error", "signup"):
+        out = [(state[0], event if kind == "purchase" else None, {"purchase": "met", "error": "cancelled", "signup": "without"}[kind])]
+        state = None
+    if kind == "signup":
+        state = (event, t)
+    return state, None if state is None else state[1] + PATIENCE, out
+
+
+def gone_without(state):
+    return [(state[0], None, "without")]
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return event_stream(spark, d).withWatermark("at", LATE)
 
 
 def reaper_stream(events: DataFrame) -> DataFrame:
     """user_id, job, last, reaped: jobs of which there was no sign for SILENT."""
-    return with_end(events, reap, reaped, "job long, last long, reaped long", "job long, last long")
+    return with_end(events, reap, reaped, "job long, last long, reaped long", "job long, last long", ("signup", "view", "purchase"))
 
 
 def memory_stream(events: DataFrame) -> DataFrame:
     """user_id, event_id, known: what each who asks is told."""
-    return with_end(events, remember, nothing, "event_id long, known long", "told long, at long")
+    return with_end(events, remember, nothing, "event_id long, known long", "told long, at long", ("click", "view"))
 
 
 def estimate_stream(events: DataFrame) -> DataFrame:
@@ -148,6 +168,11 @@ def heartbeat_stream(events: DataFrame) -> DataFrame:
     return with_end(events, beat, nothing, "event_id long, held boolean, cancelled boolean, progress long, meta long", "lease long, cancelled boolean, progress long, meta long")
 
 
+def late_data_stream(events: DataFrame) -> DataFrame:
+    """user_id, job, data, outcome: what a job met while it waited, or that it goes on without."""
+    return with_end(events, wait, gone_without, "job long, data long, outcome string", "job long, at long", ("signup", "purchase", "error"))
+
+
 _ROWS = "e AS (SELECT user_id, event_id, event_type AS k, value, epoch_us(ts) AS t FROM events)"
 QUERIES = {
     "stream_reaper": (
@@ -162,6 +187,10 @@ QUERIES = {
         lambda spark, d: available(estimate_stream(_events(spark, d))),
         f"WITH RECURSIVE {_ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e WHERE k = 'view'), m AS (SELECT r.user_id, r.i, list_reverse_sort(list({{'t': p.t, 'id': p.event_id, 'v': p.value}}) FILTER (p.t IS NOT NULL))[:{LAST}] AS p FROM r LEFT JOIN e p ON p.user_id = r.user_id AND p.k = 'purchase' AND (p.t, p.event_id) < (r.t, r.event_id) GROUP BY 1, 2), n AS (SELECT r.*, list_median(list_transform(p, lambda x: x.v)) AS med FROM r JOIN m USING (user_id, i)), f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, NULL::BIGINT AS since, NULL::DOUBLE AS eta, false AS kept FROM n UNION ALL SELECT user_id, i, event_id, CASE WHEN fresh OR med IS NULL THEN value ELSE med END, CASE WHEN fresh OR med IS NULL THEN since ELSE t END, CASE WHEN fresh THEN value ELSE med END, fresh FROM (SELECT n.user_id, n.i, n.event_id, n.t, n.med, f.value, f.since, coalesce(n.t - f.since < {FRESH}, false) AS fresh FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)) SELECT user_id, event_id, eta, kept FROM f WHERE i > 0",
     ),
+    "stream_late_data": (
+        lambda spark, d: available(late_data_stream(_events(spark, d))),
+        f"WITH {_ROWS}, n AS (SELECT *, lead(k) OVER w AS n_k, lead(t) OVER w AS n_t, lead(event_id) OVER w AS n_id FROM e WHERE k IN ('signup', 'purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), a AS (SELECT user_id, event_id, t, coalesce(n_t <= t + {PATIENCE}, false) AS heard, n_k, n_id, n_t FROM n WHERE k = 'signup') SELECT user_id, event_id AS job, CASE WHEN heard AND n_k = 'purchase' THEN n_id END AS data, CASE WHEN heard AND n_k = 'purchase' THEN 'met' WHEN heard AND n_k = 'error' THEN 'cancelled' ELSE 'without' END AS outcome FROM a WHERE n_t IS NOT NULL OR (t + {PATIENCE}) // 1000 * 1000 + 1000 < {FINAL}",
+    ),
     "stream_heartbeats": (
         lambda spark, d: available(heartbeat_stream(_events(spark, d))),
         f"WITH RECURSIVE r AS (SELECT user_id, event_id, event_type AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS k, NULL::BIGINT AS t, NULL::BIGINT AS lease, false AS cancelled, 0::BIGINT AS progress, NULL::BIGINT AS meta, false AS held FROM r UNION ALL SELECT user_id, i, event_id, k, t, CASE WHEN k = 'signup' OR k = 'view' AND t <= lease AND NOT cancelled THEN t + {HELD} ELSE lease END, CASE k WHEN 'signup' THEN false WHEN 'error' THEN true ELSE cancelled END, CASE WHEN k = 'signup' THEN 0 WHEN k = 'view' AND t <= lease AND NOT cancelled THEN progress + 1 ELSE progress END, CASE k WHEN 'signup' THEN NULL WHEN 'purchase' THEN event_id ELSE meta END, coalesce(t <= lease, false) FROM (SELECT r.*, CASE WHEN r.t <= f.t + {KEPT} THEN lease END AS lease, CASE WHEN r.t <= f.t + {KEPT} THEN cancelled ELSE false END AS cancelled, CASE WHEN r.t <= f.t + {KEPT} THEN progress ELSE 0 END AS progress, CASE WHEN r.t <= f.t + {KEPT} THEN meta END AS meta FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)) SELECT user_id, event_id, held, cancelled, progress, CASE WHEN held AND NOT cancelled THEN meta END AS meta FROM f WHERE k = 'view'",
