@@ -40,8 +40,8 @@ def covering(text: Column, hits: Column, line_s: Column, line_e: Column, most: i
     def letters(a: Column, b: Column, v: Column) -> Column:
         first, until = F.when(a.isNull(), 1).otherwise(a.pos + a.size), F.when(b.isNull(), F.length(v.text) + 1).otherwise(b.pos)
         n = until - first
-        inner = F.when(a.isNull() & b.isNull(), F.coalesce(v.s, F.lit(0))).when(a.isNull(), F.least(F.greatest(F.coalesce(v.s, b.s), b.s - most * n), b.s)).otherwise(a.e)
-        outer = F.when(a.isNull() & b.isNull(), F.coalesce(v.e, inner)).when(b.isNull(), F.least(F.coalesce(v.e, a.e), a.e + most * n)).otherwise(b.s)
+        inner = F.when(a.isNull() & b.isNull(), F.coalesce(v.s, F.lit(0))).when(a.isNull(), F.least(F.greatest(F.coalesce(v.s, b.s), b.s - most * n.cast("long")), b.s)).otherwise(a.e)
+        outer = F.when(a.isNull() & b.isNull(), F.coalesce(v.e, inner)).when(b.isNull(), F.least(F.coalesce(v.e, a.e), a.e + most * n.cast("long"))).otherwise(b.s)
         gap = F.struct(first.alias("first"), n.alias("n"), inner.alias("lo"), (F.greatest(outer, inner) - inner).alias("long"))
         one = lambda g, k: F.struct(F.substr(v.text, g.first + k, F.lit(1)).alias("word"), (g.lo + F.floor(g.long * k / g.n)).alias("s"), (g.lo + F.floor(g.long * (k + 1) / g.n)).alias("e"), F.lit(False).alias("measured"))
         return once(gap, lambda g: F.when(g.n > 0, F.transform(F.sequence(F.lit(0), g.n - 1), lambda k: one(g, k))).otherwise(F.array().cast(PIECE)))

@@ -125,3 +125,11 @@ def test_resynthesized(spark):
     assert sorted(map(tuple, W.resynthesized(ls, ws, targets).collect())) == [(1, 1, 0, "abc", 0, 6 * S), (1, 1, 1, "de", 6 * S, 10 * S), (1, 2, 0, "x", S, 2 * S)]
     assert W.resynthesized(ls, ws.limit(0), targets).collect() == []
     assert W.resynthesized(ls, ws, targets.where(F.lit(False))).count() == 3
+
+
+def test_long_gaps_and_large_steps(spark):
+    """Products of letters and microseconds are beyond 32 bits."""
+    hour = 3600 * S
+    lines, words = frames(spark, [(1, 1, "x" * 50 + "abc" + "y" * 60, 0, 1000 * hour)], [(1, 1, 0, "zz", 0, 1), (1, 1, 1, "xab", 500 * hour, 501 * hour)])
+    got = W.full_words(lines, words.withColumn("word", F.when(F.col("k") == 1, "x" * 50).otherwise(F.col("word"))), hour).collect()
+    assert len(got) == 64 and max(r.e for r in got) == 501 * hour + 63 * hour
