@@ -7,9 +7,9 @@ from lineweave.sources import pages as P
 def test_hinted_table(spark):
     t = lambda h, x: (f"<h3 a='b'><b>{h}</b></h3>" if h else "") + f"<TABLE id=1>{x}</TABLE>"
     pages = [
-        (t("Original", "one") + t("Best Friend Remix", "two"), "Song / best friend REMIX feat. x", "two"),
+        (t("Original", "one") + t("Winter Night Edit", "two"), "Song / winter night EDIT feat. x", "two"),
         (t("긴 버전", "one") + t("짧은 버전", "two"), "song (short ver)", "two"),
-        (t("A", "one") + t("인스트", "two"), "against", "one"),
+        (t("A", "one") + t("반주", "two"), "the minstrel", "one"),
         (t("A", "one") + t("2", "two"), "2", "one"),
         (t("Remix", "one") + t("", "two"), "Remix", "one"),
         (t("x1", "one") + t("Remix", "two") + t("Remix B", "three"), "remix b", "three"),
