@@ -4,7 +4,7 @@ Entries become whole numbers on a lattice (``lattice``), equal vectors count onc
 covariance is exact or double-double:
 
 1. ``n`` and the sums S of each dimension, in whole numbers.
-2. Centred vectors n * x - S, whole numbers of up to 62 bits.  An error-free transformation splits them
+2. Centred vectors n * x - S, whole numbers (beyond 62 bits Python's).  An error-free transformation splits them
    into slices of 21 bits, so that the outer products of a block of 1024 rows add up without rounding in
    ordinary matrix products; each block is added to a double-double matrix by two-sums.  Tasks merge their
    high and low parts, a row of the matrix at a time, in two levels.
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import Scratch
 
-#: Lattice steps from 0 that an entry may be away.
-REACH = 1 << 31
+#: Lattice steps from 0 that an entry may be away: beyond, it is no 64-bit number.
+REACH = 1 << 62
+#: Entries up to here can be added up in 64 bits within an Arrow batch.
+SUMMED = 1 << 40
 #: Bits of a slice, and rows whose products of slices add up below 2 ** 53, also twice.
 SLICE, ROWS = 21, 1024
 #: Tasks whose matrices are merged in one group.
@@ -106,6 +108,8 @@ class Center:
     bits: int
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.bits > 62:
+            return self.n * (x.astype(object) - self.whole.astype(object)) - self.rest.astype(object)
         return self.n * (x - self.whole) - self.rest
 
 
@@ -113,24 +117,23 @@ def center(fit: DataFrame, d: int) -> Center | None:
     """n and S of the vectors, None if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, low, high = 0, np.zeros(d, np.int64), np.full(d, np.iinfo(np.int64).max), np.full(d, np.iinfo(np.int64).min)
+        n, total, low, high = 0, np.zeros(d, object), np.full(d, np.iinfo(np.int64).max), np.full(d, np.iinfo(np.int64).min)
         for batch in batches:
             x = matrix(batch, d)
             if len(x):
-                n, total, low, high = n + len(x), total + x.sum(axis=0), np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+                small = max(-int(x.min()), int(x.max())) < SUMMED and len(x) < 1 << 22
+                n, total, low, high = n + len(x), total + (x if small else x.astype(object)).sum(axis=0), np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
         if n:
-            yield pa.RecordBatch.from_pydict({"i": np.arange(d, dtype=np.int32), "n": np.full(d, n), "total": total, "low": low, "high": high})
+            yield pa.RecordBatch.from_pydict({"i": np.arange(d, dtype=np.int32), "n": np.full(d, n), "total": pa.array([int(v) for v in total], pa.decimal128(38, 0)), "low": low, "high": high})
 
-    sums = fit.select("x").mapInArrow(run, "i int, n long, total long, low long, high long")
-    rows = sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    sums = fit.select("x").mapInArrow(run, "i int, n long, total decimal(38,0), low long, high long")
+    rows = sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r.i)
     n = int(rows[0].n)
     whole = [int(r.total) // n for r in rows]
     reach = n * (1 + max(max(r.high - w, w - r.low) for r, w in zip(rows, whole)))
-    if reach >= 1 << 62:
-        raise OverflowError(f"{n} vectors with entries up to {reach // n} from their mean need more than 62 bits; use a coarser lattice")
     return Center(n, np.array(whole, np.int64), np.array([int(r.total) - n * w for r, w in zip(rows, whole)], np.int64), reach.bit_length() + 1)
 
 
@@ -204,7 +207,7 @@ class Whitening:
     explained: np.ndarray
 
     def project(self, y: np.ndarray) -> np.ndarray:
-        return (y / self.center.n) @ self.axes
+        return (y / self.center.n).astype(np.float64) @ self.axes
 
 
 def fit_whitening(fit: DataFrame, d: int, most: int = 16) -> Whitening | None:

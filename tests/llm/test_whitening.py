@@ -72,7 +72,7 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(1)
     good = [(k, [float(c) for c in rng.normal(size=3) * (9, 1, 0.3)]) for k in range(40)]
-    odd = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [nan, 1.0, 1.0]), (104, [inf, 0.0, 0.0]), (105, [1e300, 0.0, 0.0]), (106, [-0.0, -1e-9, 0.5])]
+    odd = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [nan, 1.0, 1.0]), (104, [inf, 0.0, 0.0]), (105, [1e300, 0.0, 0.0]), (107, [2.0**56, 0.0, 0.0]), (106, [-0.0, -1e-9, 0.5])]
     copies = [(7, good[7][1]), (None, good[3][1]), (200, good[0][1])]
     rows = good + odd + copies
     short = [(300, [1.0, 2.0])]
@@ -92,12 +92,15 @@ def test_flat_dimensions_are_no_components(spark):
     check(found, rows)
 
 
-def test_large_deviations_are_exact(spark):
-    rows = [(k, [k * 1e7 + 0.3, -k * k * 1e6, 1.0 * (k % 3)]) for k in range(5)]
+@pytest.mark.parametrize("size", [1e7, 1e13, 3e16])
+def test_large_deviations_are_exact(spark, size):
+    rows = [(k, [k * size / 5 + 0.3, -k * k * size / 50, size * (k % 3) / 3]) for k in range(5)]
     x, _, n, s, _ = plain(rows)
     want = {i: sum((n * c - t) ** 2 for c, t in zip(v, s)) for i, v in x}
-    found = {r.vec_id: int(r.deviation) for r in W.whiten(frame(spark, rows)).collect()}
-    assert found == want and max(want.values()) > 2**63
+    rows = W.whiten(frame(spark, rows)).collect()
+    found = {r.vec_id: r.deviation and int(r.deviation) for r in rows}
+    assert found == {k: v if v < 10**38 else None for k, v in want.items()}
+    assert max(want.values()) > 2**58 and all(r.identity_error < 1e-8 for r in rows)
 
 
 @settings(max_examples=60, deadline=None)
