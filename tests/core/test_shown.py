@@ -74,6 +74,23 @@ def test_repeats_like_a_loop(spark):
     assert D.even_repeats(frame(spark, rows).where(F.lit(False))).collect() == []
 
 
+def test_words_are_held_while_there_is_voice(spark):
+    voice = frame(spark, [(1, 0, "", 0, 20), (1, 1, "", 22, 40), (1, 2, "", 70, 100)])
+    rows = [
+        (1, 1, 1, 0, 5, 200),  # up to the next word
+        (1, 1, 2, 15, 18, 200),  # the voice goes on over a short gap to 40; held
+        (1, 1, 3, 45, 50, 200),  # in silence: stays
+        (1, 1, 4, 66, 68, 200),  # voice follows soon, up to 100, no more than 25
+        (1, 1, 5, 90, 130, 200),  # ends in silence
+        (1, 2, 1, None, 5, 9),
+        (1, 3, 1, 96, 99, 102),  # what is silent before the line's end is short
+    ]
+    words = spark.createDataFrame(rows, "song long, line long, k long, s long, e long, line_e long")
+    got = {(r.line, r.k): r.new_e for r in D.hold_sung(words, voice, 10, 25, 5).collect()}
+    assert got == {(1, 1): 15, (1, 2): 40, (1, 3): 50, (1, 4): 90, (1, 5): 130, (2, 1): 9, (3, 1): 102}
+    assert D.hold_sung(words.where(F.lit(False)), voice, 10, 25, 5).collect() == []
+
+
 def test_next_region(spark):
     asks = spark.createDataFrame([(1, 5, "a"), (1, 10, "b"), (1, 11, "c"), (1, None, "d"), (2, 1, "e")], "song long, t long, n string")
     voice = frame(spark, [(1, 0, "", 8, 10), (1, 1, "", 12, 20), (1, 2, "", 12, None)])
