@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.functions import lyrics, moras, readings, text, vocabulary
+from lineweave.functions import lyrics, moras, readings, syllables, text, vocabulary
 from lineweave.operators import anchors, arrays, choices, fixes, intervals, layers, line_words, matching, melody, offsets, queues, relational, repairs, scaffolds, sequential, shown, stats, titles, tracks, verdicts, voiced, words
 from lineweave.sources import answers, pages, payloads, subtitles
 from lineweave.streaming import jobs, timers
 
-MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, line_words, matching, melody, offsets, queues, shown, scaffolds, titles, tracks, verdicts, voiced, lyrics, readings, moras, vocabulary, subtitles, payloads, answers, pages, jobs, timers)
+MODULES = (relational, intervals, stats, text, arrays, sequential, choices, fixes, repairs, layers, anchors, words, line_words, matching, melody, offsets, queues, shown, scaffolds, titles, tracks, verdicts, voiced, lyrics, readings, moras, syllables, vocabulary, subtitles, payloads, answers, pages, jobs, timers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

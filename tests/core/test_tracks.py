@@ -1,7 +1,5 @@
 """Caption tracks on small rows: order, what is read, and every reason for none."""
 
-import pytest
-
 from lineweave.operators import tracks as T
 
 TRACKS, LINES, HINTS = "song long, track string, manual boolean", "song long, track string, k int, text string", "song long, hint string, own string"
