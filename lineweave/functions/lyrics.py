@@ -39,6 +39,32 @@ def clean_caption(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Roles that a credit may name before its colon, and sounds that a line in brackets may be; small letters.
+ROLES = "music lyric lyrics words vocal vocals arrangement mix guitar bass drums movie illust".split()
+SOUNDS = "music applause laughter cheering silence noise".split()
+
+
+def one_blank(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def credit_line(text: Column, roles: list[str] = ROLES) -> Column:
+    """Whether a line is one to four roles, a colon within 28 letters, and somebody."""
+    role = "(?:" + "|".join(roles) + ")"
+    named = F.lower(text).rlike(rf"^[\s&/,、・·+＋]*{role}(?:[\s&/,、・·+＋]+{role}){{0,3}}[\s&/,、・·+＋]*[:：].*\S")
+    return named & (F.length(F.regexp_extract(text, "^([^:：]*)", 1)) <= 28)
+
+
+def clean_line(text: Column, roles: list[str] = ROLES, sounds: list[str] = SOUNDS) -> Column:
+    """A line of captions as it is sung: without square brackets, a mark or a speaker before it, and notes after
+    it; empty if it is a credit, an address or a sound.  A null line is empty."""
+    said = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\[［【][^\]］】]*[\]］】]", " "))
+    said = one_blank(F.regexp_replace(said, r"^(?:>>+\s*|♪+\s*|-\s+)", ""))
+    rest = one_blank(F.regexp_replace(F.regexp_replace(said, r"^[^\s:：]{1,12}[:：]\s+", ""), r"[♪♫♬\s]+$", ""))
+    sound = F.lower(rest).rlike(r"^[(（]\s*(?:" + "|".join(sounds) + r")\s*[)）]$")
+    return F.when(credit_line(said, roles) | F.lower(said).rlike(r"^(?:https?://|www\.)\S+$") | sound, "").otherwise(rest)
+
+
 def base_language(code: Column) -> Column:
     return F.lower(F.split(F.replace(code, F.lit("_"), F.lit("-")), "-")[0])
 
@@ -71,6 +97,16 @@ def q_caption_clean(spark, d):
     return lyric_lines(docs(spark, d)).select("song", "line", clean_caption(F.col("text")).alias("text")).where("text <> ''")
 
 
+def q_clean_line(spark, d):
+    """Lines of documents with what captions have around them, by their number."""
+    n, text = F.col("line") % 7, F.col("text")
+    said = (
+        F.when(n == 0, F.concat(F.lit(" Music & Vocal : "), text)).when(n == 1, F.concat(F.lit(">> "), text)).when(n == 2, F.concat(F.lit("[note]  - "), text, F.lit(" ♪ ♫"))).when(n == 3, F.concat(F.lit("Bob: "), text))
+        .when(n == 4, F.when(F.col("song") % 2 == 0, "( Applause)").otherwise("www.a.b/c")).when(n == 5, F.concat(F.lit("Music and more: "), text)).otherwise(text)
+    )
+    return lyric_lines(docs(spark, d)).select("song", "line", clean_line(said).alias("sung"))
+
+
 def q_preview(spark, d):
     """How many lines a document has, its first, and the first three as one line of up to 100 characters."""
     lines = lyric_lines(docs(spark, d))
@@ -124,6 +160,10 @@ QUERIES = {
     "body_language": (q_body_language, rf"SELECT lang, CASE WHEN ({KANA} + {HANGUL} + {HAN}) * 20 > length(regexp_replace(text, '\s', '', 'g')) THEN CASE WHEN {KANA} > 0 AND {KANA} >= {HANGUL} THEN 'ja' WHEN {HANGUL} > 0 THEN 'ko' ELSE 'zh' END ELSE 'none' END AS body, coalesce(lang = 'ja' AND {KANA} = 0 OR lang = 'ko' AND {HANGUL} = 0 OR lang = 'zh' AND {HAN} = 0, false) AS absent, count(*) AS n FROM documents GROUP BY 1, 2, 3"),
     "script_tokens": (q_tokens, f"WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '({TOKEN})', 1) AS t FROM conversations) SELECT conv_id, turn, len(t)::INT AS n, len(list_distinct(t))::INT AS different, coalesce(list_max(list_transform(t, lambda x: length(x))), 0)::INT AS longest FROM t"),
     "caption_clean": (q_caption_clean, rf"SELECT * FROM (SELECT song, line, trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]|\([^)]*\)|[\x{{266A}}\x{{266B}}#*]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM {L}) WHERE text <> ''"),
+    "sung_captions": (
+        q_clean_line,
+        rf"WITH c AS (SELECT song, line, CASE line % 7 WHEN 0 THEN ' Music & Vocal : ' || text WHEN 1 THEN '>> ' || text WHEN 2 THEN '[note]  - ' || text || ' ♪ ♫' WHEN 3 THEN 'Bob: ' || text WHEN 4 THEN CASE WHEN song % 2 = 0 THEN '( Applause)' ELSE 'www.a.b/c' END WHEN 5 THEN 'Music and more: ' || text ELSE text END AS t FROM {L}), a AS (SELECT song, line, trim(regexp_replace(regexp_replace(trim(regexp_replace(t, '[\[［【][^\]］】]*[\]］】]', ' ', 'g')), '^(?:>>+\s*|♪+\s*|-\s+)', ''), '\s+', ' ', 'g')) AS t FROM c), b AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '^[^\s:：]{{1,12}}[:：]\s+', ''), '[♪♫♬\s]+$', ''), '\s+', ' ', 'g')) AS r FROM a) SELECT song, line, CASE WHEN regexp_matches(lower(t), '^[\s&/,、・·+＋]*(?:{'|'.join(ROLES)})(?:[\s&/,、・·+＋]+(?:{'|'.join(ROLES)})){{0,3}}[\s&/,、・·+＋]*[:：].*\S') AND length(regexp_extract(t, '^([^:：]*)', 1)) <= 28 OR regexp_matches(lower(t), '^(?:https?://|www\.)\S+$') OR regexp_matches(lower(r), '^[(（]\s*(?:{'|'.join(SOUNDS)})\s*[)）]$') THEN '' ELSE r END AS sung FROM b",
+    ),
     "preview": (q_preview, f"SELECT song, count(*) AS n, arg_min(text, line) AS first_line, left(string_agg(text, ' / ' ORDER BY line) FILTER (line <= 3), 100) AS preview FROM {L} GROUP BY 1"),
     "usable_lines": (q_usable_lines, rf"SELECT song, count(*) AS lines FROM {L} WHERE length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 2 GROUP BY 1 HAVING count(*) >= 2"),
     "ascii_kept": (q_ascii_kept, r"WITH k AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS k FROM documents) SELECT doc_id, coalesce(length(k) >= 0.98 * length(text), false) AS good, CASE WHEN length(k) >= 0.98 * length(text) THEN md5(k) END AS kept_md5 FROM k"),

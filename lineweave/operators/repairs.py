@@ -110,6 +110,18 @@ def match_stats(lines: DataFrame, matched: str) -> DataFrame:
     return g.select("song", "total", "matched", F.round(F.col("matched") / F.col("total"), 9).alias("rate"), F.round("confidence", 6).alias("confidence"), (5 * F.col("matched") >= F.col("total")).alias("usable"))
 
 
+def confidence_stats(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """song, total, matched (lines with words), rate, confidence of words (song, line, confidence): the mean, and
+    the share of words that are sure; of scores that is over 0, of logarithms of probabilities, which have a
+    negative mean, over -5.  Words without a confidence count for the line alone."""
+    own = words.groupBy("song").agg(F.count_distinct("line").alias("matched"), F.avg("confidence").alias("mean"))
+    level = F.when(F.col("mean") < 0, -5.0).otherwise(0.0)
+    sure = words.join(own.select("song", "mean"), "song").groupBy("song").agg(F.count_if(F.col("confidence") > level).alias("sure"), F.count("confidence").alias("n"))
+    g = lines.groupBy("song").agg(F.count(F.lit(1)).alias("total")).join(own, "song", "left").join(sure, "song", "left")
+    some = F.coalesce(F.col("n") > 0, F.lit(False))
+    return g.select("song", "total", F.when(some, F.col("matched")).otherwise(0).alias("matched"), F.when(some, F.round(F.col("sure") / F.nullif("n", F.lit(0)), 9)).otherwise(0.0).alias("rate"), F.when(some, F.round("mean", 6)).otherwise(0.0).alias("confidence"))
+
+
 def drift_gate(lines: DataFrame, anchors: DataFrame, most: int) -> DataFrame:
     """song, drift, off: the upper middle one of the distances from lines to overlapping anchors, and
     whether it is so large that the anchors should take over."""
@@ -203,6 +215,10 @@ QUERIES = {
         lambda spark, d: gated_match(_of("click")(spark, d), _of("view")(spark, d), HOUR // 2, 0.3),
         f"SELECT c.song, c.line, v.line AS match FROM (SELECT * FROM {T} WHERE text = 'click') c JOIN (SELECT * FROM {T} WHERE text = 'view') v ON v.song = c.song AND v.s < c.e AND c.s < v.e WHERE least(c.e, v.e) - greatest(c.s, v.s) >= greatest({H // 2}, 0.3 * least(c.e - c.s, v.e - v.s)) QUALIFY row_number() OVER (PARTITION BY c.song, c.line ORDER BY least(c.e, v.e) - greatest(c.s, v.s) DESC, v.s, v.line) = 1",
     ),
+    "confidence_stats": (
+        lambda spark, d: confidence_stats(timed_lines(spark, d), timed_lines(spark, d).where("text <> 'view'").withColumn("confidence", F.when(F.col("line") % 9 > 0, F.when(F.col("song") % 2 == 0, F.floor("value") - 20.0).otherwise(-F.floor("value") / 4)))),
+        f"WITH w AS (SELECT *, CASE WHEN line % 9 > 0 THEN CASE WHEN song % 2 = 0 THEN floor(value) - 20 ELSE -floor(value) / 4 END END AS c FROM {T} WHERE text <> 'view'), m AS (SELECT song, count(DISTINCT line) AS matched, avg(c) AS mean, count(c) AS n FROM w GROUP BY 1), s AS (SELECT w.song, count(*) FILTER (c > CASE WHEN mean < 0 THEN -5 ELSE 0 END) AS sure FROM w JOIN m ON m.song = w.song GROUP BY 1) SELECT t.song, count(*) AS total, CASE WHEN any_value(n) > 0 THEN any_value(matched) ELSE 0 END AS matched, CASE WHEN any_value(n) > 0 THEN round(any_value(sure) / any_value(n)::DOUBLE, 9) ELSE 0 END AS rate, CASE WHEN any_value(n) > 0 THEN round(any_value(mean), 6) ELSE 0 END AS confidence FROM {T} t LEFT JOIN m ON m.song = t.song LEFT JOIN s ON s.song = t.song GROUP BY 1",
+    ),
     "drift_gate": (
         lambda spark, d: drift_gate(_of("click")(spark, d), _of("view")(spark, d), 3 * HOUR),
         f"SELECT song, d[len(d) // 2 + 1] AS drift, d[len(d) // 2 + 1] >= {3 * H} AS off FROM (SELECT c.song, list_sort(list(abs(c.s - v.s))) AS d FROM (SELECT * FROM {T} WHERE text = 'click') c JOIN (SELECT * FROM {T} WHERE text = 'view') v ON v.song = c.song AND v.s < c.e AND c.s < v.e GROUP BY 1)",

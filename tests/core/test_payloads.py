@@ -61,3 +61,21 @@ def test_fusion_and_ranks(spark):
     d = spark.createDataFrame([("g", v) for v in (3, -3, 0, 1, 5)], "g string, v long")
     # sizes 1, 3, 3, 5: ranks 1, 2.5, 2.5, 4; positive ones 1 + 2.5 + 4
     assert [tuple(r) for r in signed_ranks(d, "v", "g").collect()] == [("g", 15, 4)]
+
+
+def test_sung_lines(spark):
+    cases = [
+        ("[music] - la  la ♪", "la la"), ("Lyrics: somebody", ""), ("Guitar/Bass・Mix： x", ""), ("music: ", "music:"), ("3:00 in the morning", "3:00 in the morning"), ("Ann: hello", "hello"),
+        ("a much longer head than roles have here: x", "a much longer head than roles have here: x"), ("(Music)", ""), ("(ooh)", "(ooh)"), ("https://a.b/c", ""), ("see www.a.b", "see www.a.b"), (">>> hey", "hey"), (None, ""), ("  ", ""),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, t string")
+    assert [r.x for r in df.select("i", lyrics.clean_line(F.col("t")).alias("x")).orderBy("i").collect()] == [b for _, b in cases]
+
+
+def test_confidences(spark):
+    from lineweave.operators.repairs import confidence_stats
+
+    lines = spark.createDataFrame([(s, i) for s in range(4) for i in range(4)], "song long, line long")
+    words = spark.createDataFrame([(0, 0, 0.5), (0, 0, -0.1), (0, 1, None), (1, 0, -2.0), (1, 2, -7.0), (1, 3, -4.9), (2, 0, None)], "song long, line long, confidence double")
+    got = {r.song: tuple(r)[1:] for r in confidence_stats(lines, words).collect()}
+    assert got == {0: (4, 2, 0.5, 0.2), 1: (4, 3, round(2 / 3, 9), round(-13.9 / 3, 6)), 2: (4, 0, 0.0, 0.0), 3: (4, 0, 0.0, 0.0)}
