@@ -22,12 +22,18 @@ NOTE = "k int, midi int, s long, e long, confidence double"
 VOICED, EVIDENCE, BETTER = 3, 4, 2
 
 
+def semitones(midi: np.ndarray) -> np.ndarray:
+    """The nearest whole ones, halves away from zero, as SQL's round has them."""
+    whole = np.trunc(midi)
+    return (whole + np.sign(midi) * (np.abs(midi - whole) >= 0.5)).astype(int)
+
+
 def common_pitch(midi: np.ndarray) -> tuple[int, int] | None:
     """The semitone that most voiced frames have, and how many do."""
     voiced = midi[np.isfinite(midi)]
     if len(voiced) < VOICED:
         return None
-    values, counts = np.unique(np.rint(voiced).astype(int), return_counts=True)
+    values, counts = np.unique(semitones(voiced), return_counts=True)
     k = int(counts.argmax())
     return int(values[k]), int(counts[k])
 
@@ -66,7 +72,7 @@ def pitch_runs(midi: np.ndarray, step: int, shortest: int, pause: int, join: int
         else:
             found.append((pitch, a, b))
     if not found and (at[-1] - at[0]) * step >= shortest:
-        found = [(common_pitch(midi)[0], int(at[0]), int(at[-1]))]
+        found, notes = [(common_pitch(midi)[0], int(at[0]), int(at[-1]))], semitones(midi[at])
     inside = lambda a, b: notes[(at >= a) & (at <= b)]
     return [(p, a, b, float(np.mean(inside(a, b) == p)) * len(at) / len(midi)) for p, a, b in found]
 

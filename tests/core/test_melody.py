@@ -101,3 +101,8 @@ def test_small_tracks(spark):
     assert [x[:3] for x in got[7]] == [(60, 0, 29), (62, 33, 62)]
     assert set(got) == {1, 2, 3, 4, 7}
     assert M.notes_from_spans(df.where(F.lit(False)), 10_000).collect() == []
+
+
+def test_halves_of_semitones_go_away_from_zero():
+    assert M.semitones(np.array([60.5, 61.5, -60.5, 60.49999999999999, 59.0])).tolist() == [61, 62, -61, 60, 59]
+    assert M.common_pitch(np.array([60.5, 60.5, 60.5])) == (61, 3)
