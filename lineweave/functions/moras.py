@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lineweave.functions.readings import FIRST, PAIRS, TO_HANGUL, hiragana, kana_hangul
 from lineweave.functions.readings import LONG as LONG_VOWELS
 from lineweave.operators.words import letter_times, letters_found, once, syllable_times
-from lineweave.sources.tables import table
+from lineweave.sources.tables import dealt, table
 
 #: Small kana that are one mora with the kana before them.
 SMALL = "ゃゅょぁぃぅぇぉゎ"
@@ -240,7 +240,7 @@ _LATIN, _KANA, _HAN = "abcdefghijklmnopqrstuvwxyz", "あばかでえふがひい
 
 
 def _tokens(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part"), "p_partkey")
     kana = lambda w: F.translate(w, _LATIN, _KANA)
     token = lambda w: F.struct(kana(F.regexp_replace(w, f"[{_HAN}]+", "漢")).alias("surface"), kana(w).alias("reading"))
     words = F.concat(F.transform(F.split("p_name", " "), token), F.array(F.struct(F.concat(F.lit(" "), "p_brand", F.lit("! & co")).alias("surface"), F.lit("").alias("reading"))))

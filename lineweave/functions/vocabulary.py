@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.readings import FIRST, letter
 from lineweave.operators.words import once
-from lineweave.sources.tables import table
+from lineweave.sources.tables import dealt, table
 
 # Tense initials and the plain ones, vowels with a glide and those without, by their numbers
 # among Hangul's 19 initials and 21 vowels.
@@ -55,7 +55,7 @@ SMALL = "".join(chr(FIRST + i * 588 + v * 28 + f) for i in range(19) if i not in
 
 def q_substitutes(spark, d):
     """Letters of brands, and a Hangul syllable for each letter of a part's name, all kinds by its key."""
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part"), "p_partkey")
     syllables = F.transform(F.split("p_name", ""), lambda c, i: letter((F.ascii(c) * 7919 + F.col("p_partkey") * 31 + i * 127) % 11172 + FIRST))
     t = p.select("p_partkey", F.posexplode(F.concat(F.split("p_brand", ""), syllables)).alias("k", "letter"))
     return t.select("p_partkey", "k", "letter", in_vocabulary(F.col("letter"), SMALL).alias("stands_for"))

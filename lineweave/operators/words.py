@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lineweave.operators.intervals import HOUR, by_start, overlaps
 from lineweave.operators.repairs import L, V, W, sung
-from lineweave.sources.tables import TIMED_SQL, table, timed_lines
+from lineweave.sources.tables import TIMED_SQL, dealt, table, timed_lines
 
 #: A letter that is found, with its place in the text (from 1).
 HIT = "struct<pos: int, s: bigint, e: bigint>"
@@ -126,7 +126,7 @@ def hold_tails(lines: DataFrame, voice: DataFrame, most: int, least: int) -> Dat
 def _letters(spark, d):
     """Names of parts as lines, letters of their types as spans, 0.1 s each."""
     spans = F.transform(F.sequence(F.lit(1), F.length("p_type")), lambda k: F.struct(F.lower(F.substr("p_type", k, F.lit(1))).alias("letter"), (k.cast("long") * 100_000).alias("s"), (k.cast("long") * 100_000 + 60_000).alias("e")))
-    rows = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("text"), spans.alias("spans"))
+    rows = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.lower("p_name").alias("text"), spans.alias("spans"))
     return rows.withColumn("hits", letters_found("text", "spans"))
 
 

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many tasks as there are shuffle partitions.  A small file is read by one
+    task, and small partitions become one, however long the work on each row takes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; where that is
     unset, below the context's checkpoint folder.  Only on a local master (a laptop, tests) is one made."""
