@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import cell_text
+from lineweave.operators.words import once
 from lineweave.sources.subtitles import lrc_stamp
 from lineweave.sources.tables import TIMED_SQL, table, timed_lines
 
@@ -59,7 +60,10 @@ def parse_notes(files: DataFrame) -> DataFrame:
 def table_lines(html: Column) -> Column:
     """Lines of a page whose table has three rows for each (text, pronunciation, translation), or two
     (text, translation), or one: as array of struct(text, pronunciation, translation)."""
-    cells = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), cell_text)
+    return once(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), cell_text), _lines_of_cells)
+
+
+def _lines_of_cells(cells: Column) -> Column:
     n = F.size(cells)
     by = F.when(n % 3 == 0, 3).when(n % 2 == 0, 2).otherwise(1)
     none = F.lit(None).cast("string")
