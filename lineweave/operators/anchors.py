@@ -9,12 +9,15 @@ any order; empty tables give no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.operators.intervals import HOUR
-from lineweave.sources.tables import TIMED_SQL, timed_lines
+from lineweave.sources.tables import TIMED_SQL, dealt, timed_lines
 
 KEY = ["song", "track"]
 
@@ -41,18 +44,23 @@ def key_pairs(lines: DataFrame, captions: DataFrame, n: int, share: float) -> Da
 
 def forward(pairs: DataFrame, step: int) -> DataFrame:
     """song, track, i, j: each i in order takes its first j that isn't before the last one taken, or
-    is step after it."""
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["i", "j"])
-        least, done, taken = 0, None, []
-        for at, (i, j) in enumerate(zip(g["i"], g["j"])):
-            if i != done and j >= least:
-                done, least = i, j + step
-                taken.append(at)
-        return g.iloc[taken]
-
-    return pairs.groupBy(*KEY).applyInPandas(walk, "song long, track long, i long, j long")
+    is step after it.  A task goes through its pairs in order, however many songs they are of."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, last, done = 0, None, None
+        for batch in batches:
+            taken = []
+            for at, (song, track, i, j) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if (song, track) != last:
+                    last, least, done = (song, track), 0, None
+                if i != done and j >= least:
+                    done, least = i, j + step
+                    taken.append(at)
+            yield batch.take(pa.array(np.array(taken, np.int64)))
+
+    order = [*KEY, "i", "j"]
+    rows = dealt(pairs.select(*(F.col(c).cast("long").alias(c) for c in order)), *KEY).sortWithinPartitions(*order)
+    return rows.mapInArrow(walk, "song long, track long, i long, j long")
 
 
 def anchors(lines: DataFrame, captions: DataFrame, pairs: DataFrame, shortest: int) -> DataFrame:

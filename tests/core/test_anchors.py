@@ -109,3 +109,16 @@ def test_held_tails(spark):
     lines = spark.createDataFrame([(1, 1, 0, S), (1, 2, 5 * S, 6 * S), (1, 3, 7 * S, None)], "song long, line long, s long, e long")
     voice = spark.createDataFrame([(1, 1, 0, 3 * S)], "song long, line long, s long, e long")
     assert {r.line: r.new_e for r in W.hold_tails(lines, voice, 10 * S, 50_000).collect()} == {1: 3 * S, 2: 6 * S, 3: None}
+
+
+def test_forward_streams_songs_over_all_tasks(spark):
+    rows = [(song, track, i, j) for song in range(40) for track in (1, 2) for i in (1, 2, 3) for j in (3, 2, 1) if (i, j) != (1, 1)]
+    pairs = spark.createDataFrame(rows, "song long, track long, i long, j long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = A.forward(pairs, 0)
+        assert found.rdd.getNumPartitions() == 4, "small groups aren't put into one task"
+        assert sorted(map(tuple, found.collect())) == [(s, t, i, j) for s in range(40) for t in (1, 2) for i, j in ((1, 2), (2, 2), (3, 2))]
+        assert sorted(map(tuple, A.forward(pairs.where("song = 1"), 1).collect())) == [(1, t, i, j) for t in (1, 2) for i, j in ((1, 2), (2, 3))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
