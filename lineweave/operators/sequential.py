@@ -6,15 +6,18 @@ short loop; grouping and everything around it is Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import match_key
 from lineweave.operators.layers import ITEMS, line_keys
-from lineweave.sources.tables import TIMED_SQL, lyric_lines, table, timed_lines
+from lineweave.sources.tables import TIMED_SQL, dealt, lyric_lines, table, timed_lines
 
 
 def enforce_monotonic(lines: DataFrame, shortest: int) -> DataFrame:
@@ -48,31 +51,69 @@ def greedy_one_to_one(left: DataFrame, right: DataFrame, tolerance: int) -> Data
     return both.groupBy("song").applyInPandas(match, "song long, line long, match long, apart long")
 
 
+def by_song(rows: DataFrame, order: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: pa.Schema) -> DataFrame:
+    """Rows that fold makes of each song's rows, in this order: a task goes through its songs one after the other
+    and holds one of them.  The first column is the song; schema is that of the result, song included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def songs() -> Iterator[list[tuple]]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if held and held[0][0] != row[0]:
+                        yield held
+                        held = []
+                    held.append(row)
+            if held:
+                yield held
+
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        for rows in songs():
+            out += ((rows[0][0], *r) for r in fold(rows))
+            if len(out) >= 10_000:
+                yield made()
+                out = []
+        yield made()
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+    dealt_rows = dealt(rows.select(F.col("song").cast("long").alias("song"), *(c for c in rows.columns if c != "song")), "song").sortWithinPartitions("song", *order)
+    return dealt_rows.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def common_lines(p: list[str], q: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; of equal ones the first list goes on first.  Places of the
+    first whose key the second doesn't have are passed over before the table is made: they never hold up a way."""
+    code = {k: n for n, k in enumerate(dict.fromkeys(q))}
+    kept = [i for i, k in enumerate(p) if k in code]
+    x, y = [code[p[i]] for i in kept], np.array([code[k] for k in q], np.int32)
+    best = np.zeros((len(x) + 1, len(q) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        ways = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(ways[::-1])[::-1]
+    i = j = 0
+    out = []
+    while i < len(x) and j < len(q):
+        if x[i] == y[j]:
+            out.append((kept[i], j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align_lines(a: DataFrame, b: DataFrame) -> DataFrame:
     """Longest common subsequence of two line lists of a key, by line keys: (song, a, b) pairs.  A null
     text equals none."""
     both = a.select("song", "line", match_key(F.col("text")).alias("k"), F.lit(0).alias("side")).unionByName(b.select("song", "line", match_key(F.col("text")).alias("k"), F.lit(1).alias("side")))
 
-    def lcs(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf.side == i].sort_values("line") for i in (0, 1))
-        p, q = x.k.tolist(), y.k.tolist()
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) - 1, -1, -1):
-            for j in range(len(q) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        out = []
-        while i < len(p) and j < len(q):
-            if p[i] == q[j]:
-                out.append((pdf.song.iloc[0], x.line.iloc[i], y.line.iloc[j]))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame(out, columns=["song", "a", "b"])
-
-    return both.where("k IS NOT NULL").groupBy("song").applyInPandas(lcs, "song long, a long, b long")
+    def lcs(rows: list[tuple]) -> list[tuple]:
+        x, y = ([r for r in rows if r[3] == side] for side in (0, 1))
+        return [(x[i][1], y[j][1]) for i, j in common_lines([r[2] for r in x], [r[2] for r in y])]
+
+    return by_song(both.where("k IS NOT NULL"), ["side", "line"], lcs, pa.schema({"song": pa.int64(), "a": pa.int64(), "b": pa.int64()}))
 
 
 #: Lines that can stand for one line of the other list, and how far ahead an equal line is looked for.
@@ -86,16 +127,19 @@ def walk(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, int, int]]:
     shapes = [(1, 1), *((p, 1) for p in range(2, MERGED + 1)), *((1, q) for q in range(2, MERGED + 1))]
 
     def same(x: list[tuple], y: list[tuple]) -> bool:
-        if "".join(k for k, _ in x) == "".join(k for k, _ in y):
+        if "".join([k for k, _ in x]) == "".join([k for k, _ in y]):
             return True
-        return all(k is not None for _, k in (*x, *y)) and "".join(k for _, k in x) == "".join(k for _, k in y)
+        return all(k is not None for _, k in (*x, *y)) and "".join([k for _, k in x]) == "".join([k for _, k in y])
 
+    # Letters up to each line, so that only stretches as long as each other are put together.
+    long = [[[0, *accumulate(len(k[n] or "") for k in keys)] for n in (0, 1)] for keys in (a, b)]
+    even = lambda n, p, q: long[0][n][i + p] - long[0][n][i] == long[1][n][j + q] - long[1][n][j]
     i = j = 0
     out = []
     while i < len(a) and j < len(b):
-        hit = next(((p, q) for p, q in shapes if i + p <= len(a) and j + q <= len(b) and same(a[i : i + p], b[j : j + q])), None)
+        hit = next(((p, q) for p, q in shapes if i + p <= len(a) and j + q <= len(b) and (even(0, p, q) or even(1, p, q)) and same(a[i : i + p], b[j : j + q])), None)
         if hit is None:
-            near = [(x + y, x, y) for x, u in enumerate(a[i : i + AHEAD]) for y, v in enumerate(b[j : j + AHEAD]) if same([u], [v])]
+            near = [(x + y, x, y) for x, (s, u) in enumerate(a[i : i + AHEAD]) for y, (t, v) in enumerate(b[j : j + AHEAD]) if s == t or u is not None and u == v]
             if not near:
                 break
             _, x, y = min(near)
@@ -111,13 +155,12 @@ def align_resplit(a: DataFrame, b: DataFrame) -> DataFrame:
     differently, as of ``walk``; line and other are their first lines.  Each song is one group."""
     both = line_keys(a).withColumn("side", F.lit(0)).unionByName(line_keys(b).withColumn("side", F.lit(1)))
 
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf.side == i].sort_values("line") for i in (0, 1))
-        keys = [[(s, k if isinstance(k, str) else None) for s, k in zip(t.strict, t.loose)] for t in (x, y)]
-        found = [(pdf.song.iloc[0], x.line.iloc[i], p, y.line.iloc[j], q) for i, p, j, q in walk(*keys)]
-        return pd.DataFrame(found, columns=["song", "line", "lines", "other", "others"])
+    def align(rows: list[tuple]) -> list[tuple]:
+        x, y = ([r for r in rows if r[4] == side] for side in (0, 1))
+        return [(x[i][1], p, y[j][1], q) for i, p, j, q in walk(*([r[2:4] for r in t] for t in (x, y)))]
 
-    return both.groupBy("song").applyInPandas(align, "song long, line long, lines int, other long, others int")
+    out = pa.schema({"song": pa.int64(), "line": pa.int64(), "lines": pa.int32(), "other": pa.int64(), "others": pa.int32()})
+    return by_song(both.select("song", "line", "strict", "loose", "side"), ["side", "line"], align, out)
 
 
 def carry_layer(lines: DataFrame, layer: DataFrame, least: float = 0.5) -> DataFrame:

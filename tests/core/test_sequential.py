@@ -1,4 +1,5 @@
 import difflib
+import random
 
 from lineweave.operators import sequential as S
 from lineweave.sources import subtitles
@@ -41,3 +42,39 @@ def test_subtitles(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_common_lines_are_those_of_the_whole_table():
+    def plain(p, q):
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p) - 1, -1, -1):
+            for j in range(len(q) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        out = []
+        while i < len(p) and j < len(q):
+            if p[i] == q[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    r = random.Random(1)
+    for _ in range(3000):
+        p, q = ([r.choice("abcdefgh"[at:][:k]) for _ in range(r.randrange(9))] for at, k in ((0, 3), (r.randrange(3), 4)))
+        assert S.common_lines(p, q) == plain(p, q), (p, q)
+
+
+def test_alignments_stream_songs_over_all_tasks(spark):
+    lines = spark.createDataFrame([(s, k, f"line {k}") for s in range(30) for k in range(1, 5)], "song long, line long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = S.align_lines(lines, lines)
+        assert found.rdd.getNumPartitions() == S.align_resplit(lines, lines).rdd.getNumPartitions() == 4
+        assert sorted(map(tuple, found.collect())) == [(s, k, k) for s in range(30) for k in range(1, 5)]
+        assert sorted(map(tuple, S.align_resplit(lines, lines).collect())) == [(s, k, 1, k, 1) for s in range(30) for k in range(1, 5)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
