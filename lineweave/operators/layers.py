@@ -10,10 +10,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.sources.tables import LYRICS_SQL, TIMED_SQL, lyric_lines, table, timed_lines
+from lineweave.sources.tables import LYRICS_SQL, TIMED_SQL, by_song, dealt, lyric_lines, table, timed_lines
 
 #: The punctuation that a loose key doesn't have.
 LOOSE_MARKS = ".,!?、。！？…‥・「」『』（）()‘’“”'\""
@@ -21,11 +22,16 @@ LOOSE_MARKS = ".,!?、。！？…‥・「」『』（）()‘’“”'\""
 
 def compatible(text: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC), without format characters; a batch at a time."""
-    keep = {}
+
+    class Kept(dict):
+        def __missing__(self, c: int) -> int | None:
+            self[c] = None if unicodedata.category(chr(c)) == "Cf" else c
+            return self[c]
+
+    keep = Kept()
 
     def plain(t: str) -> str:
-        t = unicodedata.normalize("NFKC", t)
-        return t if t.isascii() else "".join(c for c in t if keep.setdefault(c, unicodedata.category(c) != "Cf"))
+        return t if t.isascii() else unicodedata.normalize("NFKC", t).translate(keep)
 
     return text.fillna("").map(plain)
 
@@ -53,7 +59,7 @@ def lyric_norm(text: Column) -> Column:
 
 def line_keys(lines: DataFrame) -> DataFrame:
     """song, line, strict and loose of each line."""
-    keyed = lines.select("song", "line", strict_key(F.col("text")).alias("strict"))
+    keyed = dealt(lines.select("song", "line", "text"), "song", "line").select("song", "line", strict_key(F.col("text")).alias("strict"))
     loose = F.translate("strict", LOOSE_MARKS, "")
     return keyed.select("song", "line", "strict", F.when(F.length(loose) >= 2, loose).alias("loose"))
 
@@ -67,13 +73,20 @@ def fingerprints(lines: DataFrame) -> DataFrame:
 def same_lines(a: DataFrame, b: DataFrame) -> DataFrame:
     """song, line, other, strict: for each line of a song in a, its first equal line in b; by the strict
     key, or where there is none by the loose one."""
-    a, b = line_keys(a), line_keys(b)
-
-    def first(key: str) -> DataFrame:
-        return b.where(F.col(key).isNotNull()).groupBy("song", key).agg(F.min("line").alias(f"by_{key}"))
-
-    hit = a.join(first("strict"), ["song", "strict"], "left").join(first("loose"), ["song", "loose"], "left")
-    return hit.select("song", "line", F.coalesce("by_strict", "by_loose").alias("other"), F.col("by_strict").isNotNull().alias("strict")).where("other IS NOT NULL")
+    both = line_keys(b).withColumn("side", F.lit(0)).unionByName(line_keys(a).withColumn("side", F.lit(1)))
+
+    def match(rows: list[tuple]) -> list[tuple]:
+        strict, loose, out = {}, {}, []
+        for _, line, s, k, side in rows:
+            if side == 0 and line is not None:
+                strict.setdefault(s, line)
+                loose.setdefault(k, line)
+            elif side == 1 and (s in strict or k is not None and k in loose):
+                out.append((line, strict[s] if s in strict else loose[k], s in strict))
+        return out
+
+    out = pa.schema({"song": pa.int64(), "line": pa.int64(), "other": pa.int64(), "strict": pa.bool_()})
+    return by_song(both.where("song IS NOT NULL").select("song", "line", "strict", "loose", "side"), ["side", "line"], match, out)
 
 
 def display_text(text: Column, pronunciation: Column, translation: Column) -> Column:

@@ -6,7 +6,7 @@ short loop; grouping and everything around it is Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.text import match_key
 from lineweave.operators.layers import ITEMS, line_keys
-from lineweave.sources.tables import TIMED_SQL, dealt, lyric_lines, table, timed_lines
+from lineweave.sources.tables import TIMED_SQL, by_song, lyric_lines, table, timed_lines
 
 
 def enforce_monotonic(lines: DataFrame, shortest: int) -> DataFrame:
@@ -51,36 +51,6 @@ def greedy_one_to_one(left: DataFrame, right: DataFrame, tolerance: int) -> Data
     return both.groupBy("song").applyInPandas(match, "song long, line long, match long, apart long")
 
 
-def by_song(rows: DataFrame, order: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: pa.Schema) -> DataFrame:
-    """Rows that fold makes of each song's rows, in this order: a task goes through its songs one after the other
-    and holds one of them.  The first column is the song; schema is that of the result, song included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def songs() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if held and held[0][0] != row[0]:
-                        yield held
-                        held = []
-                    held.append(row)
-            if held:
-                yield held
-
-        out: list[tuple] = []
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-        for rows in songs():
-            out += ((rows[0][0], *r) for r in fold(rows))
-            if len(out) >= 10_000:
-                yield made()
-                out = []
-        yield made()
-
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
-    dealt_rows = dealt(rows.select(F.col("song").cast("long").alias("song"), *(c for c in rows.columns if c != "song")), "song").sortWithinPartitions("song", *order)
-    return dealt_rows.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
-
-
 def common_lines(p: list[str], q: list[str]) -> list[tuple[int, int]]:
     """Pairs of places of a longest common subsequence; of equal ones the first list goes on first.  Places of the
     first whose key the second doesn't have are passed over before the table is made: they never hold up a way."""

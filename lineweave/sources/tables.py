@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,36 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def by_song(rows: DataFrame, order: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: pa.Schema) -> DataFrame:
+    """Rows that fold makes of each song's rows, in this order: a task goes through its songs one after the other
+    and holds one of them.  The first column is the song; schema is that of the result, song included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def songs() -> Iterator[list[tuple]]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if held and held[0][0] != row[0]:
+                        yield held
+                        held = []
+                    held.append(row)
+            if held:
+                yield held
+
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        for rows in songs():
+            out += ((rows[0][0], *r) for r in fold(rows))
+            if len(out) >= 10_000:
+                yield made()
+                out = []
+        yield made()
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+    dealt_rows = dealt(rows.select(F.col("song").cast("long").alias("song"), *(c for c in rows.columns if c != "song")), "song").sortWithinPartitions("song", *order)
+    return dealt_rows.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; where that is
     unset, below the context's checkpoint folder.  Only on a local master (a laptop, tests) is one made."""

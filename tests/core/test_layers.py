@@ -97,3 +97,15 @@ def test_nulls_and_empty_tables(spark):
         run(some, voice).collect()
         assert run(some.limit(0), voice).collect() == [] == run(some.limit(0), voice.limit(0)).collect()
     assert {(r.line, r.new_s, r.new_e) for r in R.shrink_silent(some, voice, 5, 1).collect()} >= {(1, None, None), (2, 1, 5)}
+
+
+def test_same_lines_stream_songs_over_all_tasks(spark):
+    a = spark.createDataFrame([(s, k, t) for s in range(20) for k, t in ((1, "one"), (2, "two!"), (3, "three"), (4, "ｏｎｅ​"))] + [(None, 1, "one")], "song long, line long, text string")
+    b = spark.createDataFrame([(s, k, t) for s in range(20) for k, t in ((5, "two"), (6, "one"), (7, "one"), (8, ""))] + [(None, 1, "one")], "song long, line long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = L.same_lines(a, b)
+        assert found.rdd.getNumPartitions() == 4
+        assert sorted(map(tuple, found.collect())) == [(s, k, o, x) for s in range(20) for k, o, x in ((1, 6, True), (2, 5, False), (4, 6, True))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
