@@ -7,7 +7,7 @@ lines stay; lines keep their order, so there are no ties; an empty table gives n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.operators.words import once
@@ -62,24 +62,35 @@ LASTS, BEFORE = 3_000_000, 100_000
 def answer_lines(answers: DataFrame) -> DataFrame:
     """song, k, line, text, s, e of answers (song, answer): objects with text, start and end (or start_time and
     end_time) and maybe line, if the text from its first to its last bracket is a list; else lines such as
-    [01:02.50] text, or 1.5 - 4: text.  Of the former the end is just before the next line."""
-    said = answers.select("song", body(F.col("answer")).alias("body"))
-    inner = F.regexp_extract("body", r"(?s)(\[.*\])", 1)
-    said = said.withColumn("whole", (inner != "") & F.get_json_object(inner, "$").isNotNull())
+    [01:02.50] text, or 1.5 - 4: text.  Of the former the end is just before the next line.  Each
+    answer is read by itself: k counts its own lines."""
     value = lambda x, *names: F.coalesce(*(F.get_json_object(x, f"$.{n}") for n in names))
     at = lambda x, *names: _micros(F.coalesce(value(x, *names).try_cast("double"), F.lit(0.0)))
-    items = said.where("whole").select("song", F.posexplode(list_objects(inner)).alias("k", "x"))
-    items = items.select("song", "k", value(F.col("x"), "line").try_cast("long").alias("line"), F.coalesce(value(F.col("x"), "text"), F.lit("")).alias("text"), at(F.col("x"), "start", "start_time").alias("s"), at(F.col("x"), "end", "end_time").alias("e"))
-    rows = said.where("NOT whole").select("song", F.posexplode(F.split("body", "\n")).alias("k", "x")).withColumn("x", F.trim("x", F.lit(" \t\r")))
+    line = lambda number, text, s, e: F.struct(number.alias("line"), text.alias("text"), s.alias("s"), e.alias("e"))
+
+    def item(x: Column) -> Column:
+        return line(value(x, "line").try_cast("long"), F.coalesce(value(x, "text"), F.lit("")), at(x, "start", "start_time"), at(x, "end", "end_time"))
+
     stamp, span = r"^\[(\d+):(\d+\.?\d*)\]\s*(.+)", r"^(\d+\.?\d*)\s*[-–]\s*(\d+\.?\d*)[:\s]+(.+)"
-    stamped, spanned = F.col("x").rlike(stamp), F.col("x").rlike(span)
-    part = lambda p, i: F.regexp_extract("x", p, i)
-    s = F.when(stamped, part(stamp, 1).try_cast("long") * 60_000_000 + _micros(part(stamp, 2).try_cast("double"))).otherwise(_micros(part(span, 1).try_cast("double")))
-    rows = rows.where(stamped | spanned).select("song", "k", F.trim(F.when(stamped, part(stamp, 3)).otherwise(part(span, 3))).alias("text"), s.alias("s"), F.when(stamped, s + LASTS).otherwise(_micros(part(span, 2).try_cast("double"))).alias("e"))
-    after = F.lead("s").over(Window.partitionBy("song").orderBy("k"))
-    rows = rows.withColumn("after", after).withColumn("e", F.when((F.col("e") == F.col("s") + LASTS) & F.col("after").isNotNull(), F.col("after") - BEFORE).otherwise(F.col("e")))
-    both = items.unionByName(rows.select("song", "k", F.lit(None).cast("long").alias("line"), "text", "s", "e"))
-    return both.withColumn("k", F.row_number().over(Window.partitionBy("song").orderBy("k")) - 1)
+
+    def row(x: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(x, p, i)
+        s = lambda: F.when(x.rlike(stamp), part(stamp, 1).try_cast("long") * 60_000_000 + _micros(part(stamp, 2).try_cast("double"))).otherwise(_micros(part(span, 1).try_cast("double")))
+        e = F.when(x.rlike(span), _micros(part(span, 2).try_cast("double")))
+        text = F.trim(F.when(x.rlike(stamp), part(stamp, 3)).otherwise(part(span, 3)))
+        return once(s(), lambda at: line(F.lit(None).cast("long"), text, at, F.when(x.rlike(stamp), at + LASTS).otherwise(e)))
+
+    def rows(body: Column) -> Column:
+        lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x.rlike(stamp) | x.rlike(span))
+        end = lambda x, after: F.when((x.e == x.s + LASTS) & after.isNotNull(), after - BEFORE).otherwise(x.e)
+        return once(F.transform(lines, row), lambda found: F.transform(found, lambda x, i: line(x.line, x.text, x.s, end(x, F.get(found, i + 1).s))))
+
+    def lines_of(x: Column) -> Column:
+        whole = (x.inner != "") & F.get_json_object(x.inner, "$").isNotNull()
+        return F.when(whole, F.transform(list_objects(x.inner), item)).when(~whole, rows(x.body))
+
+    found = once(body(F.col("answer")), lambda b: once(F.struct(b.alias("body"), F.regexp_extract(b, r"(?s)(\[.*\])", 1).alias("inner")), lines_of))
+    return answers.select("song", F.posexplode(found).alias("k", "x")).select("song", "k", "x.*")
 
 
 def numbered_lines(found: DataFrame, lyrics: DataFrame) -> DataFrame:

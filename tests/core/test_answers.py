@@ -78,3 +78,9 @@ def test_lines(spark):
     named = {(r.song, r.k): (r.line, r.text) for r in A.numbered_lines(found, lyrics).collect()}
     assert named[1, 0] == (7, "a") and named[1, 1] == (2, "own text") and named[2, 0] == (None, "one")
     assert A.answer_lines(spark.createDataFrame([], "song long, answer string")).collect() == []
+
+
+def test_lines_take_one_pass(spark, capsys):
+    A.answer_lines(spark.createDataFrame([(1, "1 - 2: a")], "song long, answer string")).explain()
+    plan = capsys.readouterr().out
+    assert not any(x in plan for x in ("Union", "Window", "Exchange")), "an answer was read once for each notation and its lines sorted twice"
