@@ -252,7 +252,7 @@ def _moras(spark, d) -> DataFrame:
 
 
 def q_text_moras(spark, d):
-    return _moras(spark, d).select("p_partkey", F.posexplode("moras").alias("k", "m")).select("p_partkey", "k", "m.kana", "m.a", "m.b")
+    return _moras(spark, d).select("p_partkey", F.posexplode_outer("moras").alias("k", "m")).where("k IS NOT NULL").select("p_partkey", "k", "m.kana", "m.a", "m.b")
 
 
 def _aligned(spark, d) -> DataFrame:
@@ -278,7 +278,7 @@ def q_syllable_segments(spark, d):
     t = t.withColumn("spans", spans).withColumn("hits", letters_found("text", "spans"))
     times = once(letter_times(F.col("text"), F.col("hits")), lambda x: syllable_times(F.transform("moras", lambda m: F.struct(m.a.alias("a"), m.b.alias("b"))), x))
     t = t.withColumn("found", syllable_segments(F.col("syllables"), F.col("quality"), times))
-    return t.select("p_partkey", F.posexplode("found").alias("k", "x")).select("p_partkey", "k", "x.text", "x.s", "x.e")
+    return t.select("p_partkey", F.posexplode_outer("found").alias("k", "x")).where("k IS NOT NULL").select("p_partkey", "k", "x.text", "x.s", "x.e")
 
 
 def _quoted(values) -> str:

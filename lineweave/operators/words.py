@@ -132,15 +132,15 @@ def _letters(spark, d):
 
 def q_letter_times(spark, d):
     t = _letters(spark, d).withColumn("times", letter_times(F.col("text"), F.col("hits")))
-    return t.select("p_partkey", F.posexplode("times").alias("k", "t")).select("p_partkey", "k", "t.s", "t.e")
+    return t.select("p_partkey", F.posexplode_outer("times").alias("k", "t")).where("k IS NOT NULL").select("p_partkey", "k", "t.s", "t.e")
 
 
 def q_syllable_times(spark, d):
     """Three syllables on each two letters."""
     t = _letters(spark, d).withColumn("times", letter_times(F.col("text"), F.col("hits")))
     m = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 2).cast("int") * 3 - 1), lambda i: F.struct((F.floor(i / 3).cast("int") * 2 + 1).alias("a"), (F.floor(i / 3).cast("int") * 2 + 3).alias("b")))
-    t = t.where("times IS NOT NULL AND length(text) > 1").withColumn("m", m)
-    return t.select("p_partkey", F.posexplode(syllable_times(F.col("m"), F.col("times"))).alias("k", "t")).select("p_partkey", "k", "t.s", "t.e")
+    found = F.when(F.col("times").isNotNull() & (F.length("text") > 1), syllable_times(F.col("m"), F.col("times")))
+    return t.withColumn("m", m).select("p_partkey", F.posexplode_outer(found).alias("k", "t")).where("k IS NOT NULL").select("p_partkey", "k", "t.s", "t.e")
 
 
 def q_measured(spark, d):

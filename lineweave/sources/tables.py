@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt by keys to as many tasks as there are shuffle partitions.  A small file is read by one
-    task, and small partitions become one, however long the work on each row takes."""
+    task, and small partitions become one, however long the work on each row takes.  Lists made of such rows are
+    opened by posexplode_outer: for posexplode Spark makes each list once more, to test it before the rows are dealt."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
