@@ -90,7 +90,7 @@ def answer_lines(answers: DataFrame) -> DataFrame:
         return F.when(whole, F.transform(list_objects(x.inner), item)).when(~whole, rows(x.body))
 
     found = once(body(F.col("answer")), lambda b: once(F.struct(b.alias("body"), F.regexp_extract(b, r"(?s)(\[.*\])", 1).alias("inner")), lines_of))
-    return answers.select("song", F.posexplode(found).alias("k", "x")).select("song", "k", "x.*")
+    return answers.select("song", F.posexplode_outer(found).alias("k", "x")).where("k IS NOT NULL").select("song", "k", "x.*")
 
 
 def numbered_lines(found: DataFrame, lyrics: DataFrame) -> DataFrame:
