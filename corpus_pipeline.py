@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm.best_fit_packing import cut_pieces, pack
-from lineweave.llm.common import Scratch, written
+from lineweave.llm.common import Scratch, split_by, written
 from lineweave.llm.decontamination import drop_contaminated, indexes
 from lineweave.llm.ngram_jaccard import Join, group_documents
 from lineweave.llm.quality_rules import keep_documents, learn_stems
@@ -31,7 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = groups.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
     gone = scratch.write(gone, "near_copies")
     scratch.keep("near_copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti").select(*docs.columns)
+    # few texts go: only those that may are exchanged
+    may, rest = split_by(docs, F.xxhash64("doc_id", F.xxhash64("text")), gone, F.xxhash64("gone_id", "text_hash"))
+    may = may.join(gone, may["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(may["text"]) == gone["text_hash"]), "left_anti")
+    return rest.unionByName(may.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

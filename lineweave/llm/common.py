@@ -9,12 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lineweave.sources.tables import work_dir as shared_dir
 
 #: Bytes of text that a numpy kernel looks at together: few, so that its arrays stay in the cache.  A longer text is a slice of its own: texts stay whole.
 SLICE_BYTES = 1 << 18
+#: Bits of the table by which ``split_by`` tells rows without a partner: 262,144 words at most, however many keys there are.
+PARTNER_BITS = 1 << 24
 
 
 class Scratch:
@@ -75,3 +78,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
     return raw, off - off[0]
 
+
+def split_by(rows: DataFrame, key: Column, others: DataFrame, other_key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the keys of others (all that are, and a few more), and the rest.  Keys
+    are 64-bit hashes, and one bit stands for each.  Where few rows have a partner, only these need be exchanged
+    to meet it.  Rows are read once for each of the two."""
+    word, bits, may = (fresh_name(rows.columns, c) for c in ("word", "bits_", "may"))
+    place = lambda k: F.pmod(k, F.lit(PARTNER_BITS))
+    at = lambda k: F.shiftright(place(k), 6)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place(other_key) % 64).cast("int"))
+    told = others.select(at(other_key).alias(word), one.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    rows = rows.withColumn(word, at(key)).join(F.broadcast(told), word, "left")
+    rows = rows.withColumn(may, F.coalesce(F.getbit(bits, (place(key) % 64).cast("int")) == 1, F.lit(False)))
+    return tuple(rows.where(F.col(may) == x).drop(word, bits, may) for x in (True, False))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import kernels as K
-from lineweave.llm.common import Scratch, slices, utf8
+from lineweave.llm.common import Scratch, slices, split_by, utf8
 from lineweave.llm.components import connected
 
 TILE_ROWS = 20_000
@@ -195,7 +195,8 @@ def tiles(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """Tile rows with bitmaps: h, low, high (blocks; 0, 0 in a whole tile), block, node, n, bits, and
     label if shared has it."""
     large = shared.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE_ROWS).select("h", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
-    rows = shared.join(nodes.select("node", "bits"), "node").join(large, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # bitmaps come last: they are exchanged once, to their tiles
+    rows = shared.join(large, "h", "left").join(nodes.select("node", "bits"), "node").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "bits", *(["label"] if "label" in shared.columns else []))
 
@@ -317,8 +318,8 @@ def compare(tiled: DataFrame, join: Join, across: bool) -> DataFrame:
 
 def whole_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """node and shingles (its sorted set) of the nodes in ends.  Texts are dealt by doc_id at every
-    size: the nodes that take part grow with the documents, and aren't for broadcasting.  A node can
-    come twice where Spark splits a skewed join, which gives the same link twice."""
+    size: the nodes that take part grow with the documents, and aren't for broadcasting.  Texts that a
+    table of bits shows not to take part stay where they are.  A node can come twice where Spark splits a skewed join, which gives the same link twice."""
     needed = nodes.select("node", "digest").join(ends, "node").withColumnRenamed("node", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,8 @@ def whole_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join) -
                         at.append(nodes_[i])
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "digest", "text")
+    texts, _ = split_by(docs.select("doc_id", "text"), F.xxhash64(F.col("doc_id").cast("long")), ends, F.xxhash64("node"))
+    texts = texts.join(needed.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "digest", "text")
     return texts.mapInArrow(sets, "node long, shingles binary")
 
 
@@ -374,8 +376,11 @@ def group_documents(docs: DataFrame, join: Join = Join(), scratch: Scratch | Non
     known = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), F.col("row")))
     copies = profile.where("digest IS NOT NULL").groupBy("digest").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     copies = scratch.write(copies.select("digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("first_row")), "copies")
-    unique = meet_first(profile.where("digest IS NOT NULL AND doc_id IS NOT NULL"), copies).where("first_row IS NULL OR first_row = row")
-    nodes = scratch.write(unique.select(F.col("doc_id").alias("node"), "n", "digest", "prefix", "bits"), "nodes")
+    # the wide rows of sets that only one document has aren't exchanged
+    copied, alone = split_by(profile.where("digest IS NOT NULL AND doc_id IS NOT NULL"), F.xxhash64("digest"), copies, F.xxhash64("digest"))
+    node = [F.col("doc_id").alias("node"), "n", "digest", "prefix", "bits"]
+    unique = meet_first(copied, copies).where("first_row IS NULL OR first_row = row")
+    nodes = scratch.write(unique.select(*node).unionByName(alone.select(*node)), "nodes")
     shared = scratch.write(shared_prefixes(nodes, join), "shared")
     closest = scratch.write(compare(tiles(shared, nodes), join, across=False), "closest")
     ends = closest.select(F.explode(F.array("a", "b")).alias("node")).distinct()

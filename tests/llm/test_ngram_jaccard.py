@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lineweave.llm import ngram_jaccard as N
 from lineweave.llm.components import connected
@@ -135,3 +136,35 @@ def test_pairs_of_mixed_tiles():
     got = sorted((int(min(x)), int(max(x))) for now, other in N._pairs(h, low, high, block, n, label, join) for x in zip(now, other))
     want = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if h[i] == h[j] and label[i] != label[j] and 100 * n[i] >= 80 * n[j] and (low[i] == high[i] or block[i] != block[j])]
     assert got == want and len(want) > 1000
+
+
+def test_rows_split_by_partners(spark):
+    """All rows with a partner are in the first part, hardly any other is, and no row is lost."""
+    from lineweave.llm.common import split_by
+
+    rows = spark.createDataFrame([(i if i % 50 else None, f"t{i}", "b", "m") for i in range(3000)], "id long, bits_ string, word string, may string")
+    others = spark.createDataFrame([(i,) for i in range(0, 3000, 7)] + [(None,)] * 3 + [(9000,)], "other long")
+    may, rest = split_by(rows, F.xxhash64("id"), others, F.xxhash64("other"))
+    assert may.columns == rest.columns == rows.columns
+    may, rest = ([tuple(r) for r in x.collect()] for x in (may, rest))
+    assert sorted(may + rest, key=str) == sorted((tuple(r) for r in rows.collect()), key=str)
+    want = {i for i in range(0, 3000, 7) if i % 50} | {None}
+    assert want <= {r[0] for r in may} and len({r[0] for r in may}) < len(want) + 5 and not want & {r[0] for r in rest}
+    may, rest = split_by(rows, F.xxhash64("id"), others.limit(0), F.xxhash64("other"))
+    assert (may.count(), rest.count()) == (0, 3000)
+
+
+def test_texts_without_a_partner_are_not_exchanged(spark):
+    """Only the shingles of prefixes are, and what takes part."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(2000)) for _ in range(150)]
+    texts += [texts[0] + " and more", texts[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = moved()
+    assert {c for d, _, c in found(N.group_documents(docs)) if d >= 150} == {0, 1}
+    assert moved() - before < 0.7 * sum(map(len, texts))
