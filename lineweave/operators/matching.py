@@ -170,16 +170,20 @@ def span_pitch(frames: DataFrame, spans: DataFrame, least: int = 3) -> DataFrame
     return g.where(F.col("all") >= least).select("song", "line", "x.midi", "x.n", F.round(F.col("x.n") / F.col("frames"), 9).alias("share"))
 
 
-def blocks_of_anchors(lines: DataFrame, anchored: str, window: int, whole: int) -> DataFrame:
+def blocks_of_anchors(lines: DataFrame, anchored: str, window: int, whole: int, order: tuple[str, ...] = ("line",)) -> DataFrame:
     """song, first, last, lo, hi: an anchored line and those up to the next one, and the time they may
-    take: from window before the anchor to window after the next.  Lines before the first start at 0."""
-    w = Window.partitionBy("song").orderBy("line")
-    ok = F.expr(anchored)
-    rows = lines.withColumns({"block": F.count_if(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)), "anchors": F.count_if(ok).over(Window.partitionBy("song"))})
-    found = rows.where("anchors > 0").groupBy("song", "block").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.max(F.when(ok, F.col("s"))).alias("at"))
-    nxt = F.lead("at").over(Window.partitionBy("song").orderBy("block"))
+    take: from window before the anchor to window after the next.  Lines before the first start at 0.
+    order are the columns that lines were numbered by, if their order is still that of the rows: then they
+    aren't sorted once more."""
+    w = Window.partitionBy("song").orderBy(*order)
+    ok = F.coalesce(F.expr(anchored), F.lit(False))
+    rows = lines.withColumns({"ok": ok, "before": F.lag("line").over(w), "end": F.max("line").over(Window.partitionBy("song")), "head": F.row_number().over(w) == 1})
+    # a block begins at each anchor, and at the first line
+    heads = rows.where("ok OR head").select("song", *dict.fromkeys([*order, "line"]), "before", "end", "ok", F.when(F.col("ok"), F.col("s")).alias("at"))
+    heads = heads.withColumns({"more": F.lead("ok").over(w), "last": F.lead("before").over(w), "nxt": F.lead("at").over(w)}).where("ok OR more")
     kept = lambda t: F.greatest(F.lit(0), F.least(F.lit(whole), t))
-    return found.select("song", "first", "last", F.when(F.col("at").isNull(), 0).otherwise(kept(F.col("at") - window)).alias("lo"), F.when(nxt.isNull(), whole).otherwise(kept(nxt + window)).alias("hi"))
+    lo, hi = F.when(F.col("at").isNull(), 0).otherwise(kept(F.col("at") - window)), F.when(F.col("nxt").isNull(), whole).otherwise(kept(F.col("nxt") + window))
+    return heads.select("song", F.col("line").alias("first"), F.coalesce("last", "end").alias("last"), lo.alias("lo"), hi.alias("hi"))
 
 
 def sung_parts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -194,12 +198,16 @@ def q_match_ranges(spark, d):
     return match_ranges(*sung_parts(spark, d)).withColumn("score", F.round("score", 9))
 
 
+#: What lines of orders are numbered by.
+VERSE_ORDER = ("l_linenumber", "l_shipdate", "l_partkey", "l_quantity")
+
+
 def verses(spark, d) -> DataFrame:
     """Lines of orders: ship day as start, quantity in hours as length."""
-    t = table(spark, d, "lineitem")
+    t = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "song")
     s = F.timestamp_diff("MICROSECOND", F.lit("1990-01-01 00:00:00").cast("timestamp_ntz"), t.l_shipdate)
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_quantity"))
-    return t.select(F.col("l_orderkey").alias("song"), line.cast("long").alias("line"), s.alias("s"), (s + F.col("l_quantity").cast("long") * HOUR).alias("e"), "l_returnflag")
+    line = F.row_number().over(Window.partitionBy("song").orderBy(*VERSE_ORDER))
+    return t.select("song", line.cast("long").alias("line"), s.alias("s"), (s + F.col("l_quantity").cast("long") * HOUR).alias("e"), "l_returnflag", *VERSE_ORDER)
 
 
 YEARS = 10 * 365 * 24 * HOUR
@@ -257,7 +265,7 @@ QUERIES = {
         f"WITH v AS {V}, f AS (SELECT song, s, (floor(value) % 40 + 40)::BIGINT % 7 AS midi, value > 10 AS voiced FROM {T}), o AS (SELECT v.song, v.line, midi, count(*) FILTER (voiced) AS n, count(*) AS frames FROM v JOIN f ON f.song = v.song AND f.s >= v.s AND f.s < v.e GROUP BY 1, 2, 3), g AS (SELECT *, sum(n) OVER p AS total, sum(frames) OVER p AS size, row_number() OVER (PARTITION BY song, line ORDER BY n DESC, midi) AS k FROM o WINDOW p AS (PARTITION BY song, line)) SELECT song, line, midi, n, round(n / size::DOUBLE, 9) AS share FROM g WHERE k = 1 AND total >= 3",
     ),
     "anchor_blocks": (
-        lambda spark, d: blocks_of_anchors(verses(spark, d), "l_returnflag = 'R'", 24 * HOUR, YEARS),
+        lambda spark, d: blocks_of_anchors(verses(spark, d), "l_returnflag = 'R'", 24 * HOUR, YEARS, VERSE_ORDER),
         f"WITH b AS (SELECT *, count(*) FILTER (l_returnflag = 'R') OVER (PARTITION BY song ORDER BY line ROWS UNBOUNDED PRECEDING) AS block, count(*) FILTER (l_returnflag = 'R') OVER (PARTITION BY song) AS n FROM {S_SQL}), g AS (SELECT song, block, min(line) AS first, max(line) AS last, max(s) FILTER (l_returnflag = 'R') AS anchor FROM b WHERE n > 0 GROUP BY 1, 2), x AS (SELECT *, lead(anchor) OVER (PARTITION BY song ORDER BY block) AS nxt FROM g) SELECT song, first, last, CASE WHEN anchor IS NULL THEN 0 ELSE greatest(0, least({YEARS}, anchor - {DAY})) END AS lo, CASE WHEN nxt IS NULL THEN {YEARS} ELSE greatest(0, least({YEARS}, nxt + {DAY})) END AS hi FROM x",
     ),
 }

@@ -83,3 +83,37 @@ def test_octaves_fold_only_where_both_sides_agree(spark):
     got = [r.folded for r in M.fold_octaves(df, 3, 9, 2).orderBy("line").collect()]
     assert got == [60, 61, 60, 60, 62, 77, 60, 60]
     assert M.fold_octaves(df.where(F.lit(False)), 3, 9, 2).collect() == []
+
+
+def plain_blocks(lines, window, whole):
+    """The rule read off: a block begins at each anchor, lines before the first one are a block of their own."""
+    out = []
+    for song in {x[0] for x in lines}:
+        own = sorted(x[1:] for x in lines if x[0] == song)
+        if any(ok for _, _, ok in own):
+            blocks = []
+            for line, s, ok in own:
+                if ok or not blocks:
+                    blocks.append([line, line, s if ok else None])
+                blocks[-1][1] = line
+            for (first, last, at), after in zip(blocks, [*blocks[1:], (0, 0, None)]):
+                kept = lambda t: max(0, min(whole, t))
+                out.append((song, first, last, 0 if at is None else kept(at - window), whole if after[2] is None else kept(after[2] + window)))
+    return sorted(out)
+
+
+def test_anchor_blocks_by_definition(spark):
+    rng = random.Random(3)
+    lines = [(song, line, None if rng.random() < 0.1 else 10 * line + rng.randrange(30), rng.choice([True, False, False, None])) for song in range(60) for line in sorted(rng.sample(range(40), rng.randrange(1, 9)))]
+    df = spark.createDataFrame(lines, "song long, line long, s long, hit boolean")
+    want = plain_blocks(lines, 7, 200)
+    assert sorted(tuple(r) for r in M.blocks_of_anchors(df, "hit", 7, 200).collect()) == want
+    assert len(want) > 60 and len({x[0] for x in want}) < 60
+    assert M.blocks_of_anchors(df.limit(0), "hit", 7, 200).collect() == []
+
+
+def test_anchor_blocks_sort_lines_once(spark, capsys):
+    """A task holds one sorted copy of its lines, not one for each step."""
+    M.QUERIES["anchor_blocks"][0](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
