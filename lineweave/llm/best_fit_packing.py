@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import slices, written
+from lineweave.llm.common import SLICE_BYTES, slices, written
 from lineweave.llm.token_ids import encoder
 
 #: Pieces that one task packs.
@@ -44,14 +44,15 @@ class Capacity:
     rule: str = "norm"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, max_tokens: int = 2048, cut: str = "word", with_ids: bool = True) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, max_tokens: int = 2048, cut: str = "word", with_ids: bool = True, remembered: int | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and ids unless with_ids is
-    false.  Only documents of over max_tokens ids are cut."""
+    false.  Only documents of over max_tokens ids are cut.  Fewer ``remembered`` strings take less memory in
+    each Python worker and more time; texts then go in smaller slices, as a slice's new strings have to fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours = encoder(tokenizer, cut)
+        ours = encoder(tokenizer, cut, remembered)
         for batch in batches:
-            for a, b in slices(batch, "text", 2 << 20):
+            for a, b in slices(batch, "text", SLICE_BYTES if remembered else 2 << 20):
                 part = batch.slice(a, b - a)
                 ids, off = ours.encode([t or "" for t in part.column("text").to_pylist()])
                 n = len(part)

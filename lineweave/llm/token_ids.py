@@ -15,7 +15,7 @@ import numpy as np
 
 #: Pieces that a worker remembers.  More are encoded anew: this bounds memory, not results.
 REMEMBERED = 900_000
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int | None], PieceEncoder] = {}
 
 
 #: White space other than space and line end (the tokenizers' \s).
@@ -37,9 +37,10 @@ def word_pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """ids of many texts: one array, and the place of each text in it."""
+    """ids of many texts: one array, and the place of each text in it.  ``remembered`` pieces, by default REMEMBERED."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, remembered: int | None = None):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,12 +158,13 @@ class PieceEncoder:
         lacking = np.flatnonzero(index < 0).tolist()
         new = {pieces[i] for i in lacking}
         # a new piece may bring one more, without its full stop
-        if len(self.place) + 2 * len(new) + 2 > REMEMBERED:
-            self.forget(REMEMBERED // 2)
+        most = self.remembered or REMEMBERED
+        if len(self.place) + 2 * len(new) + 2 > most:
+            self.forget(most // 2)
             index = self._find(pieces)
             lacking = np.flatnonzero(index < 0).tolist()
             new = {pieces[i] for i in lacking}
-            if len(self.place) + 2 * len(new) + 2 > REMEMBERED:  # more than are remembered: text by text
+            if len(self.place) + 2 * len(new) + 2 > most:  # more than are remembered: text by text
                 return self._join(self._plain(texts))
         if new:
             self._learn(new)
@@ -185,8 +187,9 @@ class PieceEncoder:
         return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in parts)]), off
 
 
-def encoder(path: str, cut: str) -> PieceEncoder:
+def encoder(path: str, cut: str, remembered: int | None = None) -> PieceEncoder:
     """The encoder of this Python worker, made once."""
-    if (path, cut) not in _ENCODERS:
-        _ENCODERS[path, cut] = PieceEncoder(path, cut)
-    return _ENCODERS[path, cut]
+    key = path, cut, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]

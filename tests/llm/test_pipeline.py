@@ -1,9 +1,11 @@
 import corpus_pipeline as C
+import pyarrow as pa
 import test_decontamination as leaks
 import test_ngram_jaccard as near
 import test_quality_rules as quality
 import test_suffix_dedup as repeats
 import test_tokens as tokens
+from lineweave.llm import best_fit_packing as P
 from lineweave.llm import ngram_jaccard as N
 from lineweave.llm import quality_rules as Q
 from pyspark.sql import functions as F
@@ -67,3 +69,26 @@ def test_no_documents_and_odd_rows(spark):
             frame = C.written(stage(spark, frame, DIR), "stage")
             assert frame.columns == odd.columns
         C.STAGES[-1][1](spark, frame, DIR).collect()
+
+
+def test_batches_of_wide_rows_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    C.packing(spark, docs, DIR)
+    try:
+        wide = spark.range(0, 4000, 1, 1).withColumn("text", F.repeat(F.lit("0123456789"), 1000))  # 40 MB
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) >= 40_000_000
+        assert max(r.n for r in sizes) <= 1.5 * C.BATCH_BYTES
+    finally:
+        spark.conf.unset(key)
+
+
+def test_packing_of_the_pipeline_is_that_with_all_strings_remembered(spark):
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    pieces = [P.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, remembered=n) for n in (None, 2000)]
+    want, found = (sorted(map(tuple, x.collect())) for x in pieces)
+    assert found == want

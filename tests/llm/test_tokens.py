@@ -31,6 +31,16 @@ def test_same_ids_as_the_library(path, cut, monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == library(path, ODD)
 
 
+@pytest.mark.parametrize(("path", "cut"), [(BYTE, "space"), (WORD, "word")])
+def test_an_encoder_remembers_no_more_than_its_own_bound(path, cut):
+    ours = T.PieceEncoder(path, cut, 50)
+    for i in range(40):
+        texts = [f"new{i} old x{i}y, end.", f"x{i}y again{i}"]
+        ids, off = ours.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == library(path, texts)
+        assert len(ours.place) <= 50
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'sAÉß \n\t  .9|<é́"), max_size=30), max_size=4))
 def test_same_ids_for_any_text(texts):
