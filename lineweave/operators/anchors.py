@@ -138,9 +138,9 @@ def q_plan(spark, d):
 
 
 def q_echoes(spark, d):
-    """Errors of a user as echoes of its clicks; those under 5 have no key."""
+    """All errors of a user as echoes of all its clicks; those under 5 have no key."""
     t = timed_lines(spark, d).withColumn("key", F.when(F.col("value") >= 5, F.floor("value").cast("string")))
-    return echoes(numbered(t.where("text = 'error' AND line % 2 = 0"), "i", "song"), numbered(t.where("text = 'click'"), "j", "song"))
+    return echoes(numbered(t.where("text = 'error'"), "i", "song"), numbered(t.where("text = 'click'"), "j", "song"))
 
 
 H = HOUR
@@ -165,6 +165,6 @@ QUERIES = {
     ),
     "echo_alignment": (
         q_echoes,
-        f"WITH RECURSIVE t AS (SELECT *, CASE WHEN value >= 5 THEN floor(value)::BIGINT END AS key FROM {TIMED_SQL}), a AS (SELECT song, key, row_number() OVER (PARTITION BY song ORDER BY s, line) AS i FROM t WHERE text = 'error' AND line % 2 = 0), b AS (SELECT song, key, row_number() OVER (PARTITION BY song ORDER BY s, line) AS j FROM t WHERE text = 'click'), n AS (SELECT a.song, i, list(j) FILTER (j IS NOT NULL) AS js FROM a LEFT JOIN b ON b.song = a.song AND b.key = a.key GROUP BY 1, 2), r AS (SELECT DISTINCT song, 0::BIGINT AS i, NULL::BIGINT AS j, 0::BIGINT AS past FROM n UNION ALL SELECT n.song, n.i, list_min(list_filter(js, lambda x: x > r.past)), coalesce(list_min(list_filter(js, lambda x: x > r.past)), r.past) FROM r JOIN n ON n.song = r.song AND n.i = r.i + 1), m AS (SELECT song, j AS line, i AS item FROM r WHERE j IS NOT NULL) SELECT * FROM m UNION ALL SELECT a.song, i, i FROM a JOIN (SELECT a.song, count(*) AS items, count(key) AS keys, any_value(n) AS lines FROM a JOIN (SELECT song, count(*) AS n FROM b GROUP BY 1) c ON c.song = a.song GROUP BY 1) z ON z.song = a.song WHERE a.song NOT IN (SELECT song FROM m) AND (keys = 0 OR items = lines) AND i <= lines",
+        f"WITH RECURSIVE t AS (SELECT *, CASE WHEN value >= 5 THEN floor(value)::BIGINT END AS key FROM {TIMED_SQL}), a AS (SELECT song, key, row_number() OVER (PARTITION BY song ORDER BY s, line) AS i FROM t WHERE text = 'error'), b AS (SELECT song, key, row_number() OVER (PARTITION BY song ORDER BY s, line) AS j FROM t WHERE text = 'click'), n AS (SELECT a.song, i, list(j) FILTER (j IS NOT NULL) AS js FROM a LEFT JOIN b ON b.song = a.song AND b.key = a.key GROUP BY 1, 2), r AS (SELECT DISTINCT song, 0::BIGINT AS i, NULL::BIGINT AS j, 0::BIGINT AS past FROM n UNION ALL SELECT n.song, n.i, list_min(list_filter(js, lambda x: x > r.past)), coalesce(list_min(list_filter(js, lambda x: x > r.past)), r.past) FROM r JOIN n ON n.song = r.song AND n.i = r.i + 1), m AS (SELECT song, j AS line, i AS item FROM r WHERE j IS NOT NULL) SELECT * FROM m UNION ALL SELECT a.song, i, i FROM a JOIN (SELECT a.song, count(*) AS items, count(key) AS keys, any_value(n) AS lines FROM a JOIN (SELECT song, count(*) AS n FROM b GROUP BY 1) c ON c.song = a.song GROUP BY 1) z ON z.song = a.song WHERE a.song NOT IN (SELECT song FROM m) AND (keys = 0 OR items = lines) AND i <= lines",
     ),
 }

@@ -1,5 +1,10 @@
 """Anchors and word times on small rows: order, repeats, nulls, empty tables."""
 
+import datetime
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lineweave.operators import anchors as A
@@ -73,6 +78,23 @@ def test_echoes(spark):
     assert run(["a", "a"], ["a"]) == [(1, 1)]
 
 
+def test_echoes_of_every_error(spark, tmp_path):
+    """Errors are taken whatever their number; the query and its SQL say the same."""
+    rows = [(1, 1, "error", 10.1), (2, 1, "error", 20.2), (3, 1, "error", 30.3), (4, 1, "click", 10.4), (5, 1, "click", 20.5), (6, 1, "click", 30.6)]
+    rows += [(11, 2, "error", 40.1), (12, 2, "error", 50.2), (13, 2, "click", 60.3), (14, 2, "click", 70.4)]  # as many as clicks: by number
+    rows += [(21, 3, "error", 1.0), (23, 3, "error", 2.0), (25, 3, "error", 3.0), (26, 3, "click", 80.0), (28, 3, "click", 90.0)]  # without keys
+    rows += [(31, 4, "error", 10.0), (32, 4, "error", 4.9), (33, 4, "click", 20.0)]  # one key is told, but meets nothing
+    start, names = datetime.datetime(2024, 1, 1), ["event_id", "user_id", "event_type", "value"]
+    table = pa.table([*map(list, zip(*rows)), [start + datetime.timedelta(hours=r[0]) for r in rows]], [*names, "ts"])
+    pq.write_table(table, tmp_path / "events.parquet")
+    query, sql = A.QUERIES["echo_alignment"]
+    want = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
+    assert sorted((r.song, r.line, r.item) for r in query(spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    assert sorted(con.execute(f"SELECT song, line, item FROM ({sql})").fetchall()) == want
+
+
 def test_letter_times(spark):
     def run(text, spans):
         d = spark.createDataFrame([(text, spans)], "text string, spans array<struct<letter: string, s: bigint, e: bigint>>").withColumn("hits", W.letters_found("text", "spans"))
